@@ -121,13 +121,18 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs of bytes other than white space; A-Z lower-cased) of the texts
-    in `data`, in order, and the row of each. Words never cross texts."""
+#: Bytes of letters and digits, and all of characters beyond ASCII.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (runs of `letters`, by default of all but white space; A-Z lower-cased)
+    of the texts in `data`, in order, and the row of each. Words never cross texts."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    solid = ~_SPACE[data]
+    solid = letters[data]
     first = np.zeros(n, bool)  # of a text
     first[offsets[:-1][offsets[:-1] < n]] = True
     begins = solid & (first | ~np.concatenate(([False], solid[:-1])))

@@ -9,9 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encoding_digests
 from .common import documents
+from .exact_dedup import dedup_exact
 from .media import media_digests
 from .packing import pack_documents
+from .pii import span_digests
+from .quality import score_quality
 from .token_count import count_tokens
+from .toxicity import score_toxicity
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(documents(spark, sf_dir))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +34,18 @@ def op3_bpe_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_exact(documents(spark, sf_dir)).drop("in_history")
+
+
+def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -31,10 +55,24 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_best_fit_packing": op2_best_fit_packing,
-    "op3_bpe_monoid": op3_bpe_monoid,
-    "op8_token_counts": op8_token_counts,
-    "op10_media_columns": op10_media_columns,
+    f.__name__: f
+    for f in (
+        op1_pii_anchors,
+        op2_best_fit_packing,
+        op3_bpe_monoid,
+        op4_quality_crf,
+        op6_exact_dedup,
+        op7_toxicity_ftrl,
+        op8_token_counts,
+        op10_media_columns,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \t-\r]+', ' ', 'g')) AS text_sha256 FROM documents),
+        g AS (SELECT text_sha256, min(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS group_size FROM t GROUP BY text_sha256)
+        SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_sha256
+        FROM t JOIN g USING (text_sha256)
+    """,
+}
