@@ -191,7 +191,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     every = materialise(dedup_exact(docs, id_col, text_col), "duplicates")
     stay = every.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     digest = F.sha2(normalised(F.col(text_col)), 256)
-    out = docs.join(stay, docs[id_col].eqNullSafe(stay["__id"]) & (digest == stay["__sha"]), "left_semi")
+    out = docs.join(stay.hint("shuffle_hash"), docs[id_col].eqNullSafe(stay["__id"]) & (digest == stay["__sha"]), "left_semi")
     repeats = every.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "text_sha256").count().where("count > 1")
     if repeats.isEmpty():
         return out

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encoding_digests
 from .common import documents
 from .exact_dedup import dedup_exact
+from .jaccard import Rule, jaccard_components
 from .media import media_digests
 from .packing import pack_documents
 from .pii import span_digests
@@ -50,6 +51,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir), Rule(words=3, num=90, den=100))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(documents(spark, sf_dir))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_exact_dedup,
         op7_toxicity_ftrl,
         op8_token_counts,
+        op9_jaccard_join,
         op10_media_columns,
     )
 }
@@ -75,4 +81,26 @@ ORACLE_SQL: dict[str, str] = {
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_sha256
         FROM t JOIN g USING (text_sha256)
     """,
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS words
+            FROM documents),
+        sh AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS s
+            FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        link AS (
+            SELECT a.doc_id AS x, b.doc_id AS y
+            FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id
+            JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+            WHERE 100 * least(na.n, nb.n) >= 90 * greatest(na.n, nb.n)
+            GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+            HAVING 100 * count(*) >= 90 * (na.n + nb.n - count(*))),
+        both_ways AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+        reach AS (SELECT x AS doc_id, x AS hop FROM both_ways UNION SELECT r.doc_id, e.y FROM reach r JOIN both_ways e ON e.x = r.hop),
+        low AS (SELECT doc_id, min(hop) AS component_id FROM reach GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(low.component_id, d.doc_id) AS component_id
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
+    """,
 }
