@@ -15,6 +15,7 @@ from .media import media_digests
 from .packing import pack_documents
 from .pii import span_digests
 from .quality import score_quality
+from .suffix_dedup import repeat_digests
 from .token_count import count_tokens
 from .toxicity import score_toxicity
 
@@ -39,6 +40,10 @@ def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(documents(spark, sf_dir)).drop("in_history")
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_best_fit_packing,
         op3_bpe_monoid,
         op4_quality_crf,
+        op5_suffix_dedup,
         op6_exact_dedup,
         op7_toxicity_ftrl,
         op8_token_counts,
