@@ -45,11 +45,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(grams) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(where)
 
 
-def distinct_features(texts: list[str]) -> list[np.ndarray]:
+def distinct_features(texts: list[str]) -> Iterator[np.ndarray]:
+    """The buckets of each text, once each; a chunk of texts at a time."""
     data, offsets = text_buffer(pa.array(texts, pa.string()))
-    buckets, rows = features(data, offsets)
-    pair = np.unique(rows * BUCKETS + buckets)
-    return np.split((pair % BUCKETS).astype(np.int32), np.searchsorted(pair // BUCKETS, np.arange(1, len(texts)))) if texts else []
+    for i, j in row_chunks(offsets):
+        buckets, rows = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        pair = np.unique(rows * BUCKETS + buckets)
+        bounds = np.searchsorted(pair, np.arange(j - i + 1) * BUCKETS)
+        found = (pair % BUCKETS).astype(np.int32)
+        for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield found[a:z]
 
 
 @dataclass(frozen=True)
@@ -77,7 +82,12 @@ def train(sample: list[tuple[str, int]], seed: int = 7) -> Weights:
     share = sum(y for _, y in sample) / len(sample) if sample else 0.0
     if share in (0.0, 1.0):
         return Weights(np.zeros(0, np.int64), np.zeros(0, np.float32), 40.0 if share else -40.0)
-    rows = distinct_features([t for t, _ in sample])
+    texts = [t for t, _ in sample]
+    seen = np.zeros(BUCKETS, np.int32)
+    for r in distinct_features(texts):
+        seen[r] += 1
+    # made again rather than held: most features are too rare to take part
+    rows = [np.append(r[seen[r] >= LEAST_DOCS], np.int32(BUCKETS)) for r in distinct_features(texts)]
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)  # the last is the intercept, which has no L1
     l1 = np.append(np.full(BUCKETS, L1), 0.0)
 
@@ -86,8 +96,6 @@ def train(sample: list[tuple[str, int]], seed: int = 7) -> Weights:
         return -shrunk / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
 
     order = np.random.default_rng(seed)
-    seen = np.bincount(np.concatenate(rows), minlength=BUCKETS)
-    rows = [np.append(r[seen[r] >= LEAST_DOCS], BUCKETS) for r in rows]
     for _ in range(PASSES):
         for k in order.permutation(len(rows)):
             at = rows[k]
