@@ -141,3 +141,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = ~_S
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     rows = np.searchsorted(offsets, start, side="right") - 1
     return span_hash(prefix_hash(_LOWER[data]), start, end), rows
+
+
+def runs_of(x: np.ndarray) -> list[tuple[int, int, int]]:
+    """Value, begin and end of every run of equal integers; none of an empty array."""
+    if not len(x):
+        return []
+    start = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    return list(zip(x[start].tolist(), start.tolist(), np.append(start[1:], len(x)).tolist(), strict=True))

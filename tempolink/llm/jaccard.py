@@ -18,7 +18,7 @@ Two sets are linked when their Jaccard distance is at most r. The join works dow
 Only true links leave a region, at most one for each set. Equal sets are one point from the start.
 Sets are held as 64-bit hashes of their shingles, points by 64-bit digests of the sets.
 
-Cases: a null or empty text has no words, an empty set, no link, and is its own component; fewer
+Cases: a null or empty text has no words, an empty set, no link, and is its own component (a row without an id has none, but its links count); fewer
 words than a shingle takes make one shingle; ties and repeated rows are equal sets; an empty table
 gives no rows; columns other than the id and the text are ignored.
 """
@@ -33,10 +33,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, id_and_text, materialise, mix64, row_chunks, text_buffer, word_hashes
+from .common import GOLDEN, id_and_text, materialise, mix64, row_chunks, runs_of, text_buffer, word_hashes
 from .components import components
 
 #: Sets in a region, or in a block of a larger region, at most.
@@ -166,7 +166,7 @@ def cell_keys(h: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray
 
 
 def sets_of(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, set_id (null for an empty set)."""
+    """doc_id, txt, n_shingles, set_id (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,9 +176,9 @@ def sets_of(docs: DataFrame, rule: Rule) -> DataFrame:
                 h, bounds = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule.words)
                 n += np.diff(bounds).tolist()
                 ids += [set_id(h[a:z]) if z > a else None for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "n_shingles", "set_id"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("txt"), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "txt", "n_shingles", "set_id"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return docs.mapInArrow(run, "doc_id long, txt long, n_shingles long, set_id long")
 
 
 def packed_cells(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
@@ -208,10 +208,8 @@ def packed_cells(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
             part = (keys % np.uint64(n_parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             keys, ids = keys[order], ids[order]
-            used, start = np.unique(part[order], return_index=True)
-            stop = np.append(start[1:], len(keys))
-            spans = list(zip(start.tolist(), stop.tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([keys[a:z].tobytes() for a, z in spans], pa.binary()), pa.array([ids[a:z].tobytes() for a, z in spans], pa.binary())], ["part", "keys", "sets"])
+            runs = runs_of(part[order])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in runs], pa.int32()), pa.array([keys[a:z].tobytes() for _, a, z in runs], pa.binary()), pa.array([ids[a:z].tobytes() for _, a, z in runs], pa.binary())], ["part", "keys", "sets"])
 
     return docs.mapInArrow(run, "part int, keys binary, sets binary")
 
@@ -286,8 +284,13 @@ def region_members(cells: DataFrame, n_parts: int) -> DataFrame:
     return cells.repartition(n_parts, "part").mapInArrow(run, "set_id long, pivot long")
 
 
+def known_id() -> Column:
+    """Ids for joins: rows without one have the least."""
+    return F.coalesce("doc_id", F.lit(-(1 << 63)))
+
+
 def fetch_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """set_id, hashes (binary) for wanted (set_id, doc_id)."""
+    """set_id, hashes (binary) for wanted (set_id, doc, txt)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -298,12 +301,12 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                 h, bounds = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule.words)
                 for k in range(j - i):
                     own = h[bounds[k] : bounds[k + 1]]
-                    if len(own) and set_id(own) == asked[i + k]:  # an id may have several texts
+                    if len(own) and set_id(own) == asked[i + k]:
                         ids.append(asked[i + k])
                         found.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["set_id", "hashes"])
 
-    return docs.join(wanted.hint("shuffle_hash"), "doc_id").select("set_id", "text").mapInArrow(run, "set_id long, hashes binary").dropDuplicates(["set_id"])
+    return docs.withColumn("doc", known_id()).join(wanted.hint("shuffle_hash"), ["doc", "txt"]).select("set_id", "text").mapInArrow(run, "set_id long, hashes binary").dropDuplicates(["set_id"])
 
 
 class Links:
@@ -417,16 +420,17 @@ def region_links(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id (the smallest id that links reach) for every row."""
-    read = id_and_text(docs, id_col, text_col)
+    # rows are told apart by id and text, as ids may repeat or be missing
+    read = id_and_text(docs, id_col, text_col).withColumn("txt", F.xxhash64("text"))
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = materialise(sets_of(read, rule), "sets")
     members = materialise(region_members(packed_cells(read, rule, n_parts), n_parts), "members").distinct()
-    points = known.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = points.join(members.select("set_id").distinct(), "set_id")
+    points = known.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max(F.struct(known_id().alias("doc"), "txt")).alias("one"))
+    wanted = points.select("set_id", "one.*").join(members.select("set_id").distinct(), "set_id")
     sets = materialise(fetch_sets(read, wanted, rule), "shingles")
     links = region_links(members, sets, rule)
     roots = components(links).withColumnsRenamed({"node": "set_id"})
-    named = points.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    named = points.drop("one").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     lowest = named.where(F.col("root").isNotNull()).join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("doc_id").alias("low"))
     named = named.join(lowest, "root", "left").select("set_id", F.coalesce("low", "doc_id").alias("component_id"))
     return known.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

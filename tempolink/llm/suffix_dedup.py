@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, id_and_text, materialise, prefix_hash, row_chunks, span_hash, text_buffer
+from .common import CHUNK_BYTES, id_and_text, materialise, prefix_hash, row_chunks, runs_of, span_hash, text_buffer
 
 LENGTH = 200
 GRAM = 40
@@ -95,9 +95,8 @@ def packed(places: np.ndarray, n_parts: int) -> pa.RecordBatch:
     part = (places["key"] % np.uint64(n_parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     places = places[order]
-    used, start = np.unique(part[order], return_index=True)
-    stop = np.append(start[1:], len(places))
-    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([places[a:z].tobytes() for a, z in zip(start.tolist(), stop.tolist(), strict=True)], pa.binary())], ["part", "places"])
+    runs = runs_of(part[order])
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in runs], pa.int32()), pa.array([places[a:z].tobytes() for _, a, z in runs], pa.binary())], ["part", "places"])
 
 
 def context_places(docs: DataFrame, n_parts: int) -> DataFrame:
@@ -227,8 +226,7 @@ def two_stage(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
             of = text[before]
             order = np.argsort(of, kind="stable")
             before, of = before[order], of[order]
-            used, start = np.unique(of, return_index=True)
-            for b, a, z in zip(used.tolist(), start.tolist(), np.append(start[1:], len(of)).tolist(), strict=True):
+            for b, a, z in runs_of(of):
                 induced[b].append(before[a:z])
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
@@ -332,7 +330,7 @@ def settle_groups(groups: dict[tuple, dict[bytes, list[bytes]]]) -> tuple[list[t
             hit = again & alone[owner]
             order = np.lexsort((start[hit], owner[hit]))
             o, s = owner[hit][order], start[hit][order]
-            for k, a, z in _runs(o):
+            for k, a, z in runs_of(o):
                 where = pool[k][1][0]
                 gone.extend((int(where["doc"]), int(where["txt"]), int(where["lo"]) + x, int(where["lo"]) + y) for x, y in _intervals(s[a:z], LENGTH))
             if shared.any():
@@ -360,12 +358,6 @@ def settle_groups(groups: dict[tuple, dict[bytes, list[bytes]]]) -> tuple[list[t
     return gone, open_
 
 
-def _runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    if len(x):
-        start = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-        yield from zip(x[start].tolist(), start.tolist(), np.append(start[1:], len(x)).tolist(), strict=True)
-
-
 def group_results(texts: DataFrame, n_parts: int) -> DataFrame:
     """doc, txt, begin, end of ranges that go; or part, places of windows still open."""
     schema = "doc long, txt long, begin long, end long, part int, places binary"
