@@ -14,13 +14,17 @@ def stream_events(field: DataFrame, threshold: float, extreme: str = "above") ->
     return field.where(value >= threshold if extreme == "above" else value <= threshold)
 
 
-def stream_precursors(events_a: DataFrame, events_b: DataFrame, delta: str, tau: str = "0 seconds", lateness: str = "10 minutes") -> DataFrame:
-    """Pairs of an event of a and a later one of b, at least tau and at most tau + delta apart. Both
-    streams have loc and time; state is kept for the lateness plus the window."""
+def stream_precursors(events_a: DataFrame, events_b: DataFrame, delta: int, tau: int = 0, lateness: str = "10 minutes") -> DataFrame:
+    """Pairs of an event of a and a later one of b, from tau to tau + delta seconds apart. Both
+    streams have loc and time. They meet by bins of delta seconds, of which a window touches two;
+    state is kept for the lateness plus the window."""
+    width = max(int(delta), 1)
     a = events_a.withWatermark("time", lateness).select(F.col("loc").alias("a"), F.col("time").alias("time_a"))
-    b = events_b.withWatermark("time", lateness).select(F.col("loc").alias("b"), F.col("time").alias("time_b"))
-    inside = F.expr(f"time_b >= time_a + interval {tau} and time_b <= time_a + interval {tau} + interval {delta}")
-    return a.join(b, inside)
+    first = F.floor((F.unix_timestamp("time_a") + tau) / width)
+    a = a.withColumn("bin", F.explode(F.array(first, first + 1, first + 2)))
+    b = events_b.withWatermark("time", lateness).select(F.col("loc").alias("b"), F.col("time").alias("time_b"), F.floor(F.unix_timestamp("time") / width).alias("bin_b"))
+    inside = F.expr(f"bin = bin_b AND time_b >= time_a + interval {int(tau)} seconds AND time_b <= time_a + interval {int(tau) + int(delta)} seconds")
+    return a.join(b, inside).drop("bin", "bin_b")
 
 
 def stream_counts(events: DataFrame, width: str, lateness: str = "10 minutes") -> DataFrame:
