@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions import geo
 from .functions.calendar import time_index
-from .operators import axis, events, grids, links, pairs, regrid, significance, sync, windows
+from .operators import axis, events, grids, links, pairs, regrid, significance, sync, voronoi, windows
 from .plans.networks import eca_joint_network, eca_network, es_network
-from .sources import blocks
+from .sources import blocks, synthetic
 from .streaming.coincidence import stream_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -500,6 +500,43 @@ def align_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regrid.align_to(grid.withColumn("lon", F.col("lon") + 12.0), grid)
 
 
+# --- measures of networks in space --------------------------------------------------------------
+
+
+def user_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users on a spiral of 2000 points by their key."""
+    u = users(spark, sf_dir)
+    return u.join(grids.fibonacci_points(spark, 2000), (F.col("loc") % 2000) == F.col("point_id")).select("loc", "lon", "lat")
+
+
+SPATIAL = f"{JOINT}, {FIB.format(e='0.36::DOUBLE', n=2000)}, spot AS (SELECT loc, lon, lat FROM nodes JOIN fib ON loc % 2000 = point_id)"
+
+
+@query(f"WITH {SPATIAL} SELECT a, round(sum(CASE WHEN link THEN cos(radians(lat)) ELSE 0 END) / sum(cos(radians(lat))), 6) AS awc FROM net JOIN spot ON loc = b GROUP BY a")
+def area_weighted_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.area_weighted_connectivity(joint(spark, sf_dir), user_spots(spark, sf_dir)).withColumn("awc", F.round("awc", 6))
+
+
+@query(f"WITH {SPATIAL} SELECT CAST(floor(({km_sql('p.lon', 'p.lat', 'q.lon', 'q.lat')}) / 500.0) AS BIGINT) AS bin, count(*) AS n FROM net JOIN spot p ON p.loc = a JOIN spot q ON q.loc = b WHERE link AND a <> b GROUP BY 1")
+def link_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.link_distances(joint(spark, sf_dir), user_spots(spark, sf_dir), 500.0)
+
+
+# --- calendars and synthetic data ---------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS d, CAST(floor(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) / 7.0) AS INTEGER) AS w, CAST((year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1 AS INTEGER) AS m FROM orders")
+def time_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = dt.datetime(1992, 1, 1)
+    return table(spark, sf_dir, "orders").select("o_orderkey", *(time_index(F.col("o_orderdate"), ref, f).alias(f.lower()) for f in "DWM"))
+
+
+@query("SELECT n_nationkey AS loc, CAST(100 AS BIGINT) AS steps FROM nation")
+def synthetic_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded field has the asked shape; its values depend on the engine."""
+    return synthetic.seeded_field(spark, table(spark, sf_dir, "nation").count(), 100).groupBy(F.col("loc").cast("int").alias("loc")).agg(F.count("value").alias("steps"))
+
+
 # --- sources and sinks --------------------------------------------------------------------------
 
 
@@ -517,6 +554,28 @@ def gridfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(path)
 
 
+@query(f"WITH {BASE}, {window_sql('precursor', RULE)}, {count_sql()} SELECT a, b, k, CAST(a // 40 AS INTEGER) AS bi, CAST(b // 40 AS INTEGER) AS bj FROM cnt WHERE k > 0")
+def block_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any function over pairs of blocks: here counts by pandas, where they are not zero."""
+    ev = extremes(spark, sf_dir)
+
+    def count(a, b):  # noqa: ANN001, ANN202
+        hit = a.merge(b, on="t_idx", suffixes=("_a", "_b"))
+        return hit.groupby(["loc_a", "loc_b"]).size().reset_index(name="k").rename(columns={"loc_a": "a", "loc_b": "b"})
+
+    return pairs.over_blocks(count, windows.precursor_window(ev, STEPS, RULE), ev, 40, "a long, b long, k long")
+
+
+@query()
+def voronoi_gridfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid description with the cells' corners."""
+    grid = grids.fibonacci_points(spark, 60)
+    at = grid.orderBy("point_id").toPandas()
+    cells = voronoi.voronoi_cells(at["lon"].to_numpy(), at["lat"].to_numpy())
+    lon, lat = ([float(p[k]) for c in cells for p in c] for k in (0, 1))
+    return blocks.gridfile_lines(grid, (lon, lat, len(cells[0])))
+
+
 @query("SELECT user_id AS loc, ts AS time, value FROM events WHERE value >= 100")
 def stream_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "events")
