@@ -8,7 +8,8 @@ Two sets are linked when their Jaccard distance is at most r. The join works dow
    of them is its pivot. T follows from the size of the smaller set, so sets are treated in bands
    of size, and a set joins every band in which a smaller partner may stand (the window of sizes).
 2. Regions. A pivot's Voronoi region holds every set of the cells that it leads. A linked pair
-   shares a cell, hence a region. Regions with more than `REGION` sets are dealt out as pairs of
+   shares a cell, hence a region. A region whose pivot stands in another one is merged into it,
+   which keeps pairs together and moves a set once rather than several times. Regions with more than `REGION` sets are dealt out as pairs of
    blocks, every one with the pivot.
 3. Inside a region. Distances to the pivot split it: within r of the pivot is the ball, linked by
    the pivot alone. By the triangle inequality two sets can be linked only if their distances to
@@ -41,6 +42,8 @@ from .components import components
 
 #: Sets in a region, or in a block of a larger region, at most.
 REGION = 2048
+#: Times that regions are merged.
+MERGES = 2
 #: Entries of a cell beyond which its pivot is settled while the others still stream in.
 HOT_CELL = 1 << 16
 #: Entries that a task holds before it settles its hot cells.
@@ -390,6 +393,16 @@ def link_region(sets: list[np.ndarray], pivot: int, rule: Rule, side: np.ndarray
     return links.made
 
 
+def merged(members: DataFrame) -> DataFrame:
+    """members with each region merged into the first one that holds its pivot; the first set of a
+    region then is its pivot. Any renaming of regions keeps pairs together, so a few steps do."""
+    for _ in range(MERGES):
+        first = members.groupBy("set_id").agg(F.min("pivot").alias("to")).select(F.col("set_id").alias("pivot"), "to")
+        members = members.join(first, "pivot").select("set_id", F.col("to").alias("pivot")).distinct()
+    lead = members.groupBy("pivot").agg(F.min("set_id").alias("lead"))
+    return members.join(lead, "pivot").select("set_id", F.col("lead").alias("pivot")).distinct()
+
+
 def region_links(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """u, v: links between sets. Large regions are dealt out in pairs of blocks."""
     blocks = members.groupBy("pivot").agg(F.ceil(F.count("*") / REGION).cast("int").alias("blocks"))
@@ -424,7 +437,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     read = id_and_text(docs, id_col, text_col).withColumn("txt", F.xxhash64("text"))
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = materialise(sets_of(read, rule), "sets")
-    members = materialise(region_members(packed_cells(read, rule, n_parts), n_parts), "members").distinct()
+    members = materialise(merged(materialise(region_members(packed_cells(read, rule, n_parts), n_parts), "cells").distinct()), "members")
     points = known.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max(F.struct(known_id().alias("doc"), "txt")).alias("one"))
     wanted = points.select("set_id", "one.*").join(members.select("set_id").distinct(), "set_id")
     sets = materialise(fetch_sets(read, wanted, rule), "shingles")
