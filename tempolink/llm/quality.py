@@ -183,8 +183,12 @@ class Field:
 
     def raw(self, lines: Lines) -> np.ndarray:
         """Mean marginal of each text, weighted by the lines' bytes."""
-        x = (with_neighbours(lines) - self.mean) / self.scale
-        p, _ = marginals(x @ self.weight, self.trans, lines.first)
+        x = with_neighbours(lines)
+        weight = self.weight.astype(np.float64) / self.scale
+        unary = np.full(len(x), -float((self.mean * weight).sum()))
+        for k in range(N_FEATURES):  # in a fixed order, so that a text's score doesn't depend on its batch
+            unary += x[:, k] * weight[k]
+        p, _ = marginals(unary, self.trans, lines.first)
         weight = lines.size + 1.0
         top = np.add.reduceat(p * weight, lines.first[:-1]) if len(p) else p
         return top / np.add.reduceat(weight, lines.first[:-1]) if len(p) else p
