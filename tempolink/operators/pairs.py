@@ -36,6 +36,11 @@ def _n_blocks(nodes: DataFrame) -> int:
     return max(1, -(-nodes.count() // BLOCK))
 
 
+def _blocks(nodes_a: DataFrame, nodes_b: DataFrame) -> tuple[int, int]:
+    n = _n_blocks(nodes_a)
+    return n, n if nodes_b is nodes_a else _n_blocks(nodes_b)
+
+
 def _words(cells: DataFrame, nodes: DataFrame, steps: int, name: str) -> DataFrame:
     """loc, and the series' bits as columns or an array of words."""
     n = -(-steps // BITS)
@@ -69,7 +74,7 @@ def _grid(left: DataFrame, right: DataFrame, blocks_a: int, blocks_b: int) -> Da
 
 def all_pairs(nodes_a: DataFrame, nodes_b: DataFrame) -> DataFrame:
     """a, b for every pair of places, a place with itself included."""
-    return _grid(nodes_a.select("loc"), nodes_b.select("loc"), _n_blocks(nodes_a), _n_blocks(nodes_b)).select("a", "b")
+    return _grid(nodes_a.select("loc"), nodes_b.select("loc"), *_blocks(nodes_a, nodes_b)).select("a", "b")
 
 
 def pair_counts(window_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int, strategy: str = "bitmap") -> DataFrame:
@@ -82,7 +87,7 @@ def pair_counts(window_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, no
         return all_pairs(nodes_a, nodes_b).join(hits, ["a", "b"], "left").select("a", "b", F.coalesce("k", F.lit(0)).cast("long").alias("k"))
     if strategy == "bitmap":
         left, right = _words(window_a, nodes_a, steps, "wa"), _words(events_b, nodes_b, steps, "wb")
-        return _grid(left, right, _n_blocks(nodes_a), _n_blocks(nodes_b)).select("a", "b", _common(steps).alias("k"))
+        return _grid(left, right, *_blocks(nodes_a, nodes_b)).select("a", "b", _common(steps).alias("k"))
     return _by_matrices(window_a, events_b, nodes_a, nodes_b, steps)
 
 
@@ -91,7 +96,7 @@ def _by_matrices(window_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, n
         found = cells.groupBy("loc").agg(F.collect_list("t_idx").alias("at"))
         return nodes.select("loc").join(found, "loc", "left")
 
-    blocks_a, blocks_b = _n_blocks(nodes_a), _n_blocks(nodes_b)
+    blocks_a, blocks_b = _blocks(nodes_a, nodes_b)
     one = series(window_a, nodes_a).select(F.col("loc").alias("a"), "at", _block(F.col("loc"), blocks_a).alias("ai"), F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))).alias("aj"))
     two = series(events_b, nodes_b).select(F.col("loc").alias("b"), "at", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))).alias("bi"), _block(F.col("loc"), blocks_b).alias("bj"))
 
