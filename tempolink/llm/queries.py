@@ -81,6 +81,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_pii_anchors": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        marked AS (
+            SELECT r, 'email' AS kind, regexp_replace(t, '()([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', '\1' || chr(1) || '\2' || chr(2), 'g') AS x FROM d
+            UNION ALL SELECT r, 'ip', regexp_replace(t, '()([0-9]+(?:\.[0-9]+){3})', '\1' || chr(1) || '\2' || chr(2), 'g') FROM d
+            UNION ALL SELECT r, 'card', regexp_replace(t, '()([0-9](?:[ -]?[0-9])+)', '\1' || chr(1) || '\2' || chr(2), 'g') FROM d
+            UNION ALL SELECT r, 'phone', regexp_replace(t, '()(\+[0-9][ ().0-9-]+[0-9])', '\1' || chr(1) || '\2' || chr(2), 'g') FROM d
+            UNION ALL SELECT r, 'url', regexp_replace(t, '(^|[^\p{L}\p{N}])((?:https?|ftp)://[^ \t-\r<>"'']+)', '\1' || chr(1) || '\2' || chr(2), 'g') FROM d
+            UNION ALL SELECT r, 'iban', regexp_replace(t, '(^|[^\p{L}\p{N}])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4})*(?: ?[A-Z0-9]{1,3})?)', '\1' || chr(1) || '\2' || chr(2), 'g') FROM d
+            UNION ALL SELECT r, 'account', regexp_replace(t, '((?:^|[^\p{L}\p{N}])(?:account|Account|ACCOUNT|acct|Acct|ACCT|iban|Iban|IBAN|ssn|Ssn|SSN|passport|Passport|PASSPORT|routing|Routing|ROUTING)(?: *(?i:number|no\.?|nr\.?)(?:[ :#=]+)| *[:#=][ :#=]*| +))([A-Z0-9-]+)', '\1' || chr(1) || '\2' || chr(2), 'g') FROM d
+            UNION ALL SELECT r, 'secret', regexp_replace(t, '((?:^|[^\p{L}\p{N}])(?:token|Token|TOKEN|secret|Secret|SECRET|password|Password|PASSWORD|api_key|Api_key|API_KEY|apikey|Apikey|APIKEY) *[=:] *["'']?)([A-Za-z0-9_+/=-]{16,})', '\1' || chr(1) || '\2' || chr(2), 'g') FROM d),
+        parts AS (SELECT r, kind, string_split(x, chr(1)) AS p FROM marked WHERE contains(x, chr(1))),
+        nth AS (SELECT r, kind, p, unnest(range(2, len(p) + 1)) AS j FROM parts),
+        found AS (SELECT r, kind, CAST(list_sum(list_transform(p[1:j - 1], lambda q: length(q))) - (j - 2) AS BIGINT) AS a, split_part(p[j], chr(2), 1) AS s, left(split_part(p[j], chr(2), 2), 1) AS after FROM nth),
+        digits AS (SELECT r, kind, a, CASE WHEN kind = 'url' THEN rtrim(s, '.,;:!?)]}') ELSE s END AS s, after, regexp_replace(s, '[^0-9]', '', 'g') AS n, replace(s, ' ', '') AS v FROM found),
+        good AS (
+            SELECT r, CASE WHEN kind = 'iban' THEN 'account' ELSE kind END AS kind, a, a + length(s) AS z FROM digits WHERE CASE kind
+                WHEN 'email' THEN true
+                WHEN 'secret' THEN true
+                WHEN 'ip' THEN len(list_filter(string_split(s, '.'), lambda q: NOT regexp_matches(q, '^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$'))) = 0
+                WHEN 'phone' THEN length(n) BETWEEN 9 AND 15
+                WHEN 'card' THEN length(n) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(n) + 1), lambda i: CASE WHEN (length(n) - i) % 2 = 0 THEN CAST(n[i] AS INTEGER) WHEN n[i] > '4' THEN 2 * CAST(n[i] AS INTEGER) - 9 ELSE 2 * CAST(n[i] AS INTEGER) END)) % 10 = 0
+                WHEN 'url' THEN length(s) > position('://' IN s) + 2
+                WHEN 'account' THEN length(s) BETWEEN 6 AND 34 AND length(n) >= 5
+                ELSE length(v) BETWEEN 15 AND 34 AND NOT regexp_matches(after, '[\p{L}\p{N}]')
+                    AND list_reduce(list_transform(string_split(v[5:] || v[1:4], ''), lambda q: CASE WHEN q BETWEEN '0' AND '9' THEN CAST(q AS BIGINT) ELSE CAST(ascii(q) - 55 AS BIGINT) END), lambda x, y: (x * CASE WHEN y > 9 THEN 100 ELSE 10 END + y) % 97) = 1 END),
+        named AS (SELECT r, kind || ':' || a || ':' || z AS span, a, z, list_position(['email', 'ip', 'card', 'phone', 'url', 'account', 'secret'], kind) AS k FROM good),
+        summed AS (
+            SELECT r, count(*) FILTER (k = 1) AS n_email, count(*) FILTER (k = 2) AS n_ip, count(*) FILTER (k = 3) AS n_card, count(*) FILTER (k = 4) AS n_phone,
+                string_agg(span, ',' ORDER BY a, k, z) FILTER (k <= 4) AS base, string_agg(span, ',' ORDER BY a, k, z) AS spans
+            FROM named GROUP BY r)
+        SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN summed USING (r)
+    """,
     "op6_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \t-\r]+', ' ', 'g')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, min(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS group_size FROM t GROUP BY text_sha256)
