@@ -116,6 +116,24 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
         FROM d LEFT JOIN summed USING (r)
     """,
+    "op5_suffix_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        -- windows by way of blocks of 100 bytes, as a slice costs its distance from the start
+        p AS (SELECT r, 100 * k AS base, substr(h, 200 * k + 1, 598) AS part FROM (SELECT r, h, unnest(range(0, (octet_length(b) + 99) // 100)) AS k FROM d)),
+        w AS (SELECT r, base + i AS i, substr(part, 2 * i - 1, 400) AS s FROM (SELECT r, base, part, unnest(range(1, least(100, length(part) // 2 - 199) + 1)) AS i FROM p)),
+        k AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+        m AS (SELECT r, i FROM w JOIN k USING (s)),
+        c AS (SELECT r, i + 0 AS pos, 1 AS n FROM m UNION ALL SELECT r, i + 200, -1 FROM m),
+        e AS (SELECT r, pos, sum(n) AS n FROM c GROUP BY r, pos),
+        t AS (SELECT r, pos, sum(n) OVER (PARTITION BY r ORDER BY pos) AS depth FROM e),
+        u AS (SELECT r, pos, depth, coalesce(lag(depth) OVER (PARTITION BY r ORDER BY pos), 0) AS before FROM t),
+        g AS (SELECT r, list(pos ORDER BY pos) FILTER (depth > 0 AND before = 0) AS lo, list(pos ORDER BY pos) FILTER (depth = 0) AS hi FROM u GROUP BY r)
+        SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes,
+          CAST(coalesce(list_sum(hi) - list_sum(lo), 0) AS BIGINT) AS n_removed, CAST(coalesce(len(lo), 0) AS BIGINT) AS n_spans,
+          sha256(CASE WHEN lo IS NULL THEN b ELSE unhex(array_to_string(list_transform(range(0, len(lo) + 1),
+             lambda j: h[(CASE WHEN j = 0 THEN 0 ELSE hi[j] - 1 END) * 2 + 1 : (CASE WHEN j = len(lo) THEN octet_length(b) ELSE lo[j + 1] - 1 END) * 2]), '')) END) AS kept_sha256
+        FROM d LEFT JOIN g USING (r)
+    """,
     "op6_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \t-\r]+', ' ', 'g')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, min(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS group_size FROM t GROUP BY text_sha256)
