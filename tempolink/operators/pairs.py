@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,18 +101,18 @@ def _by_matrices(window_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, n
     one = series(window_a, nodes_a).select(F.col("loc").alias("a"), "at", _block(F.col("loc"), blocks_a).alias("ai"), F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))).alias("aj"))
     two = series(events_b, nodes_b).select(F.col("loc").alias("b"), "at", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))).alias("bi"), _block(F.col("loc"), blocks_b).alias("bj"))
 
-    def matrix(pdf: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(pdf), steps), np.float32)
-        for row, at in enumerate(pdf["at"]):
-            if at is not None:
-                out[row, at] = 1
+    def matrix(rows: pa.Table) -> np.ndarray:
+        at = rows.column("at").combine_chunks()
+        out = np.zeros((len(rows), steps), np.float32)
+        length = np.asarray(at.value_lengths().fill_null(0))
+        out[np.repeat(np.arange(len(rows)), length), np.asarray(at.flatten())] = 1
         return out
 
-    def multiply(_: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        k = matrix(a) @ matrix(b).T
-        return pd.DataFrame({"a": np.repeat(a["a"].to_numpy(), len(b)), "b": np.tile(b["b"].to_numpy(), len(a)), "k": k.ravel().astype(np.int64)})
+    def multiply(_: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        k = (matrix(a) @ matrix(b).T).ravel().astype(np.int64)
+        return pa.table({"a": np.repeat(np.asarray(a["a"]), len(b)), "b": np.tile(np.asarray(b["b"]), len(a)), "k": k})
 
-    return one.groupBy("ai", "aj").cogroup(two.groupBy("bi", "bj")).applyInPandas(multiply, "a long, b long, k long")
+    return one.groupBy("ai", "aj").cogroup(two.groupBy("bi", "bj")).applyInArrow(multiply, "a long, b long, k long")
 
 
 def precursor_counts(events_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int, rule: Coincidence = Coincidence(), strategy: str = "bitmap") -> DataFrame:  # noqa: B008
