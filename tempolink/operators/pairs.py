@@ -2,8 +2,10 @@
 
 Three ways to the same counts:
 - "sparse" joins window cells and events on their step; best for rare events.
-- "bitmap" packs each series into 64-bit words and counts common bits; the default.
-- "matmul" multiplies 0/1 matrices of blocks of places in Python workers; best for many places.
+- "bitmap" packs each series into 64-bit words and counts common bits.
+- "matmul" multiplies 0/1 matrices of blocks of places in workers.
+"auto", the default, takes bitmaps while the places fit into one block and the words into columns,
+which generated code covers, and matrices beyond.
 
 The full grid of pairs is the result, so its size is the square of the number of places. It is
 made block by block: places are put into blocks, and each pair of blocks is one key of an equi-join,
@@ -26,7 +28,7 @@ BITS = 64
 BLOCK = 512
 #: Words of a series up to which they are columns rather than an array.
 WIDE_WORDS = 64
-STRATEGIES = ("bitmap", "sparse", "matmul")
+STRATEGIES = ("auto", "bitmap", "sparse", "matmul")
 
 
 def _block(loc: Column, n_blocks: int) -> Column:
@@ -78,26 +80,29 @@ def all_pairs(nodes_a: DataFrame, nodes_b: DataFrame) -> DataFrame:
     return _grid(nodes_a.select("loc"), nodes_b.select("loc"), *_blocks(nodes_a, nodes_b)).select("a", "b")
 
 
-def pair_counts(window_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int, strategy: str = "bitmap") -> DataFrame:
+def pair_counts(window_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int, strategy: str = "auto") -> DataFrame:
     """a, b, k: steps at which b has an event inside a's window, for every pair, zeros included."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {STRATEGIES}")
     window_a, events_b = window_a.select("loc", "t_idx"), events_b.select("loc", "t_idx")
+    blocks = _blocks(nodes_a, nodes_b)
+    if strategy == "auto":
+        strategy = "bitmap" if max(blocks) == 1 and steps <= BITS * WIDE_WORDS else "matmul"
     if strategy == "sparse":
         hits = window_a.withColumnRenamed("loc", "a").join(events_b.withColumnRenamed("loc", "b"), "t_idx").groupBy("a", "b").agg(F.count("*").alias("k"))
-        return all_pairs(nodes_a, nodes_b).join(hits, ["a", "b"], "left").select("a", "b", F.coalesce("k", F.lit(0)).cast("long").alias("k"))
+        every = _grid(nodes_a.select("loc"), nodes_b.select("loc"), *blocks).select("a", "b")
+        return every.join(hits, ["a", "b"], "left").select("a", "b", F.coalesce("k", F.lit(0)).cast("long").alias("k"))
     if strategy == "bitmap":
         left, right = _words(window_a, nodes_a, steps, "wa"), _words(events_b, nodes_b, steps, "wb")
-        return _grid(left, right, *_blocks(nodes_a, nodes_b)).select("a", "b", _common(steps).alias("k"))
-    return _by_matrices(window_a, events_b, nodes_a, nodes_b, steps)
+        return _grid(left, right, *blocks).select("a", "b", _common(steps).alias("k"))
+    return _by_matrices(window_a, events_b, nodes_a, nodes_b, steps, *blocks)
 
 
-def _by_matrices(window_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int) -> DataFrame:
+def _by_matrices(window_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int, blocks_a: int, blocks_b: int) -> DataFrame:
     def series(cells: DataFrame, nodes: DataFrame) -> DataFrame:
         found = cells.groupBy("loc").agg(F.collect_list("t_idx").alias("at"))
         return nodes.select("loc").join(found, "loc", "left")
 
-    blocks_a, blocks_b = _blocks(nodes_a, nodes_b)
     one = series(window_a, nodes_a).select(F.col("loc").alias("a"), "at", _block(F.col("loc"), blocks_a).alias("ai"), F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))).alias("aj"))
     two = series(events_b, nodes_b).select(F.col("loc").alias("b"), "at", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))).alias("bi"), _block(F.col("loc"), blocks_b).alias("bj"))
 
@@ -115,15 +120,15 @@ def _by_matrices(window_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, n
     return one.groupBy("ai", "aj").cogroup(two.groupBy("bi", "bj")).applyInArrow(multiply, "a long, b long, k long")
 
 
-def precursor_counts(events_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int, rule: Coincidence = Coincidence(), strategy: str = "bitmap") -> DataFrame:  # noqa: B008
+def precursor_counts(events_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int, rule: Coincidence = Coincidence(), strategy: str = "auto") -> DataFrame:  # noqa: B008
     return from_window("precursor", precursor_window(events_a, steps, rule), events_b, nodes_a, nodes_b, steps, strategy)
 
 
-def trigger_counts(events_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int, rule: Coincidence = Coincidence(), strategy: str = "bitmap") -> DataFrame:  # noqa: B008
+def trigger_counts(events_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int, rule: Coincidence = Coincidence(), strategy: str = "auto") -> DataFrame:  # noqa: B008
     return from_window("trigger", trigger_window(events_a, steps, rule), events_b, nodes_a, nodes_b, steps, strategy)
 
 
-def from_window(kind: str, window: DataFrame, events_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int, strategy: str = "bitmap") -> DataFrame:
+def from_window(kind: str, window: DataFrame, events_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int, strategy: str = "auto") -> DataFrame:
     """Counts from a window made before; ValueError for a window of the other kind."""
     if window_kind(window)[0] != kind:
         raise ValueError(f"not a {kind} window")

@@ -180,7 +180,7 @@ for _kind in ("precursor", "trigger"):
 # --- pairs --------------------------------------------------------------------------------------
 
 
-def _counts(name: str, kind: str, rule: windows.Coincidence, strategy: str = "bitmap") -> None:
+def _counts(name: str, kind: str, rule: windows.Coincidence, strategy: str = "auto") -> None:
     count = pairs.precursor_counts if kind == "precursor" else pairs.trigger_counts
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,6 +192,7 @@ def _counts(name: str, kind: str, rule: windows.Coincidence, strategy: str = "bi
 
 
 _counts("eca_precursor_count", "precursor", RULE)
+_counts("eca_precursor_count_bitmap", "precursor", WINDOW_CASES["asym"], "bitmap")
 _counts("eca_precursor_count_sparse", "precursor", WINDOW_CASES["asym_lag"], "sparse")
 _counts("eca_precursor_count_matmul", "precursor", WINDOW_CASES["lag"], "matmul")
 _counts("eca_trigger_count", "trigger", TRIGGER)
