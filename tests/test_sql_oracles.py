@@ -24,7 +24,9 @@ def normal(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
         if v is None or v is pd.NA or v != v:
             return "None"
-        return f"{float(v):.6f}" if isinstance(v, float) else str(v)
+        if isinstance(v, float):  # pandas has whole numbers with gaps as floats
+            return str(int(v)) if v.is_integer() else f"{v:.6f}"
+        return str(v)
 
     return sorted(tuple(cell(v) for v in row) for row in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
