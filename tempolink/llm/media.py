@@ -5,8 +5,8 @@ blocks of a batch at once, one numpy step a sample position; PCM is resampled by
 with straight lines between samples.
 
 The stored form of a payload is a WAVE file with two data chunks: `data` has the payload as 8-bit
-mu-law samples, losslessly, and `pcm2` has the crc32 and the length of the PCM resampled to the
-target rate, by which a reader proves its own expansion. `store_pcm` gives that PCM itself.
+mu-law samples, losslessly, and `pcm2` has the target rate and the 16-bit PCM resampled to it.
+`store_pcm` gives that PCM as a file of its own.
 
 Cases: a null text is empty; an empty payload is one block of 64 zero bytes; equal texts give
 equal values; columns other than the id and the text are ignored.
@@ -127,9 +127,14 @@ def expand(payload: bytes, tag: int) -> np.ndarray:
 
 
 def store(payload: bytes) -> bytes:
-    """The payload as a mu-law WAVE file with the proof of its resampled PCM."""
+    """The payload as a mu-law WAVE file with its resampled PCM."""
     pcm = resample(expand(payload, MULAW), TARGET_RATE // RATE)
-    return wave(MULAW, RATE, 8, (b"data", payload), (b"pcm2", struct.pack("<III", TARGET_RATE, len(pcm), zlib.crc32(pcm))))
+    return wave(MULAW, RATE, 8, (b"data", payload), (b"pcm2", struct.pack("<I", TARGET_RATE) + pcm.astype("<i2").tobytes()))
+
+
+def read_pcm(chunk: bytes) -> tuple[int, np.ndarray]:
+    """Rate and samples of a `pcm2` chunk."""
+    return struct.unpack_from("<I", chunk)[0], np.frombuffer(chunk, "<i2", offset=4)
 
 
 def store_pcm(payload: bytes, tag: int = MULAW, rate: int = TARGET_RATE) -> bytes:
@@ -137,12 +142,12 @@ def store_pcm(payload: bytes, tag: int = MULAW, rate: int = TARGET_RATE) -> byte
     return wave(PCM, rate, 16, (b"data", resample(expand(payload, tag), rate // RATE).astype("<i2").tobytes()))
 
 
-def feature_of(payload: bytes, proof: bytes, adpcm: np.ndarray) -> str:
-    """Of what was read back: mean size and crossings of both expansions, the ADPCM decoding's
-    crc32, and whether the resampled PCM is what was stored."""
+def feature_of(payload: bytes, stored_pcm: bytes, adpcm: np.ndarray) -> str:
+    """Of what was read back: mean size and crossings of both expansions, the crc32 of the ADPCM
+    decoding and of the stored PCM, and whether that PCM is the payload's."""
     mu, a = expand(payload, MULAW), expand(payload, ALAW)
-    up = resample(mu, TARGET_RATE // RATE)
-    sound = struct.pack("<III", TARGET_RATE, len(up), zlib.crc32(up)) == proof
+    rate, up = read_pcm(stored_pcm)
+    sound = rate == TARGET_RATE and np.array_equal(up, resample(mu, TARGET_RATE // RATE))
     energy = [int(np.abs(x.astype(np.int32)).sum()) // len(x) for x in (mu, a)]
     turns = [int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0))) for x in (mu, a)]
     return f"mu={energy[0]},{turns[0]};a={energy[1]},{turns[1]};adpcm={zlib.crc32(np.ascontiguousarray(adpcm)):08x};pcm={zlib.crc32(up):08x};ok={int(sound)}"

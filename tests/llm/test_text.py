@@ -278,5 +278,22 @@ def test_media_query(spark):
     assert media.media_digests(table(spark).limit(0)).count() == 0
 
 
+def test_media_query_stores_pcm(spark):
+    got = {r["doc_id"]: r for r in media.media_digests(table(spark)).collect()}
+    for i, t in enumerate(ODD):
+        payload = media.payload_of((t or "").encode())
+        file = media.store(payload)
+        rate, pcm = media.read_pcm(media.read_wave(file)[2][b"pcm2"])
+        mu = media.expand(payload, media.MULAW)
+        assert rate == 16000 and pcm.tolist() == media.resample(mu, 2).tolist() and pcm[::2].tolist() == mu.tolist()
+        # 16 bits at twice the rate are four bytes for one of the payload
+        assert got[i]["media_bytes"] == len(file) >= 5 * len(payload)
+        assert got[i]["media_sha256"] == hashlib.sha256(file).hexdigest() and f"pcm={zlib.crc32(pcm.tobytes()):08x}" in got[i]["feature"]
+    file = bytearray(media.store(payload))
+    file[-1] ^= 1  # of the last sample
+    chunks = media.read_wave(bytes(file))[2]
+    assert media.feature_of(chunks[b"data"], chunks[b"pcm2"], np.zeros((1, 1), np.int16)).endswith("ok=0")
+
+
 def test_all_ten_are_registered():
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
