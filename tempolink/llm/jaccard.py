@@ -76,7 +76,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     count = np.bincount(rows, minlength=texts)[:texts]
     first = np.concatenate(([0], np.cumsum(count)))
     h, n = np.zeros(len(w), np.uint64), len(w)
-    for k in range(words):
+    for k in range(min(words, n)):  # no shingle begins beyond
         h[: n - k] = mix64(h[: n - k] * GOLDEN + w[k:])
     at = np.arange(n)
     full = at + words <= first[rows + 1]

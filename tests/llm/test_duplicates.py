@@ -288,6 +288,26 @@ def test_keep_one(spark):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("words", [3, 5, 8])
+def test_short_texts_alone_in_a_chunk(words):
+    texts = [" ".join("abcdefghij"[:n]).encode() for n in range(10)]
+    ends = np.cumsum([0, *map(len, texts)])
+    h, bounds = jaccard.shingle_sets(np.frombuffer(b"".join(texts), np.uint8), ends, words)
+    for k, t in enumerate(texts):
+        alone, own = jaccard.shingle_sets(np.frombuffer(t, np.uint8), np.array([0, len(t)]), words)
+        assert own.tolist() == [0, len(alone)] and alone.tolist() == h[bounds[k] : bounds[k + 1]].tolist()
+
+
+def test_jaccard_of_short_texts_alone_in_a_batch(spark):
+    docs = table(spark, [(3, "One two"), (1, "one two three"), (2, "one  two")])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = sorted(tuple(r) for r in jaccard.jaccard_components(docs, jaccard.Rule(5, 80, 100)).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(1, 1, 1), (2, 1, 2), (3, 1, 2)]
+
+
 def test_rows_without_ids_connect_others(spark):
     words = [f"w{k}" for k in range(120)]
     a, b, c = " ".join(words[:112]), " ".join(words[4:116]), " ".join(words[8:120])
