@@ -94,7 +94,8 @@ def null_model(spark: SparkSession, times: list[int], tm: float, max_events, sig
 
     top = max(top_a, top_b)
     grid = spark.range(3, top + 1).select(F.col("id").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(3).cast("long"), F.col("i")))) if top >= 3 else spark.createDataFrame([], "i long, j long")
-    made = grid.repartition("i", "j").mapInPandas(run, "noe_a long, noe_b long, significance double, crit long")
+    # a number of parts, as the few bytes would else be coalesced into one task
+    made = grid.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "i", "j").mapInPandas(run, "noe_a long, noe_b long, significance double, crit long")
     every = spark.range(top_a + 1).select(F.col("id").alias("noe_a")).withColumn("noe_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(top_b).cast("long"))))
     every = every.withColumn("significance", F.explode(F.array(*map(F.lit, levels))))
     crit = F.coalesce("crit", F.lit(0).cast("long"))

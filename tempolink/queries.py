@@ -329,9 +329,18 @@ def event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.event_gaps(order_days(spark, sf_dir))
 
 
-def closed_form_crit(spark: SparkSession) -> DataFrame:
+def burst_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.event_counts(bursts(spark, sf_dir), users(spark, sf_dir))
+
+
+def most_bursts(spark: SparkSession, sf_dir: str) -> int:
+    """Of any user: as far as a table of critical values has to reach."""
+    return burst_counts(spark, sf_dir).agg(F.max("event_count")).first()[0] or 0
+
+
+def closed_form_crit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of critical values with a known form, for the lookup."""
-    noe = spark.range(201)
+    noe = spark.range(most_bursts(spark, sf_dir) + 1)
     return noe.select(F.col("id").alias("noe_a")).crossJoin(noe.select(F.col("id").alias("noe_b"))).select("noe_a", "noe_b", F.lit(0.05).alias("significance"), F.floor(F.least("noe_a", "noe_b") / 6).cast("long").alias("crit"))
 
 
@@ -340,13 +349,13 @@ CRIT = f"WITH {SYNC}, n AS (SELECT nodes.loc, count(ev.loc) AS n FROM nodes LEFT
 
 @query(f"{CRIT} SELECT a, b, es, crit FROM c")
 def critical_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = events.event_counts(bursts(spark, sf_dir), users(spark, sf_dir))
-    return significance.critical_for_pairs(closed_form_crit(spark), event_sync(spark, sf_dir), n, n)
+    n = burst_counts(spark, sf_dir)
+    return significance.critical_for_pairs(closed_form_crit(spark, sf_dir), event_sync(spark, sf_dir), n, n)
 
 
 @query(f"{CRIT} SELECT a, b, es, crit, es > crit AS link FROM c")
 def link_critical_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return es_network(extremes(spark, sf_dir), users(spark, sf_dir), closed_form_crit(spark), TM, 0.05)
+    return es_network(extremes(spark, sf_dir), users(spark, sf_dir), closed_form_crit(spark, sf_dir), TM, 0.05)
 
 
 @query(f"{CRIT} SELECT a, b, es, crit, es >= crit AS link FROM c")
@@ -356,7 +365,15 @@ def link_critical_ge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def null_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return significance.null_model(spark, list(range(STEPS)), TM, 12, (0.05, 0.01), samples=400, min_es=2, seed=1)
+    return significance.null_model(spark, list(range(STEPS)), TM, most_bursts(spark, sf_dir), (0.05, 0.01), samples=2000, min_es=2, seed=1)
+
+
+@query()
+def es_network_null_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An hour's extremes to the network of users by what chance exceeds in one of 20 draws."""
+    path = blocks.scratch_path(spark, "null-model")  # the draws are made once, though the lookup reads them several times
+    null_model(spark, sf_dir).write.parquet(path)
+    return es_network(extremes(spark, sf_dir), users(spark, sf_dir), spark.read.parquet(path), TM, 0.05)
 
 
 # --- geometry and grids -------------------------------------------------------------------------

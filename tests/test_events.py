@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tempolink import queries
 from tempolink.operators import axis, events, links, pairs, significance, sync, windows
 from tempolink.functions.stats import binomial_cdf
 
@@ -244,3 +247,39 @@ def test_axes(spark):
     spots = spark.createDataFrame([(10.0, 5.0), (-10.0, 7.0), (-10.0, 5.0)], "lat double, lon double")
     assert [(r["lat"], r["lon"]) for r in axis.places(spots).orderBy("loc").collect()] == [(-10.0, 5.0), (-10.0, 7.0), (10.0, 5.0)]
     assert axis.with_suffix(spots, "A").columns == ["latA", "lonA"]
+
+
+def burst_tables(spark, path, hours):
+    """events of users with a burst in each of the given hours."""
+    rows = [(u, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), 60.0) for u, hs in hours.items() for h in hs]
+    rows.append((99, dt.datetime(2024, 1, 1), 1.0))  # no burst
+    spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, value double").withColumn("event_type", F.lit("error")).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_null_model_queries_reach_the_largest_count(spark, tmp_path):
+    hours = {1: range(0, 700, 40), 2: range(3, 703, 40), 3: range(17, 717, 100), 4: [5, 300]}
+    sf = burst_tables(spark, tmp_path, hours)
+    crit = {(r["noe_a"], r["noe_b"], r["significance"]): r["crit"] for r in queries.null_model(spark, sf).collect()}
+    assert set(crit) == {(a, b, s) for a in range(19) for b in range(19) for s in (0.05, 0.01)}
+    # the draws of the reference, by their number
+    scores = significance.null_scores(np.arange(720), 18, 7, 30, 2000, 1, False)
+    assert crit[18, 7, 0.05] == crit[7, 18, 0.05] == max(2, int(np.percentile(scores, 95)))
+    n = {1: 18, 2: 18, 3: 7, 4: 2, 99: 0}
+    got = {(r["a"], r["b"]): r for r in queries.es_network_null_model(spark, sf).collect()}
+    assert set(got) == {(a, b) for a in n for b in n}
+    assert all(r["crit"] == crit[n[a], n[b], 0.05] and r["link"] == (r["es"] > r["crit"]) for (a, b), r in got.items())
+    es = {(r["a"], r["b"]): r["es"] for r in queries.event_sync(spark, sf).collect()}
+    assert all(r["es"] == es[p] for p, r in got.items())
+    assert got[1, 2]["link"] and got[2, 1]["link"] and not got[1, 4]["link"] and not got[1, 99]["link"]
+
+
+def test_critical_values_of_many_bursts(spark, tmp_path):
+    """240 bursts of one user, against the SQL."""
+    sf = burst_tables(spark, tmp_path, {1: range(0, 720, 3), 2: range(0, 720, 4), 3: [7, 90, 300]})
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet/*.parquet'")
+    for name in ("critical_lookup", "link_critical_gt", "link_critical_ge"):
+        got = queries.QUERIES[name](spark, sf)
+        want = con.execute(queries.SQL[name]).df()
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.itertuples(index=False, name=None))
