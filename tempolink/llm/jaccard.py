@@ -431,25 +431,47 @@ def region_links(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return rows.select("pivot", "set_id", "block", "i", "j", "hashes").mapInArrow(run, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
-    """doc_id, n_shingles, component_id (the smallest id that links reach) for every row."""
-    # rows are told apart by id and text, as ids may repeat or be missing
+def row_key() -> Column:
+    """Rows are told apart by id and text, as ids may repeat or be missing; those without come last."""
+    return F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "txt")
+
+
+def rows_and_firsts(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Every row's doc_id, txt, n_shingles, set_id, and every set's set_id and `first`, the key of
+    the first row that links reach."""
     read = id_and_text(docs, id_col, text_col).withColumn("txt", F.xxhash64("text"))
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = materialise(sets_of(read, rule), "sets")
     members = materialise(merged(materialise(region_members(packed_cells(read, rule, n_parts), n_parts), "cells").distinct()), "members")
-    points = known.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max(F.struct(known_id().alias("doc"), "txt")).alias("one"))
-    wanted = points.select("set_id", "one.*").join(members.select("set_id").distinct(), "set_id")
+    points = known.where("set_id is not null").groupBy("set_id").agg(F.min(row_key()).alias("first"))
+    one = points.select("set_id", "first.doc_id", "first.txt")
+    wanted = one.select("set_id", known_id().alias("doc"), "txt").join(members.select("set_id").distinct(), "set_id")
     sets = materialise(fetch_sets(read, wanted, rule), "shingles")
     links = region_links(members, sets, rule)
     roots = components(links).withColumnsRenamed({"node": "set_id"})
-    named = points.drop("one").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    lowest = named.where(F.col("root").isNotNull()).join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("doc_id").alias("low"))
-    named = named.join(lowest, "root", "left").select("set_id", F.coalesce("low", "doc_id").alias("component_id"))
-    return known.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = points.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    lowest = named.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("low"))
+    return known, named.join(lowest, "root", "left").select("set_id", F.coalesce("low", "first").alias("first"))
 
 
-def keep_one(docs: DataFrame, rule: Rule, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, with all their columns, less those linked to one with a smaller id."""
-    drop = jaccard_components(docs, rule, id_col).where("doc_id != component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop.hint("shuffle_hash"), docs[id_col] == drop["__drop"], "left_anti")
+def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
+    """doc_id, n_shingles, component_id (the smallest id that links reach) for every row."""
+    known, firsts = rows_and_firsts(docs, rule, id_col, text_col)
+    return known.join(firsts, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first row of each component, with all its columns: the one with the smallest id, and of
+    several with that id, or of rows without ids alone, the one with the smallest hash of its text.
+    Rows without words all stay."""
+    known, firsts = rows_and_firsts(docs, rule, id_col, text_col)
+    lost = ~row_key().eqNullSafe(F.col("first"))
+    keys = known.join(firsts, "set_id").groupBy(F.col("doc_id").alias("__doc"), F.col("txt").alias("__hash")).agg(F.bool_or(lost).alias("lost"), F.count("*").alias("n"))
+    keys = materialise(keys.where("lost or n > 1"), "drop")
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__txt": F.xxhash64(F.col(text_col).cast("string"))})
+    same = F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__txt") == F.col("__hash"))
+    kept = keyed.join(keys.hint("shuffle_hash"), same, "left_anti")
+    again = keys.where("not lost")
+    if not again.isEmpty():  # rows alike in id and text, of which one stays
+        kept = kept.unionByName(keyed.join(again.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["__id", "__txt"]))
+    return kept.drop("__id", "__txt")

@@ -288,6 +288,23 @@ def test_keep_one(spark):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_keep_one_with_repeated_and_missing_ids(spark):
+    words = [f"w{k}" for k in range(120)]
+    near = lambda lead, n: " ".join([*(f"{lead}{w}" for w in words[:n])])
+    rows = [
+        *[(1, near("a", 100)), (2, near("a", 97)), (2, "a clean text of its own")],  # the id of a near copy
+        *[(5, near("b", 100)), (5, near("b", 97))],  # near copies with one id
+        *[(7, near("c", 100)), (None, near("c", 97))],  # one without an id
+        *[(None, near("d", 100)), (None, near("d", 97))],  # both without
+        *[(9, near("e", 100)), (9, near("e", 100)), (9, near("e", 97))],  # the same row twice
+        *[(None, None), (None, ""), (3, None)],
+    ]
+    kept = jaccard.keep_one(table(spark, rows).repartition(3), jaccard.Rule(5, 80, 100))
+    assert kept.columns == table(spark, rows).columns
+    got = collections.Counter((r["doc_id"], r["text"][0] if r["text"] else r["text"], len((r["text"] or "").split()) < 9) for r in kept.collect())
+    assert got == {(1, "a", False): 1, (2, "a", True): 1, (5, "b", False): 1, (7, "c", False): 1, (None, "d", False): 1, (9, "e", False): 1, (None, None, True): 1, (None, "", True): 1, (3, None, True): 1}
+
+
 @pytest.mark.parametrize("words", [3, 5, 8])
 def test_short_texts_alone_in_a_chunk(words):
     texts = [" ".join("abcdefghij"[:n]).encode() for n in range(10)]
