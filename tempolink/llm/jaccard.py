@@ -1,20 +1,22 @@
 """Exact Jaccard join of shingle sets in a metric space, and its components.
 
-Two sets are linked when their Jaccard distance is at most r. The join works down a recursion:
+Two sets are linked when their Jaccard distance is at most r. The join has three steps:
 
 1. Projections. A hash splits the shingles into m classes, and a set into m parts. Linked sets
-   differ in at most T shingles, so with m > T parts at least one part agrees wholly: in that
-   projection the two sets lie at distance 0. All sets with the same part are a cell; the smallest
-   of them is its pivot. T follows from the size of the smaller set, so sets are treated in bands
-   of size, and a set joins every band in which a smaller partner may stand (the window of sizes).
-2. Regions. A pivot's Voronoi region holds every set of the cells that it leads. A linked pair
-   shares a cell, hence a region. A region whose pivot stands in another one is merged into it,
-   which keeps pairs together and moves a set once rather than several times. Regions with more than `REGION` sets are dealt out as pairs of
-   blocks, every one with the pivot.
+   differ in at most T shingles, so with m > T parts at least one part agrees wholly (pigeonhole).
+   All sets with the same part are a cell; the smallest of them is its pivot. T follows from the
+   size of the smaller set, so sets are treated in bands of size, and a set joins every band in
+   which a smaller partner may stand (the window of sizes).
+2. Regions. A pivot's region holds every set of the cells that it leads; a linked pair shares a
+   cell, hence a region. A region whose pivot stands in another one is merged into it, which keeps
+   pairs together and moves a set once rather than several times. Sets are not assigned to the
+   nearest pivot, and none is replicated along a boundary. A region with more than `REGION` sets is
+   cut once into hash blocks and dealt out as pairs of them, every one with the pivot; there is no
+   recursion.
 3. Inside a region. Distances to the pivot split it: within r of the pivot is the ball, linked by
-   the pivot alone. By the triangle inequality two sets can be linked only if their distances to
-   the pivot differ by r at most; a set outside the ball is checked against this window only, by
-   its rarest shingles first, and never against sets that it is already connected to.
+   the pivot alone. A set outside the ball finds candidates by a prefix index of its rarest
+   shingles. By the triangle inequality two sets can be linked only if their distances to the pivot
+   differ by r at most, which filters them; sets already connected are not compared.
 
 Only true links leave a region, at most one for each set. Equal sets are one point from the start.
 Sets are held as 64-bit hashes of their shingles, points by 64-bit digests of the sets.
