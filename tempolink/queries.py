@@ -471,6 +471,11 @@ def stack_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.stacked(grids.regular_grid(spark, 7.5, 7.5).where("point_id % 7 = 3")).select("point_id", "loc")
 
 
+@query(f"WITH {REGULAR} SELECT point_id, CAST(dense_rank() OVER (ORDER BY lat, lon) - 1 AS INTEGER) AS loc FROM reg")
+def stack_index_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.stacked(grids.regular_grid(spark, 7.5, 7.5)).select("point_id", "loc")
+
+
 FIB600 = FIB.format(e="0.36::DOUBLE", n=600)
 
 
@@ -565,6 +570,14 @@ def blocks_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.read_blocks(spark, path, 50, (10, 69), (20, 99))
 
 
+@query(f"{CNT} SELECT a, b, k FROM cnt")
+def blocks_roundtrip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block that was written."""
+    path = blocks.scratch_path(spark, "blocks")
+    blocks.write_blocks(base_counts(spark, sf_dir), path, size=50)
+    return blocks.read_blocks(spark, path, 50)
+
+
 @query("SELECT value FROM (SELECT unnest(['gridtype\t= unstructured', 'gridsize\t= 6', 'xsize\t= 6', 'ysize\t= 6', 'xvals\t= -120.0   0.0   120.0   -120.0   0.0   120.0', 'yvals\t= -45.0   -45.0   -45.0   45.0   45.0   45.0', 'xunits\t= degrees', 'yunits\t= degrees']) AS value)")
 def gridfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = blocks.scratch_path(spark, "gridfile")

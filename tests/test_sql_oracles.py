@@ -49,3 +49,9 @@ def test_flagship(spark):
 
     assert __spark_entry__.entry(spark).count() == 225
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_tables(spark):
+    """The grid and the written blocks without a cut; test_query compares them with their SQL."""
+    assert queries.stack_index_whole(spark, SF).count() == 48 * 24
+    assert queries.blocks_roundtrip_whole(spark, SF).count() == 15 * 15
