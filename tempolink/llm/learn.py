@@ -8,8 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Labelled documents to learn from, at most: those whose ids hash lowest.
 SAMPLE_ROWS = 6000
+#: Characters of text to learn from, at most: documents are taken whole, in the order of that hash.
+SAMPLE_CHARS = 1 << 27
 FOLDS = 5
 
 
@@ -22,13 +26,23 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
-    """At most `rows` (text, label) of labelled documents outside the held-out fold. The bounded
-    list of labels is broadcast, so no text is shuffled."""
+def training_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
+    """(text, label) of at most `rows` labelled documents outside the held-out fold, and of at most
+    `SAMPLE_CHARS` characters in all, whichever bound is met first. The bounded list of labels is
+    broadcast, and only texts of the sample move. An id with several labels has the smallest, one
+    with several texts the smallest of them, so that repeated rows count once."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out(F.col("doc_id")))
-    some = known.select(F.col("doc_id").alias("__id"), F.col(target).cast("int").alias("__label")).orderBy(F.xxhash64("__id"), "__id", "__label").limit(rows).dropDuplicates(["__id"])
-    picked = docs.join(F.broadcast(some), docs["doc_id"] == some["__id"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "__label")
-    return [(r["text"], r["__label"]) for r in sorted(picked.limit(2 * rows).collect(), key=lambda r: (r["doc_id"], r["text"]))]
+    one = known.groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.col(target).cast("int")).alias("__label"))
+    some = one.withColumn("__hash", F.xxhash64("__id")).orderBy("__hash", "__id").limit(rows)
+    read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = read.join(F.broadcast(some), read["doc_id"] == some["__id"])
+    sample = materialise(found.groupBy("__id", "__hash", "__label").agg(F.min("text").alias("text")), "sample")
+    # sizes first, at most `rows` short lines, so that the driver never sees more than the bound
+    sizes = sorted(sample.select("__hash", "__id", F.length("text")).collect())
+    whole = np.cumsum([n for _, _, n in sizes]) <= max_chars
+    if not whole.all():
+        sample = sample.where(F.col("__id").isin([i for (_, i, _), ok in zip(sizes, whole.tolist(), strict=True) if ok]))
+    return [(r["text"], r["__label"]) for r in sorted(sample.collect(), key=lambda r: r["__id"])]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -105,9 +105,11 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> Lines:
     own[filled, 15] = TERMINAL[data[end[filled] - 1]]
     own[filled, 16] = CLASSES[1][data[start[filled]]]
     own[:, 17] = count == 1
-    # symbols at the ends of words, and bars between them
+    # symbols at the ends of words (before a space, or at the end of the text), and bars between them
     symbol = CLASSES[6] | CLASSES[5]
-    tail = symbol[data] & np.append(data[1:] == 32, True)
+    closing = np.append(data[1:] == 32, True)[: len(data)]
+    closing[offsets[1:][offsets[1:] > 0] - 1] = True
+    tail = symbol[data] & closing
     own[:, 18] = np.minimum(total(tail) / m, 2)
     own[:, 19] = np.minimum(total(CLASSES[7][data]) / m, 2)
     # a line that its text has more than once
@@ -136,6 +138,11 @@ def with_neighbours(lines: Lines) -> np.ndarray:
     return x
 
 
+def onward(x: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """x @ e for pairs, written out: a product's rounding depends on how many rows it has."""
+    return x[:, :1] * e[0] + x[:, 1:] * e[1]
+
+
 def marginals(unary: np.ndarray, trans: np.ndarray, first: np.ndarray, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """P(good) of every line, and the expected transitions (2, 2), over all chains at once: a step
     takes the k-th line of every chain that has one. unary: weight of good over bad."""
@@ -152,7 +159,7 @@ def marginals(unary: np.ndarray, trans: np.ndarray, first: np.ndarray, labels: n
     e = np.exp(trans)
     for k in range(longest):
         at = start[: alive[k]] + k
-        a = emit[at] if k == 0 else (alpha[at - 1] @ e) * emit[at]
+        a = emit[at] if k == 0 else onward(alpha[at - 1], e) * emit[at]
         alpha[at] = a / a.sum(axis=1, keepdims=True)
     expected = np.zeros((2, 2))
     for k in range(longest - 1, -1, -1):
@@ -162,7 +169,7 @@ def marginals(unary: np.ndarray, trans: np.ndarray, first: np.ndarray, labels: n
         if more:
             on = at[:more]
             nxt = emit[on + 1] * beta[on + 1]
-            b = nxt @ e.T
+            b = onward(nxt, e.T)
             beta[on] = b / b.sum(axis=1, keepdims=True)
             joint = alpha[on][:, :, None] * e[None] * nxt[:, None, :]
             expected += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
@@ -196,6 +203,12 @@ class Field:
     def score(self, lines: Lines) -> np.ndarray:
         return sigmoid(self.slope * logit(self.raw(lines)) + self.shift)
 
+    def score_texts(self, col: pa.Array) -> np.ndarray:
+        """Scores of a column of texts; features are held for a chunk of them at a time."""
+        data, offsets = text_buffer(col)
+        parts = [self.score(lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in row_chunks(offsets)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
 
 def logit(p: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-6, 1 - 1e-6)
@@ -268,7 +281,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = field.score(all_lines(b.column("text")))
+            score = field.score_texts(b.column("text"))
             ids = b.column("doc_id")
             yield pa.RecordBatch.from_arrays([ids, pa.array(map(is_held_out, ids.to_pylist()), pa.bool_()), pa.array(score, pa.float64()), pa.array(score >= threshold, pa.bool_()).cast(pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -276,12 +289,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that score at least the threshold."""
+    """The rows of docs, with all their columns, that score at least the threshold. docs: doc_id and
+    text, and any others; labels: doc_id and quality."""
     field = fit_quality(docs, labels)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(field.score(all_lines(b.column(at))) >= threshold))
+            yield b.filter(pa.array(field.score_texts(b.column(at)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -120,3 +120,108 @@ def test_sparse_weights():
 def test_folds():
     assert learn.is_held_out(None) is False
     assert all(learn.is_held_out(i) == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(50))
+
+
+def test_sample_of_repeated_ids(spark):
+    """One text and one label for an id, whatever the order of rows, and both bounds."""
+    rows = [(1, "b"), (1, "a"), (1, "a"), (2, None), (3, "ccc"), (4, "x"), (None, "z")]
+    some = [(1, 1), (1, 0), (2, 1), (3, 0), (3, 0), (4, None), (None, 1), (7, 1)]
+    for seed in range(3):
+        rng = random.Random(seed)
+        rng.shuffle(rows)
+        rng.shuffle(some)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        labels = spark.createDataFrame(some, "doc_id long, quality int")
+        held = {i for i in (1, 2, 3) if learn.is_held_out(i)}
+        want = [x for i, x in ((1, ("a", 0)), (2, ("", 1)), (3, ("ccc", 0))) if i not in held]
+        assert learn.training_sample(docs, labels, "quality") == want
+        assert len(learn.training_sample(docs, labels, "quality", rows=1)) <= 1
+        assert sum(len(t) for t, _ in learn.training_sample(docs, labels, "quality", max_chars=2)) <= 2
+
+
+def plain_ftrl(rows, labels, seed):
+    """The update written out for one coordinate at a time; the bias has no L1."""
+    z, n = {}, {}
+
+    def weight(i):
+        if i not in z:
+            return 0.0
+        l1 = 0.0 if i == toxicity.BUCKETS else toxicity.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * l1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(toxicity.PASSES):
+        for k in order.permutation(len(rows)):
+            w = {i: weight(i) for i in rows[k]}
+            p = 1 / (1 + np.exp(-sum(w.values())))
+            g = (p - labels[k]) * (toxicity.TOXIC_WEIGHT if labels[k] else 1)
+            for i in rows[k]:
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / toxicity.ALPHA * w[i]
+                n[i] = before + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_against_plain_updates():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(25)]
+    sample = []
+    for i in range(250):
+        w = [rng.choice(words) for _ in range(12)]
+        if i % 3 == 0:
+            w[rng.randrange(12)] = "vile"
+        sample.append((" ".join(w), int(i % 3 == 0)))
+    found = [set(r.tolist()) for r in toxicity.distinct_features([t for t, _ in sample])]
+    often = {}
+    for r in found:
+        for i in r:
+            often[i] = often.get(i, 0) + 1
+    rows = [[*(i for i in sorted(r) if often[i] >= toxicity.LEAST_DOCS), toxicity.BUCKETS] for r in found]
+    want = plain_ftrl(rows, [y for _, y in sample], 7)
+    model = toxicity.train(sample, 7)
+    assert model.intercept == pytest.approx(want.pop(toxicity.BUCKETS), rel=1e-9)
+    want = {i: w for i, w in want.items() if w}
+    assert model.buckets.tolist() == sorted(want) and len(want) > 5
+    assert np.allclose(model.values, [want[i] for i in sorted(want)], rtol=1e-5)
+
+
+def test_crf_training_follows_the_gradient():
+    """The step that training takes is the gradient of the likelihood: against differences."""
+    rng = np.random.default_rng(4)
+    first = np.array([0, 3, 4, 8])
+    label = np.repeat([1, 0, 1], np.diff(first))
+    unary, trans = rng.normal(size=8), rng.normal(size=(2, 2))
+
+    def likelihood(u, t):
+        total = 0.0
+        for a, z in zip(first[:-1], first[1:], strict=True):
+            def score(path, a=a, z=z):
+                return sum(u[a + k] * path[k] for k in range(z - a)) + sum(t[path[k], path[k + 1]] for k in range(z - a - 1))
+            every = [score(p) for p in itertools.product((0, 1), repeat=z - a)]
+            total += score(label[a:z].tolist()) - np.log(np.sum(np.exp(every)))
+        return total
+
+    p, expected = quality.marginals(unary, trans, first)
+    seen = np.zeros((2, 2))
+    for a, z in zip(first[:-1], first[1:], strict=True):
+        for k in range(a, z - 1):
+            seen[label[k], label[k + 1]] += 1
+    for k in range(8):
+        up = unary + 1e-5 * (np.arange(8) == k)
+        assert (likelihood(up, trans) - likelihood(unary, trans)) / 1e-5 == pytest.approx(label[k] - p[k], abs=1e-3)
+    for i, j in itertools.product((0, 1), repeat=2):
+        up = trans.copy()
+        up[i, j] += 1e-5
+        assert (likelihood(unary, up) - likelihood(unary, trans)) / 1e-5 == pytest.approx((seen - expected)[i, j], abs=1e-3)
+
+
+def test_scores_do_not_depend_on_the_chunk(monkeypatch):
+    rng = random.Random(1)
+    texts = [None, "", *("\n".join(" ".join(rng.choice(["good", "word.", "###", "A"]) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 30))) for _ in range(60))]
+    model = quality.train([(t or "", i % 2) for i, t in enumerate(texts)])
+    whole = model.score_texts(pa.array(texts, pa.string()))
+    alone = np.concatenate([model.score_texts(pa.array([t], pa.string())) for t in texts])
+    assert np.array_equal(whole, alone) and len(model.score_texts(pa.array([], pa.string()))) == 0
