@@ -27,8 +27,10 @@ from .common import id_and_text, texts_of
 
 #: Pieces of at most so many bytes are merged directly: the tree's leaves.
 LEAF_BYTES = 4
-#: Pre-tokens kept with their ids, a worker; the cache starts anew beyond that.
+#: Pre-tokens kept with their ids, a worker; the cache starts anew beyond that. Longer ones than
+#: `CACHE_CHARS` are not kept.
 CACHE_WORDS = 1 << 19
+CACHE_CHARS = 64
 #: Subtrees of at most so many bytes are kept too: the halves of words recur.
 NODE_BYTES = 8
 #: Pre-tokens, or ids, in a leaf of a document's tree.
@@ -142,6 +144,8 @@ class MergeTree:
     def _word(self, word: str) -> bytes:
         got = self._words.get(word)
         if got is None:
+            if len(word) > CACHE_CHARS:
+                return np.array(self.encode_word(word), "<u4").tobytes()
             if len(self._words) >= CACHE_WORDS:
                 self._words.clear()
             got = self._words[word] = np.array(self.encode_word(word), "<u4").tobytes()

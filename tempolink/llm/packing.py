@@ -17,7 +17,7 @@ each; a table without rows gives no pieces; columns other than the id and the te
 
 from __future__ import annotations
 
-import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +30,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, materialise, texts_of
-from .token_count import SPLIT, byte_symbols
+from .token_count import SPLIT, byte_symbols, plain_bpe
+
+#: Runs of white space beyond which a text is read by the tokenizers library alone: the faster one
+#: goes back over such a run step by step, and gives up on one of about a million.
+LONG_SPACE = re.compile(r"\s{4096}")
 
 
 @dataclass(frozen=True)
@@ -50,18 +54,44 @@ class Capacity:
 
 @lru_cache(maxsize=2)
 def encoder_for(path: str):  # noqa: ANN201
-    """Ids as the tokenizers library gives them for a byte-level BPE file, its added tokens'
-    strings inside texts included, by the faster of the two libraries that read such merges."""
+    """Ids as the tokenizers library gives them, its added tokens' strings inside texts included;
+    for plain byte-level BPE files by the faster of the two libraries that read such merges."""
     import tiktoken
+    from tokenizers import Tokenizer
 
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    byte = {s: b for b, s in enumerate(byte_symbols())}
-    added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-    ranks = {bytes(byte[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in added}
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+
+    def slow(text: str) -> np.ndarray:
+        return np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    try:
+        spec = plain_bpe(path)
+        ranks, added = merge_ranks(spec), {x["content"]: x["id"] for x in spec["added_tokens"]}
+    except ValueError:
+        return slow
     coder = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=added)
     every = set(added)
-    return lambda text: coder.encode_to_numpy(text, allowed_special=every)
+
+    def encode(text: str) -> np.ndarray:
+        return slow(text) if LONG_SPACE.search(text) else coder.encode_to_numpy(text, allowed_special=every)
+
+    return encode
+
+
+def merge_ranks(spec: dict) -> dict[bytes, int]:
+    """Bytes to ids of a plain byte-level BPE. ValueError unless ids rank the merges as their list
+    does and all bytes have ids."""
+    byte = {s: b for b, s in enumerate(byte_symbols())}
+    vocab, added = spec["model"]["vocab"], {x["content"] for x in spec["added_tokens"]}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    made = [vocab["".join(p)] for p in pairs]
+    ranks = {bytes(byte[c] for c in s): i for s, i in vocab.items() if s not in added}
+    alone = sum(len(b) == 1 for b in ranks)
+    if made != sorted(set(made)) or alone != 256 or len(ranks) != alone + len(made):
+        raise ValueError("ids are no ranks of merges")
+    return ranks
 
 
 def cut(length: int, size: int) -> list[tuple[int, int]]:

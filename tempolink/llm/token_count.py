@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 
 from .common import id_and_text, texts_of
 
-#: Pre-tokens kept with their counts beyond the vocabulary, a worker.
+#: Pre-tokens kept with their counts beyond the vocabulary, a worker, and the longest one kept.
 CACHE_WORDS = 1 << 18
+CACHE_CHARS = 64
 #: The split of byte-level BPE, and its printable stand-ins for bytes.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -37,17 +38,37 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def plain_bpe(path: str) -> dict:
+    """The contents of a byte-level BPE file whose settings leave only the split and the merges;
+    ValueError for any other, which the library itself has to read."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before, after = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("post_processor") or {}
+    plain = (
+        model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+        and before.get("type") == "ByteLevel"
+        and not before.get("add_prefix_space")
+        and before.get("use_regex", True)
+        and not spec.get("normalizer")
+        and after.get("type", "ByteLevel") == "ByteLevel"
+        and not any(x.get(k) for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    )
+    if not plain:
+        raise ValueError(f"{path}: not a plain byte-level BPE")
+    return spec
+
+
 class WholeTokens:
     """Counts for a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        spec = plain_bpe(path)
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        if spec["model"]["type"] != "BPE" or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or spec["normalizer"] or spec["pre_tokenizer"]["add_prefix_space"]:
-            raise ValueError(f"{path}: not a plain byte-level BPE")
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.added = [x["content"] for x in spec["added_tokens"]]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.symbols = byte_symbols()
@@ -69,11 +90,16 @@ class WholeTokens:
     def _merged(self, word: str) -> int:
         n = self.counts.get(word)
         if n is None:
+            if len(word) > CACHE_CHARS:
+                return self._tokens(word)
             if len(self.counts) >= CACHE_WORDS + len(self.whole):
                 self.counts = dict.fromkeys(self.whole, 1)
-            n = self.counts[word] = len(self.tokenizer.model.tokenize("".join(map(self.symbols.__getitem__, word.encode("utf-8")))))
+            n = self.counts[word] = self._tokens(word)
         return n
 
+    def _tokens(self, word: str) -> int:
+        return len(self.tokenizer.model.tokenize("".join(map(self.symbols.__getitem__, word.encode("utf-8")))))
+
     def count(self, text: str) -> int:
         parts = self.cut.split(text) if self.cut else [text]
         return len(parts) - 1 + sum(sum(map(self._merged, self.split.findall(p))) for p in parts if p)
@@ -92,6 +118,8 @@ class Library:
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_file(path)
+            model.no_truncation()
+            model.no_padding()
             self.count = lambda text: len(model.encode(text, add_special_tokens=False).ids)
 
 

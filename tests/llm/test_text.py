@@ -13,6 +13,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tempolink.llm import bpe, media, packing, pii, token_count
 from tempolink.llm.queries import QUERIES
@@ -255,8 +256,8 @@ def test_adpcm_across_blocks():
 
 def test_resampling_keeps_samples():
     pcm = np.array([0, 100, -100, 32767, -32768], np.int16)
-    assert media.resample(pcm, 2)[::2].tolist() == pcm.tolist()
-    assert media.resample(pcm, 2)[1::2].tolist() == [50, 0, 16333, -1, -32768]
+    assert media.resample(pcm, 1, 2)[::2].tolist() == pcm.tolist()
+    assert media.resample(pcm, 1, 2)[1::2].tolist() == [50, 0, 16333, -1, -32768]
 
 
 def test_media_query(spark):
@@ -285,7 +286,7 @@ def test_media_query_stores_pcm(spark):
         file = media.store(payload)
         rate, pcm = media.read_pcm(media.read_wave(file)[2][b"pcm2"])
         mu = media.expand(payload, media.MULAW)
-        assert rate == 16000 and pcm.tolist() == media.resample(mu, 2).tolist() and pcm[::2].tolist() == mu.tolist()
+        assert rate == 16000 and pcm.tolist() == media.resample(mu, 8000, 16000).tolist() and pcm[::2].tolist() == mu.tolist()
         # 16 bits at twice the rate are four bytes for one of the payload
         assert got[i]["media_bytes"] == len(file) >= 5 * len(payload)
         assert got[i]["media_sha256"] == hashlib.sha256(file).hexdigest() and f"pcm={zlib.crc32(pcm.tobytes()):08x}" in got[i]["feature"]
@@ -297,3 +298,102 @@ def test_media_query_stores_pcm(spark):
 
 def test_all_ten_are_registered():
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+
+
+# --- very long texts, repeated rows, rates ------------------------------------------------------
+
+
+@pytest.mark.parametrize("rate", [1, 4000, 8000, 11025, 16000, 44100])
+def test_pcm_at_any_rate(rate):
+    payload = bytes(range(256))
+    tag, at, chunks = media.read_wave(media.store_pcm(payload, media.ALAW, rate))
+    got = np.frombuffer(chunks[b"data"], "<i2").astype(int)
+    a = media.ALAW_PCM.astype(int)
+    want = []
+    for k in range(-(-256 * rate // 8000)):
+        i, rest = divmod(k * 8000, rate)
+        want.append(a[i] + (a[min(i + 1, 255)] - a[i]) * rest // rate)
+    assert (tag, at) == (media.PCM, rate) and got.tolist() == want
+    with pytest.raises(ValueError):
+        media.store_pcm(payload, rate=0)
+
+
+def test_mulaw_file_says_its_length():
+    stored = media.store(media.payload_of(b"abc"))
+    assert media.read_wave(stored)[2][b"fact"] == (64).to_bytes(4, "little")
+    assert stored[16:20] == (18).to_bytes(4, "little") and int.from_bytes(stored[4:8], "little") == len(stored) - 8
+
+
+LONG = ["x" + " " * 1_000_000 + "y", " " * 3_000_000, "q" * 3_000_000, "\n" * 2_000_000 + "a <|endoftext|> b", "token=" * 400_000, "ACCOUNT-" * 300_000, "é1 " * 500_000]
+
+
+def test_very_long_texts(spark):
+    """Whole texts of some megabytes, in every operator that reads a text at a time."""
+    import time
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*LONG, None, "", "same", "same"])], "doc_id long, text string").repartition(4)
+    docs = docs.unionByName(docs.where("doc_id = 9"))
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(LONG)}
+    began = time.time()
+    pieces = packing.pack_documents(docs, path).toPandas()
+    for i, ids in want.items():
+        ids = np.array([*ids, 2], "<u4")
+        own = pieces[pieces.doc_id == i].sort_values("piece")
+        assert own.length.sum() == len(ids)
+        assert [zlib.crc32(ids[s : s + n]) for s, n in zip(own.start, own.length, strict=True)] == own.ids_crc32.tolist()
+    at = pieces.sort_values(["sequence_id", "offset"])
+    assert (at.groupby("sequence_id").length.sum() <= 1024).all()
+    assert (at.offset == at.groupby("sequence_id").length.cumsum() - at.length).all()
+    counts = token_count.count_tokens(docs, path).toPandas()
+    assert all(counts[counts.doc_id == i].n_tokens.tolist() == [len(ids)] for i, ids in want.items())
+    assert len(counts) == 12 and counts[counts.doc_id == 9].n_tokens.tolist() == [1, 1]
+    assert pii.span_digests(docs).count() == 12
+    assert time.time() - began < 300
+
+
+def test_only_plain_files_take_the_short_way(tmp_path):
+    import json
+
+    path = P.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["ignore_merges"] = True
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    assert isinstance(token_count.counter_for(path), token_count.WholeTokens)
+    assert isinstance(token_count.counter_for(str(other)), token_count.Library)
+    encode = packing.encoder_for(str(other))
+    assert encode("Hello there").tolist() == Tokenizer.from_file(str(other)).encode("Hello there", add_special_tokens=False).ids
+    spec = token_count.plain_bpe(path)
+    spec["model"]["merges"] = spec["model"]["merges"][::-1]
+    with pytest.raises(ValueError):
+        packing.merge_ranks(spec)
+
+
+def test_merges_by_bytes_are_the_listed_merges():
+    """The faster library joins any neighbours whose bytes are a token; that gives the same ids as
+    the listed merges where each token's bytes, merged by lower ranks alone, end as its listed pair."""
+    path = P.path("byte_bpe_50k.json")
+    spec = token_count.plain_bpe(path)
+    ranks = packing.merge_ranks(spec)
+    byte = {s: b for b, s in enumerate(token_count.byte_symbols())}
+    for pair in spec["model"]["merges"]:
+        a, b = (bytes(byte[c] for c in s) for s in (pair if isinstance(pair, list) else pair.split(" ")))
+        own, parts = ranks[a + b], [bytes([x]) for x in a + b]
+        while True:
+            best = min(((ranks.get(x + y, own), k) for k, (x, y) in enumerate(zip(parts, parts[1:], strict=False))), default=(own, 0))
+            if best[0] >= own:
+                break
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        assert parts == [a, b]
+
+
+def test_redaction_by_kind(spark):
+    text = "see HTTP://x.org/a and Https://y.org, mail a@b.org or +49 30 1234567"
+    assert [k for _, _, k in pii.find_spans(text)] == ["url", "url", "email", "phone"]
+    docs = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars int")
+    got = pii.redact_documents(docs).first()
+    assert got["text"] == "see HTTP://x.org/a and Https://y.org, mail [EMAIL] or [PHONE]" and got["n_chars"] == len(got["text"])
+    assert pii.redact_documents(docs, kinds=("url",)).first()["text"] == "see [URL] and [URL], mail a@b.org or +49 30 1234567"
