@@ -6,8 +6,8 @@ left and right and validates. No pattern is ever searched for where no anchor st
 
 Kinds of the base: email, ip, card, phone (matches are leftmost and do not overlap within a kind;
 a match that fails its validation is dropped without another try). Added kinds:
-- url: a scheme (http, https, ftp) and `://`, up to white space, quotes or angle brackets, less
-  trailing `.,;:!?)]}`; at least one character must remain.
+- url: a scheme (http, https, ftp; small, capital or capitalised) and `://`, up to white space,
+  quotes or angle brackets, less trailing `.,;:!?)]}`; at least one character must remain.
 - account: an IBAN whose remainder is 1; or, after a word for an account (and `number`, `no`, `:`,
   `#`, `=` or spaces), 6 to 34 of `A-Z0-9-` that hold 5 digits or more.
 - secret: after a word for a credential, `=` or `:` and perhaps a quote, 16 or more of
@@ -32,6 +32,8 @@ from .common import id_and_text, texts_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account", "secret")
+#: What is personal, and so replaced by default: an address of a page is found, but stays.
+PERSONAL = (*BASE_KINDS, "account", "secret")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 
 #: The characters of the base's patterns, and the words that announce identifiers.
@@ -62,9 +64,9 @@ def iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
-def run_of(text: str, at: int, allowed: frozenset[str]) -> int:
-    """End of the run of allowed characters from `at`."""
-    n = len(text)
+def run_of(text: str, at: int, allowed: frozenset[str], most: int | None = None) -> int:
+    """End of the run of allowed characters from `at`; no further than `most` characters, if given."""
+    n = len(text) if most is None else min(len(text), at + most)
     while at < n and text[at] in allowed:
         at += 1
     return at
@@ -78,7 +80,8 @@ def anchors() -> ahocorasick.Automaton:
     for d in DIGITS:
         found.add_word(d, ("digit", d))
     for s in SCHEMES:
-        found.add_word(s, ("scheme", s))
+        for form in (s, s.upper(), s.capitalize()):
+            found.add_word(form, ("scheme", form))
     for kind, cues in (("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
         for cue in cues:
             for form in {cue, cue.upper(), cue.capitalize()}:
@@ -198,16 +201,19 @@ class Finder:
                     value += len(word)
                     break
             value = run_of(text, value, frozenset(" :#="))
-            stop = run_of(text, value, ACCOUNT)
+            stop = run_of(text, value, ACCOUNT, 35)  # a longer run is none, however long
             body = text[value:stop]
             good = 6 <= len(body) <= 34 and sum(c in DIGITS for c in body) >= 5
         else:
-            mark = run_of(text, value, frozenset("=:"))
-            good = mark == value + 1
+            mark = run_of(text, value, frozenset("=:"), 2)
+            if mark != value + 1:
+                return
             value = run_of(text, mark, frozenset(" "))
             value += text[value : value + 1] in ("'", '"') and value < len(text)
+            if value < self.floor[kind]:  # inside the last match, which would be scanned again
+                return
             stop = run_of(text, value, SECRET)
-            good = good and stop - value >= 16
+            good = stop - value >= 16
         if good and value >= self.floor[kind]:
             self.floor[kind] = stop
             self.add(kind, value, stop)
@@ -262,15 +268,15 @@ def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return id_and_text(docs, id_col, text_col).mapInArrow(run, SPAN_SCHEMA)
 
 
-def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """The same rows and columns with personal data replaced, and lengths in characters renewed.
-    A null text stays null."""
+def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", kinds: tuple[str, ...] = PERSONAL) -> DataFrame:
+    """The same rows and columns with data of the given kinds replaced, and lengths in characters
+    renewed. A null text stays null."""
     at = docs.columns.index(text_col)
     size = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if t is None else redact(t, find_spans(t)) for t in b.column(at).to_pylist()]
+            texts = [t if t is None else redact(t, [s for s in find_spans(t) if s[2] in kinds]) for t in b.column(at).to_pylist()]
             cols = list(b.columns)
             if size is not None:
                 changed = [old if new is None else len(new) for old, new in zip(cols[size].to_pylist(), texts, strict=True)]

@@ -88,7 +88,7 @@ ORACLE_SQL: dict[str, str] = {
             UNION ALL SELECT r, 'ip', regexp_replace(t, '()([0-9]+(?:\.[0-9]+){3})', '\1' || chr(1) || '\2' || chr(2), 'g') FROM d
             UNION ALL SELECT r, 'card', regexp_replace(t, '()([0-9](?:[ -]?[0-9])+)', '\1' || chr(1) || '\2' || chr(2), 'g') FROM d
             UNION ALL SELECT r, 'phone', regexp_replace(t, '()(\+[0-9][ ().0-9-]+[0-9])', '\1' || chr(1) || '\2' || chr(2), 'g') FROM d
-            UNION ALL SELECT r, 'url', regexp_replace(t, '(^|[^\p{L}\p{N}])((?:https?|ftp)://[^ \t-\r<>"'']+)', '\1' || chr(1) || '\2' || chr(2), 'g') FROM d
+            UNION ALL SELECT r, 'url', regexp_replace(t, '(^|[^\p{L}\p{N}])((?:https?|HTTPS?|Https?|ftp|FTP|Ftp)://[^ \t-\r<>"'']+)', '\1' || chr(1) || '\2' || chr(2), 'g') FROM d
             UNION ALL SELECT r, 'iban', regexp_replace(t, '(^|[^\p{L}\p{N}])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4})*(?: ?[A-Z0-9]{1,3})?)', '\1' || chr(1) || '\2' || chr(2), 'g') FROM d
             UNION ALL SELECT r, 'account', regexp_replace(t, '((?:^|[^\p{L}\p{N}])(?:account|Account|ACCOUNT|acct|Acct|ACCT|iban|Iban|IBAN|ssn|Ssn|SSN|passport|Passport|PASSPORT|routing|Routing|ROUTING)(?: *(?i:number|no\.?|nr\.?)(?:[ :#=]+)| *[:#=][ :#=]*| +))([A-Z0-9-]+)', '\1' || chr(1) || '\2' || chr(2), 'g') FROM d
             UNION ALL SELECT r, 'secret', regexp_replace(t, '((?:^|[^\p{L}\p{N}])(?:token|Token|TOKEN|secret|Secret|SECRET|password|Password|PASSWORD|api_key|Api_key|API_KEY|apikey|Apikey|APIKEY) *[=:] *["'']?)([A-Za-z0-9_+/=-]{16,})', '\1' || chr(1) || '\2' || chr(2), 'g') FROM d),

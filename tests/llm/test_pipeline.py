@@ -70,7 +70,7 @@ def test_stages(spark):
     assert set(rows[3]) == set(rows[2])
     for i, r in rows[3].items():
         before = rows[2][i]["text"]
-        assert r["text"] == pii.redact(before, pii.find_spans(before)) and r["n_chars"] == len(r["text"])
+        assert r["text"] == pii.redact(before, [x for x in pii.find_spans(before) if x[2] != "url"]) and r["n_chars"] == len(r["text"])
     # packing: every document, whole
     packed = states[-1].collect()
     assert {r["doc_id"] for r in packed} == set(rows[3])
