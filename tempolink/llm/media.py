@@ -1,8 +1,8 @@
 """Telephony audio columns: G.711 companding, IMA ADPCM blocks, resampling, WAVE containers.
 
 Bytes are 8-bit companded samples. Expansion is a table lookup; ADPCM blocks are decoded for all
-blocks of a batch at once, one numpy step a sample position; PCM is resampled by a whole factor
-with straight lines between samples.
+blocks of a batch at once, one numpy step a sample position; PCM is resampled to any rate with
+straight lines between samples.
 
 The stored form of a payload is a WAVE file with two data chunks: `data` has the payload as 8-bit
 mu-law samples, losslessly, and `pcm2` has the target rate and the 16-bit PCM resampled to it.
@@ -32,10 +32,11 @@ PCM, ALAW, MULAW = 1, 6, 7
 INDEX_STEP = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int64)
 #: The 89 quantiser steps of IMA ADPCM.
 STEPS = np.array(
-    [7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118]
-    + [130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060]
-    + [1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484]
-    + [7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767],
+    [7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88,
+     97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658,
+     724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660,
+     4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818,
+     18500, 20350, 22385, 24623, 27086, 29794, 32767],
     np.int64,
 )
 
@@ -83,21 +84,30 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out
 
 
-def resample(pcm: np.ndarray, factor: int) -> np.ndarray:
-    """`factor` samples for each, on straight lines to the next one; the last one repeats."""
-    if factor == 1:
+def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """Samples at another rate, on straight lines between neighbours, rounded down; beyond the last
+    one its value stays. As many as last as long: ceil(len * to / rate)."""
+    if rate < 1 or to < 1:
+        raise ValueError("rates are positive")
+    if rate == to or not len(pcm):
         return pcm
-    a = pcm.astype(np.int32)
+    a = pcm.astype(np.int64)
     step = np.append(np.diff(a), 0)
-    out = np.empty((len(a), factor), np.int16)
-    for k in range(factor):
-        out[:, k] = a + step * k // factor
-    return out.reshape(-1)
+    if to % rate == 0:
+        k = np.arange(to // rate)
+        return (a[:, None] + step[:, None] * k // len(k)).astype(np.int16).reshape(-1)
+    at = np.arange(-(-len(a) * to // rate)) * rate
+    k = at // to
+    return (a[k] + step[k] * (at - k * to) // to).astype(np.int16)
 
 
 def wave(tag: int, rate: int, bits: int, *chunks: tuple[bytes, bytes]) -> bytes:
     """A mono WAVE file."""
-    body = b"WAVE" + b"fmt " + struct.pack("<IHHIIHH", 16, tag, 1, rate, rate * bits // 8, bits // 8, bits)
+    form = struct.pack("<HHIIHH", tag, 1, rate, rate * bits // 8, bits // 8, bits)
+    if tag != PCM:  # other formats say how much follows, and how many samples there are
+        form += struct.pack("<H", 0)
+        chunks = ((b"fact", struct.pack("<I", len(dict(chunks)[b"data"]))), *chunks)
+    body = b"WAVE" + b"fmt " + struct.pack("<I", len(form)) + form
     body += b"".join(name + struct.pack("<I", len(x)) + x + b"\0" * (len(x) % 2) for name, x in chunks)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
@@ -128,7 +138,7 @@ def expand(payload: bytes, tag: int) -> np.ndarray:
 
 def store(payload: bytes) -> bytes:
     """The payload as a mu-law WAVE file with its resampled PCM."""
-    pcm = resample(expand(payload, MULAW), TARGET_RATE // RATE)
+    pcm = resample(expand(payload, MULAW), RATE, TARGET_RATE)
     return wave(MULAW, RATE, 8, (b"data", payload), (b"pcm2", struct.pack("<I", TARGET_RATE) + pcm.astype("<i2").tobytes()))
 
 
@@ -138,8 +148,8 @@ def read_pcm(chunk: bytes) -> tuple[int, np.ndarray]:
 
 
 def store_pcm(payload: bytes, tag: int = MULAW, rate: int = TARGET_RATE) -> bytes:
-    """The payload expanded, resampled and stored as 16-bit PCM."""
-    return wave(PCM, rate, 16, (b"data", resample(expand(payload, tag), rate // RATE).astype("<i2").tobytes()))
+    """The payload expanded, resampled to the rate and stored as 16-bit PCM."""
+    return wave(PCM, rate, 16, (b"data", resample(expand(payload, tag), RATE, rate).astype("<i2").tobytes()))
 
 
 def feature_of(payload: bytes, stored_pcm: bytes, adpcm: np.ndarray) -> str:
@@ -147,7 +157,7 @@ def feature_of(payload: bytes, stored_pcm: bytes, adpcm: np.ndarray) -> str:
     decoding and of the stored PCM, and whether that PCM is the payload's."""
     mu, a = expand(payload, MULAW), expand(payload, ALAW)
     rate, up = read_pcm(stored_pcm)
-    sound = rate == TARGET_RATE and np.array_equal(up, resample(mu, TARGET_RATE // RATE))
+    sound = rate == TARGET_RATE and np.array_equal(up, resample(mu, RATE, TARGET_RATE))
     energy = [int(np.abs(x.astype(np.int32)).sum()) // len(x) for x in (mu, a)]
     turns = [int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0))) for x in (mu, a)]
     return f"mu={energy[0]},{turns[0]};a={energy[1]},{turns[1]};adpcm={zlib.crc32(np.ascontiguousarray(adpcm)):08x};pcm={zlib.crc32(up):08x};ok={int(sound)}"
