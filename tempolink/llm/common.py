@@ -28,23 +28,55 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is set and both
+    are one process (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tempolink-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write to the shared folder, in a folder for each value of `by` if given, and read again: cuts
+    the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_for(spark: SparkSession, size: int, each: int = 1 << 26) -> int:
+    """Partitions for so many bytes, so that a task's share doesn't grow with the data; never fewer
+    than the session's."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // each))
+
+
+def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key of a stream that is sorted by it, one key at a time."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = [*key_bounds(b.column(key)), b.num_rows]
+        for a, z in zip([0, *ends[:-1]], ends, strict=True):
+            part = b.slice(a, z - a)
+            if held and held[0].column(key)[0] != part.column(key)[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def key_bounds(col: pa.Array) -> list[int]:
+    """Rows at which a sorted column's value changes."""
+    return [] if len(col) < 2 else (np.flatnonzero(pc.not_equal(col.slice(1), col.slice(0, len(col) - 1)).to_numpy(zero_copy_only=False)) + 1).tolist()
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the rows' offsets into them; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):

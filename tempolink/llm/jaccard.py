@@ -4,52 +4,75 @@ Two sets are linked when their Jaccard distance is at most r. The join has three
 
 1. Projections. A hash splits the shingles into m classes, and a set into m parts. Linked sets
    differ in at most T shingles, so with m > T parts at least one part agrees wholly (pigeonhole).
-   All sets with the same part are a cell; the smallest of them is its pivot. T follows from the
-   size of the smaller set, so sets are treated in bands of size, and a set joins every band in
-   which a smaller partner may stand (the window of sizes).
-2. Regions. A pivot's region holds every set of the cells that it leads; a linked pair shares a
-   cell, hence a region. A region whose pivot stands in another one is merged into it, which keeps
-   pairs together and moves a set once rather than several times. Sets are not assigned to the
-   nearest pivot, and none is replicated along a boundary. A region with more than `REGION` sets is
-   cut once into hash blocks and dealt out as pairs of them, every one with the pivot; there is no
-   recursion.
-3. Inside a region. Distances to the pivot split it: within r of the pivot is the ball, linked by
-   the pivot alone. A set outside the ball finds candidates by a prefix index of its rarest
-   shingles. By the triangle inequality two sets can be linked only if their distances to the pivot
-   differ by r at most, which filters them; sets already connected are not compared.
-
-Only true links leave a region, at most one for each set. Equal sets are one point from the start.
-Sets are held as 64-bit hashes of their shingles, points by 64-bit digests of the sets.
-
-Cases: a null or empty text has no words, an empty set, no link, and is its own component (a row without an id has none, but its links count); fewer
-words than a shingle takes make one shingle; ties and repeated rows are equal sets; an empty table
-gives no rows; columns other than the id and the text are ignored.
+   All sets with the same part are a cell; the smallest of them leads it. T follows from the size
+   of the smaller set, so sets are treated in bands of size, and a set joins every band in which a
+   smaller partner may stand (the window of sizes). What a leader's cells hold is a region, and a
+   region whose leader stands in another one is merged into it: a linked pair shares a cell, hence
+   a region.
+2. Voronoi regions. A region with more sets than a leaf may hold draws some of them as pivots. Each
+   set goes to the region of its nearest pivot. By the triangle inequality a set x can have links
+   into the region of another pivot q only if d(x, q) - d(x, p) <= 2r: there it is replicated, to
+   pivots of a lower number only, so that each pair meets once. The regions are joined in the same
+   way, down a recursion, until they fit into a leaf.
+3. Leaves. Distances to one set of the leaf split it into the ball within r, linked by that set
+   alone, and the rest, which finds candidates by a prefix index of its rarest shingles, filtered by
+   the triangle inequality; sets already connected are not compared.
+
+Two entries of a region need no comparison if both are replicas there, or both stand within r of
+the pivot, as links to it connect them. Bits say so, two for each level; a region where one bit
+is set for all has no pair left and goes, and one where it is set for all but a few is dealt out
+in parts, each with these few. A region that pivots don't divide (all its sets lie in one another's
+windows) or that is left after `ROUNDS` levels is cut into pairs of hash blocks, which is exact too.
+
+Only true links leave a region. Equal sets are one point from the start. Sets are held as 64-bit
+hashes of their shingles, points by 128-bit digests of the sets.
+
+Cases: a null or empty text has no words, an empty set, no link, and is its own component (a row
+without an id has none, but its links count); fewer words than a shingle takes make one shingle;
+ties and repeated rows are equal sets; an empty table gives no rows; columns other than the id and
+the text are ignored; a very long text is one set, and a leaf of its own size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, id_and_text, materialise, mix64, row_chunks, runs_of, text_buffer, word_hashes
+from .common import GOLDEN, by_key, id_and_text, materialise, mix64, parts_for, row_chunks, runs_of, text_buffer, word_hashes
 from .components import components
 
-#: Sets in a region, or in a block of a larger region, at most.
-REGION = 2048
 #: Times that regions are merged.
 MERGES = 2
-#: Entries of a cell beyond which its pivot is settled while the others still stream in.
+#: Entries of a cell beyond which its leader is settled while the others still stream in.
 HOT_CELL = 1 << 16
 #: Entries that a task holds before it settles its hot cells.
 HELD = 1 << 22
+#: Levels of the recursion at most; each has two bits of an entry's 64.
+ROUNDS = 24
+#: Bits of what is dealt out last.
+DEALT, OTHER = 1 << 60, 1 << 61
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Sets and shingles in a leaf; pivots that divide a larger region, about; how many copies of
+    its sets that may make, and what share of them a single new region may hold (more, and pivots
+    don't divide it); sets in a block then."""
+
+    sets: int = 512
+    shingles: int = 1 << 21
+    pivots: int = 8
+    copies: float = 3.0
+    shrink: float = 0.8
+    block: int = 1024
 
 
 @dataclass(frozen=True)
@@ -98,8 +121,18 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return h, np.searchsorted(rows, np.arange(texts + 1))
 
 
-def set_id(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_id(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def id_array(ids: list[bytes]) -> np.ndarray:
+    """(n, 2) integers."""
+    return np.frombuffer(b"".join(ids), np.uint64).reshape(-1, 2)
+
+
+def id_column(ids: np.ndarray) -> pa.Array:
+    buffer = pa.py_buffer(np.ascontiguousarray(ids))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(ids), [None, buffer]).cast(pa.binary())
 
 
 def edges_of_bands(limit: int) -> np.ndarray:
@@ -181,9 +214,9 @@ def sets_of(docs: DataFrame, rule: Rule) -> DataFrame:
                 h, bounds = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule.words)
                 n += np.diff(bounds).tolist()
                 ids += [set_id(h[a:z]) if z > a else None for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("txt"), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "txt", "n_shingles", "set_id"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("txt"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "txt", "n_shingles", "set_id"])
 
-    return docs.mapInArrow(run, "doc_id long, txt long, n_shingles long, set_id long")
+    return docs.mapInArrow(run, "doc_id long, txt long, n_shingles long, set_id binary")
 
 
 def packed_cells(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
@@ -191,22 +224,22 @@ def packed_cells(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
     an equal set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for b in batches:
             data, offsets = text_buffer(b.column("text"))
-            every_key, every_set = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            every_key, every_set = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.uint64)]
             for i, j in row_chunks(offsets):
                 h, bounds = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule.words)
-                ids = np.array([set_id(h[a:z]) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], np.int64)
+                ids = [set_id(h[a:z]) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 fresh = np.zeros(len(ids), bool)
-                for k, x in enumerate(ids.tolist()):
+                for k, x in enumerate(ids):
                     if x not in seen:
                         seen.add(x)
                         fresh[k] = True
                 keys, who = cell_keys(h, bounds, rule)
                 keep = fresh[who]
                 every_key.append(keys[keep])
-                every_set.append(ids[who[keep]])
+                every_set.append(id_array(ids)[who[keep]])
             if len(seen) > 1 << 20:
                 seen.clear()
             keys, ids = np.concatenate(every_key), np.concatenate(every_set)
@@ -222,71 +255,74 @@ def packed_cells(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
 class Cells:
     """The cells of one part of the key space; hot ones are settled while they stream in."""
 
-    def __init__(self) -> None:
+    def __init__(self, limit: int = HELD, hot: int = HOT_CELL) -> None:
         self.keys: list[np.ndarray] = []
         self.sets: list[np.ndarray] = []
-        self.held = 0
-        self.hot_keys, self.hot_pivots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.held, self.least, self.limit, self.hot = 0, limit, limit, hot
+        self.hot_keys, self.hot_leads = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
 
     def add(self, keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Members (set, pivot) of settled cells."""
-        out_s, out_p = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Members (set, leader) of settled cells."""
+        out_s, out_p = np.zeros((0, 2), np.uint64), np.zeros((0, 2), np.uint64)
         if len(self.hot_keys):
             at = np.minimum(np.searchsorted(self.hot_keys, keys), len(self.hot_keys) - 1)
             hot = self.hot_keys[at] == keys
-            out_s, out_p = sets[hot], self.hot_pivots[at[hot]]
+            out_s, out_p = sets[hot], self.hot_leads[at[hot]]
             keys, sets = keys[~hot], sets[~hot]
         self.keys.append(keys)
         self.sets.append(sets)
         self.held += len(keys)
-        if self.held > HELD:
-            s, p = self.settle(HOT_CELL)
+        if self.held > self.limit:
+            s, p = self.settle(self.hot)
             out_s, out_p = np.concatenate((out_s, s)), np.concatenate((out_p, p))
+            self.limit = max(self.least, 2 * self.held)  # what is cold is not sorted again at every turn
         return out_s, out_p
 
     def settle(self, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Members of cells with at least so many sets; the rest are held on."""
         if not self.keys:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros((0, 2), np.uint64), np.zeros((0, 2), np.uint64)
         keys, sets = np.concatenate(self.keys), np.concatenate(self.sets)
-        order = np.lexsort((sets, keys))
+        order = np.lexsort((sets[:, 1], sets[:, 0], keys))
         keys, sets = keys[order], sets[order]
         new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])
+        new[1:] = (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1]).any(axis=1)
         keys, sets = keys[new], sets[new]
         start = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
         count = np.diff(np.append(start, len(keys)))
         big = count >= least
         taken = np.repeat(big, count)
-        pivot = np.repeat(sets[start], count)
+        lead = np.repeat(sets[start], count, axis=0)
         if least > 2:
-            k, p = np.append(self.hot_keys, keys[start][big]), np.append(self.hot_pivots, sets[start][big])
+            k, p = np.append(self.hot_keys, keys[start][big]), np.concatenate((self.hot_leads, sets[start][big]))
             order = np.argsort(k)
-            self.hot_keys, self.hot_pivots = k[order], p[order]
+            self.hot_keys, self.hot_leads = k[order], p[order]
         self.keys, self.sets = [keys[~taken]], [sets[~taken]]
         self.held = int((~taken).sum())
-        return sets[taken], pivot[taken]
+        return sets[taken], lead[taken]
 
 
 def region_members(cells: DataFrame, n_parts: int) -> DataFrame:
-    """set_id, pivot: every set of every cell with two sets or more, the pivots included."""
+    """set_id, region: every set of every cell with two sets or more, leaders included."""
 
-    def batch(sets: np.ndarray, pivots: np.ndarray) -> pa.RecordBatch:
-        if len(sets):
-            pair = np.unique(np.stack([pivots, sets], axis=1), axis=0)
-            pivots, sets = pair[:, 0], pair[:, 1]
-        return pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(pivots, pa.int64())], ["set_id", "pivot"])
+    def batch(sets: np.ndarray, leads: np.ndarray) -> pa.RecordBatch:
+        both = np.concatenate((leads, sets), axis=1)
+        both = both[np.lexsort(both.T)]
+        new = np.ones(len(both), bool)
+        new[1:] = (both[1:] != both[:-1]).any(axis=1)
+        both = both[new]
+        return pa.RecordBatch.from_arrays([id_column(both[:, 2:]), id_column(both[:, :2])], ["set_id", "region"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Cells()
         for b in batches:
             for keys, sets in zip(b.column("keys"), b.column("sets"), strict=True):
-                s, p = held.add(np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(sets.as_buffer(), np.int64))
+                s, p = held.add(np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(sets.as_buffer(), np.uint64).reshape(-1, 2))
                 if len(s):
                     yield batch(s, p)
         yield batch(*held.settle(2))
 
-    return cells.repartition(n_parts, "part").mapInArrow(run, "set_id long, pivot long")
+    return cells.repartition(n_parts, "part").mapInArrow(run, "set_id binary, region binary")
 
 
 def known_id() -> Column:
@@ -309,9 +345,12 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                     if len(own) and set_id(own) == asked[i + k]:
                         ids.append(asked[i + k])
                         found.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["set_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(found, pa.binary())], ["set_id", "hashes"])
+
+    return docs.withColumn("doc", known_id()).join(wanted.hint("shuffle_hash"), ["doc", "txt"]).select("set_id", "text").mapInArrow(run, "set_id binary, hashes binary").dropDuplicates(["set_id"])
+
 
-    return docs.withColumn("doc", known_id()).join(wanted.hint("shuffle_hash"), ["doc", "txt"]).select("set_id", "text").mapInArrow(run, "set_id long, hashes binary").dropDuplicates(["set_id"])
+# --- regions ------------------------------------------------------------------------------------
 
 
 class Links:
@@ -322,7 +361,7 @@ class Links:
         self.members: dict[int, list[int]] = {i: [i] for i in range(n)}
         self.made: list[tuple[int, int]] = []
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a: int, b: int, known: bool = False) -> None:
         x, y = int(self.label[a]), int(self.label[b])
         if x == y:
             return
@@ -331,18 +370,29 @@ class Links:
         moved = self.members.pop(y)
         self.members[x] += moved
         self.label[moved] = x
-        self.made.append((a, b))
+        if not known:
+            self.made.append((a, b))
 
 
-def link_region(sets: list[np.ndarray], pivot: int, rule: Rule, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links by which the region's connected sets are connected. side: of two blocks; only pairs
-    across them, and pairs with the pivot, are asked for."""
+def distance_of(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 1 - inter / (a + b - inter)
+
+
+def link_leaf(sets: list[np.ndarray], rule: Rule, mask: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links by which the leaf's connected sets are connected. mask: two entries with a bit in
+    common need no comparison; even bits below `DEALT` say that links made before connect them."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     start = np.concatenate(([0], np.cumsum(size)))
     _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     flag = np.zeros(len(often), np.int32)
     links = Links(n)
+    if mask is None:
+        mask = np.zeros(n, np.int64)
+    for bit in range(0, 2 * ROUNDS, 2):
+        ball = np.flatnonzero(mask >> bit & 1).tolist()
+        for k in ball[1:]:
+            links.join(ball[0], k, known=True)
 
     def shared(with_: int, among: np.ndarray) -> np.ndarray:
         """Shingles that each of `among` shares with one set."""
@@ -354,11 +404,12 @@ def link_region(sets: list[np.ndarray], pivot: int, rule: Rule, side: np.ndarray
         flag[token[start[with_] : start[with_ + 1]]] = 0
         return out
 
-    inter = shared(pivot, np.arange(n))
-    distance = 1 - inter / (size + size[pivot] - inter)
-    ball = rule.linked(inter, size, size[pivot])
+    lead = 0
+    inter = shared(lead, np.arange(n))
+    distance = distance_of(inter, size, size[lead])
+    ball = rule.linked(inter, size, size[lead])
     for k in np.flatnonzero(ball):
-        links.join(pivot, int(k))
+        links.join(lead, int(k))
     outside = np.flatnonzero(~ball)
     if not len(outside):
         return links.made
@@ -380,10 +431,8 @@ def link_region(sets: list[np.ndarray], pivot: int, rule: Rule, side: np.ndarray
             is_out[y] = False
             continue
         near = np.unique(np.concatenate([post[post_start[k] : post_start[k + 1]] for k in mine.tolist()]))
-        near = near[(np.abs(distance[near] - distance[y]) <= window) & (links.label[near] != links.label[y])]
+        near = near[(np.abs(distance[near] - distance[y]) <= window) & (links.label[near] != links.label[y]) & (mask[near] & mask[y] == 0)]
         near = near[(size[near] >= rule.least_partner(size[y])) & (size[y] >= rule.least_partner(size[near]))]
-        if side is not None:
-            near = near[side[near] != side[y]]
         near = near[ball[near] | is_out[near]]  # pairs of two outside the ball once
         is_out[y] = False
         near = near[np.argsort(np.abs(distance[near] - distance[y]), kind="stable")]
@@ -396,41 +445,183 @@ def link_region(sets: list[np.ndarray], pivot: int, rule: Rule, side: np.ndarray
 
 
 def merged(members: DataFrame) -> DataFrame:
-    """members with each region merged into the first one that holds its pivot; the first set of a
-    region then is its pivot. Any renaming of regions keeps pairs together, so a few steps do."""
+    """members with each region merged into the first one that holds its leader; the first set of a
+    region then leads it. Any renaming of regions keeps pairs together, so a few steps do."""
     for _ in range(MERGES):
-        first = members.groupBy("set_id").agg(F.min("pivot").alias("to")).select(F.col("set_id").alias("pivot"), "to")
-        members = members.join(first, "pivot").select("set_id", F.col("to").alias("pivot")).distinct()
-    lead = members.groupBy("pivot").agg(F.min("set_id").alias("lead"))
-    return members.join(lead, "pivot").select("set_id", F.col("lead").alias("pivot")).distinct()
-
-
-def region_links(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """u, v: links between sets. Large regions are dealt out in pairs of blocks."""
-    blocks = members.groupBy("pivot").agg(F.ceil(F.count("*") / REGION).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    # a set meets every block, its own included; the pivot stands in each pair of blocks
-    lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    tasks = dealt.where("set_id != pivot").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pivot", "set_id", "block", lo.alias("i"), hi.alias("j"))
-    leads = dealt.where("set_id = pivot").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    leads = leads.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1))).select("pivot", "set_id", F.lit(-1).alias("block"), "i", "j")
-    rows = tasks.unionByName(leads).join(sets, "set_id").repartition("pivot", "i", "j")
+        first = members.groupBy("set_id").agg(F.min("region").alias("to")).select(F.col("set_id").alias("region"), "to")
+        members = members.join(first, "region").select("set_id", F.col("to").alias("region")).distinct()
+    return members
+
+
+ENTRY = ("region", "set_id", "mask", "hashes")
+STEP = "parent binary, parent_n long, region binary, set_id binary, mask long, hashes binary, u binary, v binary"
+STEP_TYPES = [pa.int64() if x.endswith("long") else pa.binary() for x in STEP.split(", ")]
+
+
+def divide(rule: Rule, level: int):  # noqa: ANN201
+    """The work on a part of a region, held against the region's pivots: entries of the pivots'
+    regions, and links to pivots. A region that drew no pivot stays as it is for another level."""
+    reach = 2 * (1 - rule.num / rule.den) + 1e-9
+    in_ball, replica = 1 << 2 * level, 1 << 2 * level + 1
+
+    def run(_: tuple, entries: pa.Table, drawn: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c.split()[0]: [] for c in STEP.split(", ")}
+
+        def put(*row: object) -> None:
+            for c, x in zip(out.values(), row, strict=True):
+                c.append(x)
+
+        ids, masks, raw = (entries[c].to_pylist() for c in ("set_id", "mask", "hashes"))
+        parent, n = (entries["region"][0].as_py(), entries["n"][0].as_py()) if ids else (b"", 0)
+        pivots = sorted(zip(drawn["pivot"].to_pylist(), drawn["pivot_hashes"].to_pylist(), strict=True)) if ids else []
+        if not pivots:
+            for row in zip(ids, masks, raw, strict=True):
+                put(parent, n, parent, *row, None, None)
+        else:
+            size = np.array([len(h) // 8 for h in raw])
+            flat = np.frombuffer(b"".join(raw), np.uint64)
+            start = np.concatenate(([0], np.cumsum(size)))[:-1]
+            distance, linked = np.empty((len(pivots), len(ids))), np.empty((len(pivots), len(ids)), bool)
+            for j, (_, h) in enumerate(pivots):
+                own = np.frombuffer(h, np.uint64)
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                inter = np.add.reduceat((own[at] == flat).astype(np.int64), start)
+                distance[j], linked[j] = distance_of(inter, size, np.int64(len(own))), rule.linked(inter, size, np.int64(len(own)))
+            nearest, least = distance.argmin(axis=0), distance.min(axis=0)
+            for j, (pivot, _) in enumerate(pivots):
+                child, own = hashlib.blake2b(parent + pivot, digest_size=16).digest(), nearest == j
+                for k in np.flatnonzero(own | ((j < nearest) & (distance[j] - least <= reach))).tolist():
+                    put(parent, n, child, ids[k], masks[k] | in_ball * bool(linked[j, k]) | replica * (not own[k]), raw[k], None, None)
+                for k in np.flatnonzero(linked[j]).tolist():
+                    if ids[k] != pivot:
+                        put(None, None, None, None, None, None, ids[k], pivot)
+        return pa.table({c: pa.array(x, t) for (c, x), t in zip(out.items(), STEP_TYPES, strict=True)})
+
+    return run
+
+
+def bounded(df: DataFrame, rows: int = 1 << 16) -> DataFrame:
+    """To be broadcast only if it has few rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def block_of(n_blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("set_id"), n_blocks).cast("int")
+
+
+def named(part: Column) -> Column:
+    return F.concat("region", F.encode(part.cast("string"), "utf-8")).alias("region")
+
+
+def in_parts(entries: DataFrame, limits: Limits) -> DataFrame:
+    """Entries of regions in which all but a few share a bit: these few with every part of the rest.
+    entries: also bit, and together (how many have it)."""
+    parts = F.ceil(2 * F.col("together") / limits.sets).cast("int")
+    wide = entries.withColumn("parts", parts).withColumn("has", F.expr("shiftright(mask, bit) & 1") == 1)
+    at = F.when(F.col("has"), F.array(block_of(F.col("parts")))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    mask = F.when(~F.col("has") & (F.col("part") > 0), F.col("mask").bitwiseOR(F.lit(DEALT))).otherwise(F.col("mask"))
+    return wide.withColumn("part", F.explode(at)).select(named(F.col("part")), "set_id", mask.alias("mask"), "hashes")
+
+
+def in_blocks(entries: DataFrame, limits: Limits) -> DataFrame:
+    """Entries of regions that nothing divides, as pairs of hash blocks. entries: also n, shingles."""
+    blocks = F.least("n", F.greatest(F.ceil(F.col("n") / limits.block), F.ceil(F.col("shingles") / (4 * limits.shingles)))).cast("int")
+    wide = entries.withColumn("blocks", blocks).withColumn("own", block_of(F.col("blocks")))
+    wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") < F.col("other"), F.lit(DEALT)).when(F.col("own") > F.col("other"), F.lit(OTHER)).otherwise(F.lit(0).cast("long"))
+    pair = F.concat_ws("-", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
+    return wide.select(named(pair), "set_id", F.col("mask").bitwiseOR(side).alias("mask"), "hashes")
+
+
+def fates(children: DataFrame, level: int, limits: Limits) -> DataFrame:
+    """What becomes of every new region: parent, region, n, shingles, bit, together, fate. A region
+    where all have a bit is over; one that fits is a leaf; one where all but a few have a bit is
+    dealt out in parts; others are divided again, unless their parent made too many copies or one
+    child about as large as itself: then that parent is stuck."""
+    bits = range(2 * level + 2)
+    counted = children.groupBy("parent", "region").agg(
+        F.max("parent_n").alias("parent_n"),
+        F.count("*").alias("n"),
+        F.sum(F.length("hashes") / 8).cast("long").alias("shingles"),
+        F.bit_and("mask").alias("all"),
+        *(F.sum(F.expr(f"shiftright(mask, {b}) & 1")).alias(f"b{b}") for b in bits),
+    )
+    best = F.greatest(*(F.struct(F.col(f"b{b}").alias("together"), F.lit(b).alias("bit")) for b in bits))
+    counted = counted.withColumn("best", best).select("parent", "parent_n", "region", "n", "shingles", "all", "best.together", "best.bit")
+    few_apart = (F.col("together") > 0) & (F.col("n") > limits.sets) & (F.col("n") - F.col("together") <= limits.sets // 2)
+    kind = F.when((F.col("all") != 0) | (F.col("n") < 2), "over").when(fits(limits), "leaf").when(few_apart, "parts").otherwise("open")
+    siblings = Window.partitionBy("parent")
+    copies = F.sum(F.when(F.col("kind") != "over", F.col("n"))).over(siblings)
+    largest = F.max(F.when(F.col("kind") == "open", F.col("n"))).over(siblings)
+    redrawn = (F.col("region") == F.col("parent")) & (F.lit(level) < ROUNDS - 1)
+    stuck = ~redrawn & (F.coalesce(copies > limits.copies * F.col("parent_n"), F.lit(False)) | F.coalesce(largest > limits.shrink * F.col("parent_n"), F.lit(False)))
+    last = F.when((F.col("kind") == "open") & (F.lit(level) == ROUNDS - 1), "blocks").otherwise(F.col("kind"))
+    return counted.withColumn("kind", kind).withColumn("fate", F.when(stuck, "stuck").otherwise(last)).select("parent", "region", "n", "shingles", "bit", "together", "fate")
+
+
+def fits(limits: Limits) -> Column:
+    return (F.col("n") <= 2) | ((F.col("n") <= limits.sets) & (F.col("shingles") <= limits.shingles))
+
+
+def divided(entries: DataFrame, rule: Rule, limits: Limits) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Leaves and links of large regions, by levels. entries: also n and shingles of the region."""
+    leaves, links = [], []
+    for level in range(ROUNDS):
+        chunks = F.least("n", F.greatest(F.ceil(F.col("n") / (4 * limits.sets)), F.ceil(F.col("shingles") / (4 * limits.shingles)))).cast("int")
+        rank = F.xxhash64("set_id", F.lit(level)).bitwiseAND(F.lit((1 << 40) - 1))
+        drawn = entries.where(rank < F.lit(limits.pivots * float(1 << 40)) / F.col("n"))
+        drawn = drawn.select(F.col("region").alias("of"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("part"), F.col("set_id").alias("pivot"), F.col("hashes").alias("pivot_hashes"))
+        dealt = entries.select(*ENTRY, "n", block_of(chunks).alias("chunk"))
+        made = materialise(dealt.groupBy("region", "chunk").cogroup(drawn.groupBy("of", "part")).applyInArrow(divide(rule, level), STEP), "voronoi")
+        links.append(made.where("u is not null").select("u", "v"))
+        children = made.where("u is null")
+        known = materialise(fates(children, level, limits), "fates")
+        count = {r["fate"]: r["count"] for r in known.groupBy("fate").count().collect()}
+        if "stuck" in count:
+            parents = known.where("fate = 'stuck'").select(F.col("parent").alias("region")).distinct()
+            leaves.append(in_blocks(entries.join(bounded(parents), "region", "left_semi"), limits))
+        alive = known.where("fate not in ('over', 'stuck')").drop("parent")
+        if not set(count) - {"over", "stuck"}:
+            break
+        # by fate on disk, so that a later step reads its own alone
+        after = materialise(children.select(*ENTRY).join(bounded(alive), "region"), "entries", by="fate")
+        leaves.append(after.where("fate = 'leaf'").select(*ENTRY))
+        if "parts" in count:
+            leaves.append(in_parts(after.where("fate = 'parts'"), limits))
+        if "blocks" in count:
+            leaves.append(in_blocks(after.where("fate = 'blocks'"), limits))
+        if "open" not in count:
+            break
+        entries = after.where("fate = 'open'")
+    return leaves, links
+
+
+def region_links(members: DataFrame, sets: DataFrame, rule: Rule, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
+    """u, v: links between sets that connect all connected sets. members: set_id, region; sets:
+    set_id, hashes."""
+    size = sets.select("set_id", (F.length("hashes") / 8).cast("long").alias("size"))
+    sized = materialise(members.join(size, "set_id").groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")), "regions")
+    with_sets = members.withColumn("mask", F.lit(0).cast("long")).join(sets, "set_id")
+    large, leaves, links = sized.where(~fits(limits)), [], []
+    if large.isEmpty():
+        leaves = [with_sets.select(*ENTRY)]
+    else:
+        large = bounded(large)
+        leaves, links = divided(materialise(with_sets.join(large, "region").select(*ENTRY, "n", "shingles"), "entries"), rule, limits)
+        leaves.append(with_sets.join(large, "region", "left_anti").select(*ENTRY))
+    total = sized.agg(F.sum(F.col("shingles") * 8)).first()[0] or 0
+    rows = reduce(DataFrame.unionByName, leaves).repartition(parts_for(members.sparkSession, total), "region").sortWithinPartitions("region", "set_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        regions: dict[tuple, list] = defaultdict(list)
-        for b in batches:
-            for pivot, s, block, i, j, h in zip(*(b.column(c).to_pylist() for c in ("pivot", "set_id", "block", "i", "j", "hashes")), strict=True):
-                regions[pivot, i, j].append((s, block, h))
-        u, v = [], []
-        for (pivot, i, j), held in regions.items():
-            ids = [s for s, _, _ in held]
-            side = np.array([block for _, block, _ in held]) if i != j else None
-            for a, z in link_region([np.frombuffer(h, np.uint64) for _, _, h in held], ids.index(pivot), rule, side):
-                u.append(ids[a])
-                v.append(ids[z])
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        for held in by_key(batches, "region"):
+            ids, found = held["set_id"].to_pylist(), held["hashes"].to_pylist()
+            if len(ids) < 2:
+                continue
+            made = link_leaf([np.frombuffer(h, np.uint64) for h in found], rule, held["mask"].to_numpy())
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in made], pa.binary()), pa.array([ids[z] for _, z in made], pa.binary())], ["u", "v"])
 
-    return rows.select("pivot", "set_id", "block", "i", "j", "hashes").mapInArrow(run, "u long, v long")
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(run, "u binary, v binary"), *links])
 
 
 def row_key() -> Column:
@@ -438,35 +629,36 @@ def row_key() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "txt")
 
 
-def rows_and_firsts(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def rows_and_firsts(docs: DataFrame, rule: Rule, id_col: str, text_col: str, limits: Limits) -> tuple[DataFrame, DataFrame]:
     """Every row's doc_id, txt, n_shingles, set_id, and every set's set_id and `first`, the key of
     the first row that links reach."""
     read = id_and_text(docs, id_col, text_col).withColumn("txt", F.xxhash64("text"))
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = materialise(sets_of(read, rule), "sets")
+    shingles = known.agg(F.sum("n_shingles")).first()[0] or 0
+    n_parts = parts_for(docs.sparkSession, 8 * shingles)
     members = materialise(merged(materialise(region_members(packed_cells(read, rule, n_parts), n_parts), "cells").distinct()), "members")
     points = known.where("set_id is not null").groupBy("set_id").agg(F.min(row_key()).alias("first"))
     one = points.select("set_id", "first.doc_id", "first.txt")
     wanted = one.select("set_id", known_id().alias("doc"), "txt").join(members.select("set_id").distinct(), "set_id")
     sets = materialise(fetch_sets(read, wanted, rule), "shingles")
-    links = region_links(members, sets, rule)
+    links = region_links(members, sets, rule, limits)
     roots = components(links).withColumnsRenamed({"node": "set_id"})
     named = points.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     lowest = named.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("low"))
     return known, named.join(lowest, "root", "left").select("set_id", F.coalesce("low", "first").alias("first"))
 
 
-def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
+def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id (the smallest id that links reach) for every row."""
-    known, firsts = rows_and_firsts(docs, rule, id_col, text_col)
+    known, firsts = rows_and_firsts(docs, rule, id_col, text_col, limits)
     return known.join(firsts, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """The first row of each component, with all its columns: the one with the smallest id, and of
     several with that id, or of rows without ids alone, the one with the smallest hash of its text.
     Rows without words all stay."""
-    known, firsts = rows_and_firsts(docs, rule, id_col, text_col)
+    known, firsts = rows_and_firsts(docs, rule, id_col, text_col, limits)
     lost = ~row_key().eqNullSafe(F.col("first"))
     keys = known.join(firsts, "set_id").groupBy(F.col("doc_id").alias("__doc"), F.col("txt").alias("__hash")).agg(F.bool_or(lost).alias("lost"), F.count("*").alias("n"))
     keys = materialise(keys.where("lost or n > 1"), "drop")

@@ -233,8 +233,8 @@ def test_cells_miss_no_link():
                 assert set(keys[who == 0].tolist()) & set(keys[who == 1].tolist())
 
 
-def test_region_links_are_exact():
-    """A region around a pivot, whole and in blocks, against all pairs."""
+def test_leaf_links_are_exact():
+    """A leaf, whole and in blocks, against all pairs."""
     rng, rule = np.random.default_rng(1), jaccard.Rule(3, 80, 100)
     base = rng.integers(0, 2**63, 60).astype(np.uint64)
     sets = [base]
@@ -251,13 +251,13 @@ def test_region_links_are_exact():
         return [_top(r, k) for k in range(len(r))]
 
     every = [(a, b) for a in range(len(sets)) for b in range(a) if rule.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))]
-    assert roots(jaccard.link_region(sets, 0, rule)) == roots(every)
+    assert roots(jaccard.link_leaf(sets, rule)) == roots(every)
     found = []
     for i in range(3):
         for j in range(i, 3):
             ids = [0, *(k for k in range(1, len(sets)) if k % 3 in (i, j))]
-            side = np.array([-1, *(k % 3 for k in ids[1:])]) if i != j else None
-            found += [(ids[a], ids[b]) for a, b in jaccard.link_region([sets[k] for k in ids], 0, rule, side)]
+            side = np.array([0, *((jaccard.DEALT if k % 3 == i else jaccard.OTHER) for k in ids[1:])]) if i != j else None
+            found += [(ids[a], ids[b]) for a, b in jaccard.link_leaf([sets[k] for k in ids], rule, side)]
     assert roots(found) == roots(every)
 
 
@@ -267,16 +267,31 @@ def _top(r, k):
     return k
 
 
-def test_hot_cells_settle_early(monkeypatch):
-    monkeypatch.setattr(jaccard, "HELD", 10)
-    monkeypatch.setattr(jaccard, "HOT_CELL", 4)
-    cells, out = jaccard.Cells(), []
+@pytest.mark.parametrize("limits", [jaccard.Limits(sets=4, pivots=3), jaccard.Limits(sets=6, pivots=2, copies=100.0), jaccard.Limits(sets=3, pivots=2, copies=0.1, block=2), jaccard.Limits(shingles=40, block=3)])
+@pytest.mark.parametrize("rule", [jaccard.Rule(3, 90, 100), jaccard.Rule(2, 60, 100)])
+def test_jaccard_down_the_recursion(spark, rule, limits):
+    """Regions of more sets than a leaf holds, divided by pivots, in parts and in blocks."""
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(60)]
+    texts = []
+    for n in range(90):  # one family: near and far variants, and chains of them
+        w = list(base if n % 3 else (texts[-1].split() if texts else base))
+        for _ in range(rng.randint(0, 2 if n % 5 else 9)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(400)}"
+        texts.append(" ".join(w))
+    texts += near_copies(3, 3, 8)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(table(spark, list(enumerate(texts))), rule, limits=limits).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, rule)
+
+
+def test_hot_cells_settle_early():
+    cells, out = jaccard.Cells(10, 4), []
     keys = np.array([1] * 12 + [2, 2, 3], np.uint64)
-    sets = np.array([*range(12), 5, 6, 7])
+    sets = np.array([[0, x] for x in (*range(12), 5, 6, 7)], np.uint64)
     for at in range(0, 15, 3):
         out.append(cells.add(keys[at : at + 3], sets[at : at + 3]))
     out.append(cells.settle(2))
-    members = {(int(s), int(p)) for a, b in out for s, p in zip(a, b, strict=True)}
+    members = {(int(s[1]), int(p[1])) for a, b in out for s, p in zip(a, b, strict=True)}
     assert members == {(s, 0) for s in range(12)} | {(5, 5), (6, 5)}
 
 
