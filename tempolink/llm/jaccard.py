@@ -21,8 +21,10 @@ Two sets are linked when their Jaccard distance is at most r. The join has three
 Two entries of a region need no comparison if both are replicas there, or both stand within r of
 the pivot, as links to it connect them. Bits say so, two for each level; a region where one bit
 is set for all has no pair left and goes, and one where it is set for all but a few is dealt out
-in parts, each with these few. A region that pivots don't divide (all its sets lie in one another's
-windows) or that is left after `ROUNDS` levels is cut into pairs of hash blocks, which is exact too.
+in parts, each with these few. Pivots don't divide a region whose sets all lie in one another's
+windows, a family of near copies. Links to some dozens of pivots connect most of it, and what is so
+connected needs no comparison; the sets left over are compared, in blocks, with each other and
+with all that is connected. So the work on a family is its size times what pivots leave over.
 
 Only true links leave a region. Equal sets are one point from the start. Sets are held as 64-bit
 hashes of their shingles, points by 128-bit digests of the sets.
@@ -57,22 +59,23 @@ HOT_CELL = 1 << 16
 HELD = 1 << 22
 #: Levels of the recursion at most; each has two bits of an entry's 64.
 ROUNDS = 24
-#: Bits of what is dealt out last.
-DEALT, OTHER = 1 << 60, 1 << 61
+#: Bits of what is dealt out last: sets that links connect, and the sides of two blocks.
+COVERED, DEALT, OTHER = 1 << 58, 1 << 60, 1 << 61
+#: Pivots, as bits, of a region that pivots don't divide.
+PIVOT_BITS = 48
 
 
 @dataclass(frozen=True)
 class Limits:
     """Sets and shingles in a leaf; pivots that divide a larger region, about; how many copies of
     its sets that may make, and what share of them a single new region may hold (more, and pivots
-    don't divide it); sets in a block then."""
+    don't divide it)."""
 
     sets: int = 512
     shingles: int = 1 << 21
     pivots: int = 8
     copies: float = 3.0
     shrink: float = 0.8
-    block: int = 1024
 
 
 @dataclass(frozen=True)
@@ -380,7 +383,8 @@ def distance_of(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def link_leaf(sets: list[np.ndarray], rule: Rule, mask: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links by which the leaf's connected sets are connected. mask: two entries with a bit in
-    common need no comparison; even bits below `DEALT` say that links made before connect them."""
+    common need no comparison; the even ones of the levels' bits, and `COVERED`, say that links made
+    before connect them."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     start = np.concatenate(([0], np.cumsum(size)))
@@ -389,7 +393,7 @@ def link_leaf(sets: list[np.ndarray], rule: Rule, mask: np.ndarray | None = None
     links = Links(n)
     if mask is None:
         mask = np.zeros(n, np.int64)
-    for bit in range(0, 2 * ROUNDS, 2):
+    for bit in (*range(0, 2 * ROUNDS, 2), COVERED.bit_length() - 1):
         ball = np.flatnonzero(mask >> bit & 1).tolist()
         for k in ball[1:]:
             links.join(ball[0], k, known=True)
@@ -484,8 +488,7 @@ def divide(rule: Rule, level: int):  # noqa: ANN201
             distance, linked = np.empty((len(pivots), len(ids))), np.empty((len(pivots), len(ids)), bool)
             for j, (_, h) in enumerate(pivots):
                 own = np.frombuffer(h, np.uint64)
-                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                inter = np.add.reduceat((own[at] == flat).astype(np.int64), start)
+                inter = shared_with(own, flat, start)
                 distance[j], linked[j] = distance_of(inter, size, np.int64(len(own))), rule.linked(inter, size, np.int64(len(own)))
             nearest, least = distance.argmin(axis=0), distance.min(axis=0)
             for j, (pivot, _) in enumerate(pivots):
@@ -523,14 +526,105 @@ def in_parts(entries: DataFrame, limits: Limits) -> DataFrame:
     return wide.withColumn("part", F.explode(at)).select(named(F.col("part")), "set_id", mask.alias("mask"), "hashes")
 
 
-def in_blocks(entries: DataFrame, limits: Limits) -> DataFrame:
-    """Entries of regions that nothing divides, as pairs of hash blocks. entries: also n, shingles."""
-    blocks = F.least("n", F.greatest(F.ceil(F.col("n") / limits.block), F.ceil(F.col("shingles") / (4 * limits.shingles)))).cast("int")
-    wide = entries.withColumn("blocks", blocks).withColumn("own", block_of(F.col("blocks")))
-    wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+COVER = "region binary, n long, shingles long, set_id binary, mask long, hashes binary, balls long, u binary, v binary, together long"
+COVER_TYPES = [pa.int64() if x.endswith("long") else pa.binary() for x in COVER.split(", ")]
+
+
+def joined_bits(found: list[int]) -> list[int]:
+    """Bit sets, those that have a bit in common made one."""
+    out: list[int] = []
+    for x in found:
+        apart = []
+        for y in out:
+            if x & y:
+                x |= y
+            else:
+                apart.append(y)
+        out = [*apart, x]
+    return out
+
+
+def cover(rule: Rule):  # noqa: ANN201
+    """The work on a part of a region that pivots don't divide: links to all pivots within r, the
+    entries with the pivots they are linked to as bits, and which pivots these connect."""
+
+    def run(_: tuple, entries: pa.Table, drawn: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c.split()[0]: [] for c in COVER.split(", ")}
+
+        def put(*row: object) -> None:
+            for c, x in zip(out.values(), row, strict=True):
+                c.append(x)
+
+        rows = list(zip(*(entries[c].to_pylist() for c in ("region", "n", "shingles", "set_id", "mask", "hashes")), strict=True))
+        pivots = sorted(zip(drawn["pivot"].to_pylist(), drawn["pivot_hashes"].to_pylist(), strict=True))[:PIVOT_BITS] if rows else []
+        balls = np.zeros(len(rows), np.int64)
+        if pivots:
+            size = np.array([len(r[5]) // 8 for r in rows])
+            flat = np.frombuffer(b"".join(r[5] for r in rows), np.uint64)
+            start = np.concatenate(([0], np.cumsum(size)))[:-1]
+            for j, (pivot, h) in enumerate(pivots):
+                linked = rule.linked(shared_with(np.frombuffer(h, np.uint64), flat, start), size, np.int64(len(h) // 8))
+                balls |= linked.astype(np.int64) << j
+                for k in np.flatnonzero(linked).tolist():
+                    if rows[k][3] != pivot:
+                        put(*[None] * 7, rows[k][3], pivot, None)
+        for row, x in zip(rows, balls.tolist(), strict=True):
+            put(*row, x, None, None, None)
+        for x in joined_bits(np.unique(balls[balls > 0]).tolist()):
+            put(rows[0][0], *[None] * 8, x)
+        return pa.table({c: pa.array(x, t) for (c, x), t in zip(out.items(), COVER_TYPES, strict=True)})
+
+    return run
+
+
+def main_bits(_: tuple, found: pa.Table) -> pa.Table:
+    """Of a region the connected pivots with the most of them."""
+    best = max(joined_bits(found["together"].to_pylist()), key=lambda x: (x.bit_count(), -x))
+    return pa.table({"region": found["region"].slice(0, 1), "main": pa.array([best], pa.int64())})
+
+
+def undivided(entries: DataFrame, rule: Rule, limits: Limits, level: int) -> tuple[DataFrame, DataFrame]:
+    """Leaves and links of regions that pivots don't divide. Most of such a region is one family:
+    links to a few dozen pivots connect it. Sets so connected need no comparison with each other;
+    the rest, in blocks, meets itself and all of them. entries: also n and shingles."""
+    made = materialise(with_pivots(entries, cover(rule), limits, PIVOT_BITS * 2 // 3, ROUNDS + level, COVER), "cover")
+    main = made.where("together is not null").select("region", "together").distinct().groupBy("region").applyInArrow(main_bits, "region binary, main long")
+    covered = (F.col("balls").bitwiseAND(F.coalesce("main", F.lit(0).cast("long"))) != 0).alias("covered")
+    known = made.where("set_id is not null").join(bounded(materialise(main, "main")), "region", "left").select("region", "n", "shingles", "set_id", "mask", "hashes", covered)
+    # as many sets in a block as make half a leaf
+    each = F.greatest(F.lit(1), F.least(F.lit(limits.sets // 2), F.floor(F.lit(limits.shingles / 2) * F.max("n") / F.max("shingles"))))
+    blocks = lambda of: F.ceil(F.sum(F.when(of, 1).otherwise(0)) / each).cast("int")
+    counts = known.groupBy("region").agg(blocks(F.col("covered")).alias("n_c"), blocks(~F.col("covered")).alias("n_u"))
+    wide = known.join(bounded(materialise(counts, "blocks")), "region").where("n_u > 0")
+    own = F.when(F.col("covered"), block_of(F.col("n_c"))).otherwise(block_of(F.col("n_u")))
+    wide = wide.withColumn("own", own)
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    first = wide.where("not covered").withColumn("other", F.explode(numbers(F.col("n_u"))))
     side = F.when(F.col("own") < F.col("other"), F.lit(DEALT)).when(F.col("own") > F.col("other"), F.lit(OTHER)).otherwise(F.lit(0).cast("long"))
     pair = F.concat_ws("-", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
-    return wide.select(named(pair), "set_id", F.col("mask").bitwiseOR(side).alias("mask"), "hashes")
+    rest = first.select(named(pair), "set_id", F.col("mask").bitwiseOR(side).alias("mask"), "hashes")
+    across = wide.where("n_c > 0").withColumn("other", F.explode(numbers(F.when(F.col("covered"), F.col("n_u")).otherwise(F.col("n_c")))))
+    pair = F.concat_ws("+", *(F.when(F.col("covered"), x).otherwise(y).cast("string") for x, y in ((F.col("other"), F.col("own")), (F.col("own"), F.col("other")))))
+    side = F.when(F.col("covered"), F.lit(COVERED)).otherwise(F.lit(DEALT))
+    rest = rest.unionByName(across.select(named(pair), "set_id", F.col("mask").bitwiseOR(side).alias("mask"), "hashes"))
+    return rest, made.where("u is not null").select("u", "v")
+
+
+def with_pivots(entries: DataFrame, work, limits: Limits, pivots: int, seed: int, schema: str) -> DataFrame:  # noqa: ANN001
+    """Some work on the parts of regions, each held against about so many pivots of its region,
+    drawn by a hash. entries: also n and shingles."""
+    chunks = F.least("n", F.greatest(F.ceil(F.col("n") / (4 * limits.sets)), F.ceil(F.col("shingles") / (4 * limits.shingles)))).cast("int")
+    rank = F.xxhash64("set_id", F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1))
+    drawn = entries.where(rank < F.lit(pivots * float(1 << 40)) / F.col("n"))
+    drawn = drawn.select(F.col("region").alias("of"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("part"), F.col("set_id").alias("pivot"), F.col("hashes").alias("pivot_hashes"))
+    dealt = entries.select(*ENTRY, "n", "shingles", block_of(chunks).alias("chunk"))
+    return dealt.groupBy("region", "chunk").cogroup(drawn.groupBy("of", "part")).applyInArrow(work, schema)
+
+
+def shared_with(own: np.ndarray, flat: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """How many of `own`, sorted, each of several sets has, of which `flat` is the concatenation."""
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    return np.add.reduceat((own[at] == flat).astype(np.int64), start)
 
 
 def fates(children: DataFrame, level: int, limits: Limits) -> DataFrame:
@@ -555,7 +649,7 @@ def fates(children: DataFrame, level: int, limits: Limits) -> DataFrame:
     largest = F.max(F.when(F.col("kind") == "open", F.col("n"))).over(siblings)
     redrawn = (F.col("region") == F.col("parent")) & (F.lit(level) < ROUNDS - 1)
     stuck = ~redrawn & (F.coalesce(copies > limits.copies * F.col("parent_n"), F.lit(False)) | F.coalesce(largest > limits.shrink * F.col("parent_n"), F.lit(False)))
-    last = F.when((F.col("kind") == "open") & (F.lit(level) == ROUNDS - 1), "blocks").otherwise(F.col("kind"))
+    last = F.when((F.col("kind") == "open") & (F.lit(level) == ROUNDS - 1), "last").otherwise(F.col("kind"))
     return counted.withColumn("kind", kind).withColumn("fate", F.when(stuck, "stuck").otherwise(last)).select("parent", "region", "n", "shingles", "bit", "together", "fate")
 
 
@@ -567,19 +661,16 @@ def divided(entries: DataFrame, rule: Rule, limits: Limits) -> tuple[list[DataFr
     """Leaves and links of large regions, by levels. entries: also n and shingles of the region."""
     leaves, links = [], []
     for level in range(ROUNDS):
-        chunks = F.least("n", F.greatest(F.ceil(F.col("n") / (4 * limits.sets)), F.ceil(F.col("shingles") / (4 * limits.shingles)))).cast("int")
-        rank = F.xxhash64("set_id", F.lit(level)).bitwiseAND(F.lit((1 << 40) - 1))
-        drawn = entries.where(rank < F.lit(limits.pivots * float(1 << 40)) / F.col("n"))
-        drawn = drawn.select(F.col("region").alias("of"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("part"), F.col("set_id").alias("pivot"), F.col("hashes").alias("pivot_hashes"))
-        dealt = entries.select(*ENTRY, "n", block_of(chunks).alias("chunk"))
-        made = materialise(dealt.groupBy("region", "chunk").cogroup(drawn.groupBy("of", "part")).applyInArrow(divide(rule, level), STEP), "voronoi")
+        made = materialise(with_pivots(entries, divide(rule, level), limits, limits.pivots, level, STEP), "voronoi")
         links.append(made.where("u is not null").select("u", "v"))
         children = made.where("u is null")
         known = materialise(fates(children, level, limits), "fates")
         count = {r["fate"]: r["count"] for r in known.groupBy("fate").count().collect()}
         if "stuck" in count:
             parents = known.where("fate = 'stuck'").select(F.col("parent").alias("region")).distinct()
-            leaves.append(in_blocks(entries.join(bounded(parents), "region", "left_semi"), limits))
+            found, made_links = undivided(entries.join(bounded(parents), "region", "left_semi"), rule, limits, level)
+            leaves.append(found)
+            links.append(made_links)
         alive = known.where("fate not in ('over', 'stuck')").drop("parent")
         if not set(count) - {"over", "stuck"}:
             break
@@ -588,8 +679,10 @@ def divided(entries: DataFrame, rule: Rule, limits: Limits) -> tuple[list[DataFr
         leaves.append(after.where("fate = 'leaf'").select(*ENTRY))
         if "parts" in count:
             leaves.append(in_parts(after.where("fate = 'parts'"), limits))
-        if "blocks" in count:
-            leaves.append(in_blocks(after.where("fate = 'blocks'"), limits))
+        if "last" in count:
+            found, made_links = undivided(after.where("fate = 'last'"), rule, limits, ROUNDS)
+            leaves.append(found)
+            links.append(made_links)
         if "open" not in count:
             break
         entries = after.where("fate = 'open'")

@@ -267,7 +267,7 @@ def _top(r, k):
     return k
 
 
-@pytest.mark.parametrize("limits", [jaccard.Limits(sets=4, pivots=3), jaccard.Limits(sets=6, pivots=2, copies=100.0), jaccard.Limits(sets=3, pivots=2, copies=0.1, block=2), jaccard.Limits(shingles=40, block=3)])
+@pytest.mark.parametrize("limits", [jaccard.Limits(sets=4, pivots=3), jaccard.Limits(sets=6, pivots=2, copies=100.0), jaccard.Limits(sets=3, pivots=2, copies=0.1), jaccard.Limits(shingles=40)])
 @pytest.mark.parametrize("rule", [jaccard.Rule(3, 90, 100), jaccard.Rule(2, 60, 100)])
 def test_jaccard_down_the_recursion(spark, rule, limits):
     """Regions of more sets than a leaf holds, divided by pivots, in parts and in blocks."""
