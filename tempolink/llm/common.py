@@ -55,16 +55,16 @@ def parts_for(spark: SparkSession, size: int, each: int = 1 << 26) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // each))
 
 
-def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The rows of each key of a stream that is sorted by it, one key at a time."""
+def by_key(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The rows of each key of a stream that is sorted by them, one key at a time."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
-        ends = [*key_bounds(b.column(key)), b.num_rows]
+        ends = [*sorted({x for k in keys for x in key_bounds(b.column(k))}), b.num_rows]
         for a, z in zip([0, *ends[:-1]], ends, strict=True):
             part = b.slice(a, z - a)
-            if held and held[0].column(key)[0] != part.column(key)[0]:
+            if held and any(held[0].column(k)[0] != part.column(k)[0] for k in keys):
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(part)

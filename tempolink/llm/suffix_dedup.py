@@ -10,37 +10,50 @@ A byte goes if some string of `length` bytes that covers it also starts elsewher
    other; the distinct ones are joined into one string, and their windows' suffixes are sorted in
    two stages: suffixes smaller than their successors are sorted directly, the others are induced
    by a scan of the buckets. Common prefixes of neighbours in the array show the repeats.
-3. Hot hashes. A hash with more than `GROUP` contexts is dealt out in several parts; each part
-   sends one digest for every distinct window, and digests that meet again settle the rest.
+3. Hot hashes. A hash with more than `group` contexts is dealt out in several parts, each with a
+   suffix array of its own. Of the windows that are equal within a part one stands for all; where
+   such windows of several parts have equal hashes, their bytes go through a suffix array again.
+   Each turn leaves one window for `group` of them, so a few turns do.
+
+Hashes only name what is compared: what repeats is always decided by bytes in a suffix array (or
+by equality of whole contexts).
 
 Cases: a null text is empty; texts shorter than `length` lose nothing; rows that repeat, with
 equal ids or not, are occurrences of their own; an empty table gives no rows; columns other than
-the id and the text are ignored.
+the id and the text are ignored; a very long text is taken alone by a task, whole.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, id_and_text, materialise, prefix_hash, row_chunks, runs_of, span_hash, text_buffer
+from .common import CHUNK_BYTES, by_key, id_and_text, materialise, parts_for, prefix_hash, row_chunks, runs_of, span_hash, text_buffer
 
 LENGTH = 200
 GRAM = 40
-#: Contexts of a hash that are handled together.
-GROUP = 2048
-#: Bytes of contexts in a suffix array, about.
-POOL_BYTES = 1 << 21
-#: Entries that a task holds before it settles hashes that already repeat very often.
-HELD = 1 << 21
+#: Bytes of text for each partition of the work, about.
+PART_BYTES = 1 << 25
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Contexts of a hash that are handled together; bytes of contexts in a suffix array, about;
+    places that a task holds before it settles hashes that already repeat very often."""
+
+    group: int = 2048
+    pool: int = 1 << 21
+    held: int = 1 << 21
 
-PLACE = np.dtype([("key", np.uint64), ("check", np.uint64), ("doc", np.int64), ("txt", np.int64), ("lo", np.int32), ("hi", np.int32), ("twice", np.int8)])
+
+PLACE = np.dtype([("key", np.uint64), ("doc", np.int64), ("txt", np.int64), ("lo", np.int32), ("hi", np.int32), ("twice", np.int8)])
 
 
 # --- contexts -----------------------------------------------------------------------------------
@@ -116,66 +129,87 @@ def context_places(docs: DataFrame, n_parts: int) -> DataFrame:
 
 
 class Repeats:
-    """Places whose key and check occur again (or twice in one place); keys that already repeat
-    very often are settled while the others still stream in."""
+    """Places whose key occurs again (or twice in one place); keys that already repeat very often
+    are settled while the others still stream in."""
 
-    def __init__(self) -> None:
-        self.held: list[np.ndarray] = []
-        self.n = 0
-        self.hot = np.zeros(0, np.uint64)
-        self.batch = 0
+    def __init__(self, limits: Limits) -> None:
+        self.limits = limits
+        self.cold: list[np.ndarray] = []
+        self.hot: list[np.ndarray] = []
+        self.n_cold = self.n_hot = self.turn = 0
+        self.most = limits.held
+        self.hot_keys = np.zeros(0, np.uint64)
 
     def add(self, places: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
-        if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, places["key"]), len(self.hot) - 1)
-            hot = self.hot[at] == places["key"]
-            if hot.any():
-                self.batch += 1
-                out.append((places[hot], np.full(int(hot.sum()), 1_000_000 + self.batch)))
-                places = places[~hot]
-        self.held.append(places)
-        self.n += len(places)
-        if self.n > HELD:
-            out.append(self.settle(HELD // 16))
+        if len(self.hot_keys):
+            at = np.minimum(np.searchsorted(self.hot_keys, places["key"]), len(self.hot_keys) - 1)
+            hot = self.hot_keys[at] == places["key"]
+            self.hot.append(places[hot])
+            self.n_hot += int(hot.sum())
+            places = places[~hot]
+            if self.n_hot > self.limits.held // 4:
+                out.append(self.settle_hot())
+        self.cold.append(places)
+        self.n_cold += len(places)
+        if self.n_cold > self.most:
+            out.append(self.settle(max(3, self.limits.held // 16)))
+            self.most = max(self.limits.held, 2 * self.n_cold)  # what is cold is not sorted again at every turn
         return out
 
+    def _shares(self, nth: np.ndarray) -> np.ndarray:
+        """Shares of a key's places, apart from those of other turns."""
+        return 1 + self.turn * 4096 + nth // self.limits.group
+
+    def settle_hot(self) -> tuple[np.ndarray, np.ndarray]:
+        places = np.concatenate([*self.hot, np.zeros(0, PLACE)])
+        places = places[np.argsort(places["key"], kind="stable")]
+        start = np.flatnonzero(np.concatenate((places["key"][:1] == places["key"][:1], places["key"][1:] != places["key"][:-1])))
+        share = self._shares(np.arange(len(places)) - np.repeat(start, np.diff(np.append(start, len(places)))))
+        self.hot, self.n_hot = [], 0
+        self.turn += 1
+        return places, share
+
     def settle(self, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of keys with so many, and the share of the key's group that each belongs to: 0 of
         a group that is whole."""
-        places = np.concatenate(self.held) if self.held else np.zeros(0, PLACE)
-        places = places[np.lexsort((places["check"], places["key"]))]
-        new = np.ones(len(places), bool)
-        new[1:] = (places["key"][1:] != places["key"][:-1]) | (places["check"][1:] != places["check"][:-1])
-        start = np.flatnonzero(new)
+        places = np.concatenate([*self.cold, np.zeros(0, PLACE)])
+        places = places[np.argsort(places["key"], kind="stable")]
+        start = np.flatnonzero(np.concatenate((places["key"][:1] == places["key"][:1], places["key"][1:] != places["key"][:-1])))
         count = np.diff(np.append(start, len(places)))
         weight = np.add.reduceat(1 + places["twice"].astype(np.int64), start) if len(start) else count
-        big = (count if least > 2 else weight) >= least
+        early = least > 2
+        big = (count if early else weight) >= least
         taken = np.repeat(big, count)
-        nth = np.arange(len(places)) - np.repeat(start, count)
-        share = np.where(np.repeat(count, count) > GROUP, 1 + nth // GROUP, 0)
-        if least > 2:
-            self.hot = np.unique(np.append(self.hot, places["key"][start][big]))
-            share = 1 + nth // GROUP
-        self.held = [places[~taken]]
-        self.n = int((~taken).sum())
+        share = self._shares(np.arange(len(places)) - np.repeat(start, count))
+        if early:
+            self.hot_keys = np.unique(np.append(self.hot_keys, places["key"][start][big]))
+        else:
+            share = np.where(np.repeat(count, count) > self.limits.group, share, 0)
+        self.turn += 1
+        self.cold = [places[~taken]]
+        self.n_cold = int((~taken).sum())
         return places[taken], share[taken]
 
+    def end(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [self.settle_hot(), self.settle(2)]
+
 
-def repeated(places: DataFrame, n_parts: int) -> DataFrame:
+def repeated(places: DataFrame, n_parts: int, limits: Limits) -> DataFrame:
     """doc, txt, lo, hi, key, share of places whose keys occur again."""
 
     def batch(p: np.ndarray, share: np.ndarray) -> pa.RecordBatch:
-        cols = [p["doc"], p["txt"], p["lo"], p["hi"], p["key"].view(np.int64) if p["key"].flags["C_CONTIGUOUS"] else np.ascontiguousarray(p["key"]).view(np.int64), share.astype(np.int32)]
+        cols = [p["doc"], p["txt"], p["lo"], p["hi"], np.ascontiguousarray(p["key"]).view(np.int64), share.astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["doc", "txt", "lo", "hi", "key", "share"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Repeats()
+        found = Repeats(limits)
         for b in batches:
             for x in b.column("places"):
                 for p, share in found.add(np.frombuffer(x.as_buffer(), PLACE)):
                     yield batch(p, share)
-        yield batch(*found.settle(2))
+        for p, share in found.end():
+            yield batch(p, share)
 
     return places.repartition(n_parts, "part").mapInArrow(run, "doc long, txt long, lo int, hi int, key long, share int")
 
@@ -195,7 +229,6 @@ def two_stage(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     nxt = np.minimum.accumulate(nxt[::-1])[::-1]
     direct = smaller[nxt]
     # from a wanted suffix the successors are needed up to the first one that is sorted directly
-    need = wanted | direct
     last_direct = np.where(direct, np.arange(n), n)
     last_direct = np.minimum.accumulate(last_direct[::-1])[::-1]
     reach = np.zeros(n + 1, np.int64)
@@ -310,72 +343,90 @@ def _intervals(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), (last + length).tolist(), strict=True))
 
 
-def settle_groups(groups: dict[tuple, dict[bytes, list[bytes]]]) -> tuple[list[tuple], list[np.ndarray]]:
-    """Ranges (doc, txt, from, to) that go, and digests of windows still open, of some groups of
-    contexts with their locations."""
-    gone: list[tuple] = []
-    open_: list[np.ndarray] = []
-    pool: list[tuple[bytes, np.ndarray, int]] = []
-    size = 0
-
-    def flush() -> None:
-        nonlocal size
-        if pool:
-            owner, start, cls = window_classes([c for c, _, _ in pool])
-            alone = np.array([len(x) == 1 for _, x, _ in pool])
-            shared = np.array([s > 0 for _, _, s in pool])
-            # a class repeats if it has two windows, or one of a context that occurs twice
-            times = np.bincount(cls, np.where(alone[owner], 1, 2))
-            again = times[cls] > 1
-            hit = again & alone[owner]
-            order = np.lexsort((start[hit], owner[hit]))
-            o, s = owner[hit][order], start[hit][order]
-            for k, a, z in runs_of(o):
-                where = pool[k][1][0]
-                gone.extend((int(where["doc"]), int(where["txt"]), int(where["lo"]) + x, int(where["lo"]) + y) for x, y in _intervals(s[a:z], LENGTH))
-            if shared.any():
-                lead = np.concatenate(([True], cls[1:] != cls[:-1])) & shared[owner]
-                p = np.zeros(int(lead.sum()), PLACE)
-                for at, (k, s_, settled) in enumerate(zip(owner[lead].tolist(), start[lead].tolist(), again[lead].tolist(), strict=True)):
-                    d = hashlib.blake2b(pool[k][0][s_ : s_ + LENGTH], digest_size=16).digest()
-                    where = pool[k][1][0]
-                    p[at] = (int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little"), where["doc"], where["txt"], -1 if settled else where["lo"] + s_, 0, 0)
-                open_.append(p)
-        pool.clear()
-        size = 0
-
-    for (_, share), contexts_ in groups.items():
+class Groups:
+    """Settles groups of contexts; distinct contexts of several groups share a suffix array."""
+
+    def __init__(self, limits: Limits) -> None:
+        self.limits = limits
+        self.pool: list[tuple[bytes, np.ndarray, int]] = []
+        self.size = 0
+        self.gone: list[tuple] = []  # ranges (doc, txt, from, to)
+        self.open: list[np.ndarray] = []  # places of windows that stand for their part of a group
+
+    def add(self, share: int, contexts_: dict[bytes, list[bytes]]) -> None:
+        """The distinct contexts of one group, or part of one, with their locations."""
         merged = [(c, np.frombuffer(b"".join(x), LOCATION)) for c, x in contexts_.items()]
         for c, places in merged:
             if len(places) > 1:
-                gone.extend((int(p["doc"]), int(p["txt"]), int(p["lo"]), int(p["lo"]) + len(c)) for p in places)
+                self.gone.extend((int(p["doc"]), int(p["txt"]), int(p["lo"]), int(p["lo"]) + len(c)) for p in places)
         if share or any(len(x) == 1 for _, x in merged):
-            pool.extend((c, x, share) for c, x in merged)
-            size += sum(len(c) for c, _ in merged)
-            if size > POOL_BYTES:
-                flush()
-    flush()
-    return gone, open_
+            self.pool.extend((c, x, share) for c, x in merged)
+            self.size += sum(len(c) for c, _ in merged)
+            if self.size > self.limits.pool:
+                self.flush()
+
+    def flush(self) -> None:
+        if not self.pool:
+            return
+        owner, start, cls = window_classes([c for c, _, _ in self.pool])
+        alone = np.array([len(x) == 1 for _, x, _ in self.pool])
+        shared = np.array([s > 0 for _, _, s in self.pool])
+        # a class repeats if it has two windows, or one of a context that occurs twice
+        again = np.bincount(cls, np.where(alone[owner], 1, 2))[cls] > 1
+        hit = again & alone[owner]
+        order = np.lexsort((start[hit], owner[hit]))
+        o, s = owner[hit][order], start[hit][order]
+        for k, a, z in runs_of(o):
+            where = self.pool[k][1][0]
+            self.gone.extend((int(where["doc"]), int(where["txt"]), int(where["lo"]) + x, int(where["lo"]) + y) for x, y in _intervals(s[a:z], LENGTH))
+        if shared.any():
+            lead = np.concatenate(([True], cls[1:] != cls[:-1])) & shared[owner]
+            order = np.lexsort((start[lead], owner[lead]))
+            o, s = owner[lead][order], start[lead][order]
+            for k, a, z in runs_of(o):
+                where, p = self.pool[k][1][0], np.zeros(z - a, PLACE)
+                p["key"] = span_hash(prefix_hash(np.frombuffer(self.pool[k][0], np.uint8)), s[a:z], s[a:z] + LENGTH)
+                p["doc"], p["txt"] = where["doc"], where["txt"]
+                p["lo"] = p["hi"] = where["lo"] + s[a:z]
+                self.open.append(p)
+        self.pool.clear()
+        self.size = 0
+
+    def taken(self) -> tuple[list[tuple], np.ndarray]:
+        """What has been found since the last call."""
+        out = self.gone, np.concatenate([*self.open, np.zeros(0, PLACE)])
+        self.gone, self.open = [], []
+        return out
 
 
-def group_results(texts: DataFrame, n_parts: int) -> DataFrame:
-    """doc, txt, begin, end of ranges that go; or part, places of windows still open."""
+def group_results(texts: DataFrame, n_parts: int, limits: Limits) -> DataFrame:
+    """doc, txt, begin, end of ranges that go; or part, places of windows that stand for a part of
+    a hot group. Groups stream in one after the other."""
     schema = "doc long, txt long, begin long, end long, part int, places binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def found(groups: Groups) -> Iterator[pa.RecordBatch]:
+        gone, open_ = groups.taken()
+        if gone:
+            cols = zip(*gone, strict=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.nulls(len(gone), pa.int32()), pa.nulls(len(gone), pa.binary())], names)
+        if len(open_):
+            b = packed(open_, n_parts)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(b.num_rows, pa.int64())] * 4, *b.columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple, dict[bytes, list[bytes]]] = defaultdict(lambda: defaultdict(list))
-        for b in batches:
-            for key, share, context, where in zip(*(b.column(c).to_pylist() for c in ("key", "share", "context", "locations")), strict=True):
-                groups[key, share][context].append(where)
-        gone, open_ = settle_groups(groups)
-        cols = list(zip(*gone, strict=True)) if gone else [()] * 4
-        none = pa.nulls(len(gone), pa.int32()), pa.nulls(len(gone), pa.binary())
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *none], ["doc", "txt", "begin", "end", "part", "places"])
-        for p in open_:
-            b = packed(p, n_parts)
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(b.num_rows, pa.int64())] * 4, *b.columns], ["doc", "txt", "begin", "end", "part", "places"])
+        groups = Groups(limits)
+        for held in by_key(batches, "key", "share"):
+            contexts_: dict[bytes, list[bytes]] = defaultdict(list)
+            for context, where in zip(held["context"].to_pylist(), held["locations"].to_pylist(), strict=True):
+                contexts_[context].append(where)
+            groups.add(held["share"][0].as_py(), contexts_)
+            if len(groups.gone) + sum(map(len, groups.open)) > 1 << 16:
+                yield from found(groups)
+        groups.flush()
+        yield from found(groups)
 
-    return texts.repartition(n_parts, "key", "share").mapInArrow(run, schema)
+    return texts.repartition(n_parts, "key", "share").sortWithinPartitions("key", "share").mapInArrow(run, schema)
 
 
 # --- documents ----------------------------------------------------------------------------------
@@ -390,14 +441,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay) for every row."""
     read = _keyed(id_and_text(docs, id_col, text_col))
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = repeated(context_places(read, n_parts), n_parts)
-    results = materialise(group_results(context_texts(read, found), n_parts), "ranges")
-    later = repeated(results.where("places is not null").select("part", "places"), n_parts).where("lo >= 0")
-    ranges = results.where("places is null").select("doc", "txt", "begin", "end").unionByName(later.select("doc", "txt", F.col("lo").cast("long").alias("begin"), (F.col("lo") + LENGTH).cast("long").alias("end")))
+    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = parts_for(docs.sparkSession, size, PART_BYTES)
+    places, settled = context_places(read, n_parts), []
+    while True:
+        results = materialise(group_results(context_texts(read, repeated(places, n_parts, limits)), n_parts, limits), "ranges")
+        settled.append(results.where("places is null").select("doc", "txt", "begin", "end"))
+        places = results.where("places is not null").select("part", "places")
+        if places.isEmpty():
+            break
+    ranges = reduce(DataFrame.unionByName, settled)
     lists = ranges.groupBy("doc", "txt").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +486,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return read.join(lists.hint("shuffle_hash"), ["doc", "txt"], "left").select("doc_id", "text", "ranges").mapInArrow(run, RESULT_SCHEMA)
 
 
-def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """`remove_repeats` with the kept bytes as a digest."""
     kept: Column = F.sha2("kept", 256).alias("kept_sha256")
-    return remove_repeats(docs, id_col, text_col).select("doc_id", "n_bytes", "n_removed", "n_spans", kept)
+    return remove_repeats(docs, id_col, text_col, limits).select("doc_id", "n_bytes", "n_removed", "n_spans", kept)

@@ -11,7 +11,6 @@ import numpy as np
 import pytest
 
 from tempolink.llm import components, exact_dedup, jaccard, suffix_dedup
-from tempolink.llm.common import text_buffer
 
 SCHEMA = "doc_id long, text string, digest string, set_id int, kept string"
 
@@ -115,48 +114,28 @@ def corpus(seed):
     return texts + copies + [c[: len(c) // 2] + "Q" + c[len(c) // 2 :] for c in copies]
 
 
-@pytest.mark.parametrize("group,held", [(2048, 1 << 21), (3, 1 << 21), (4, 16)])
-def test_suffix_dedup(spark, monkeypatch, group, held):
-    """Whole groups, groups in parts, and hashes that are settled while they stream in."""
-    monkeypatch.setattr(suffix_dedup, "GROUP", group)
-    monkeypatch.setattr(suffix_dedup, "HELD", held)
-    texts = corpus(group)
-    # workers take the module as it is on disk, so the parts that depend on the limits run here
+@pytest.mark.parametrize("limits", [suffix_dedup.Limits(), suffix_dedup.Limits(group=3, pool=2000), suffix_dedup.Limits(group=2, pool=700, held=16), suffix_dedup.Limits(group=4, held=48)])
+def test_suffix_dedup(spark, limits):
+    """Whole groups, groups in parts down several turns, and hashes settled while they stream in."""
+    texts = corpus(limits.group)
     docs = table(spark, list(enumerate(texts)))
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.repeat_digests(docs).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.repeat_digests(docs, limits=limits).collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
-    if group < 2048:
-        assert local_removal(texts) == [x[1] for x in brute_repeats(texts)]
-
-
-def local_removal(texts):
-    """The same steps without Spark, under the limits that the test has set."""
-    import pyarrow as pa
-
-    data, offsets = text_buffer(pa.array(texts, pa.string()))
-    row, value, lo, hi, twice = suffix_dedup.contexts(data, offsets)
-    places = np.zeros(len(row), suffix_dedup.PLACE)
-    places["key"], places["doc"], places["lo"], places["hi"], places["twice"] = value, row, lo, hi, twice
-
-    def repeats(p):
-        found, out = suffix_dedup.Repeats(), []
-        for at in range(0, len(p), 7):
-            out += found.add(p[at : at + 7])
-        return [*out, found.settle(2)]
-
-    groups = collections.defaultdict(lambda: collections.defaultdict(list))
-    for p, share in repeats(places):
-        for x, s in zip(p, share.tolist(), strict=True):
-            begin = int(offsets[x["doc"]])
-            where = np.array([(x["doc"], 0, x["lo"])], suffix_dedup.LOCATION).tobytes()
-            groups[int(x["key"]), s][data[begin + x["lo"] : begin + x["hi"] + 200].tobytes()].append(where)
-    gone, open_ = suffix_dedup.settle_groups(groups)
-    for p, _ in repeats(np.concatenate([*open_, np.zeros(0, suffix_dedup.PLACE)])):
-        gone += [(int(x["doc"]), 0, int(x["lo"]), int(x["lo"]) + 200) for x in p if x["lo"] >= 0]
-    marks = [np.zeros(int(n), bool) for n in np.diff(offsets)]
-    for doc, _, a, z in gone:
-        marks[doc][a:z] = True
-    return [int(m.sum()) for m in marks]
+
+
+def test_hot_places_settle_early():
+    found = suffix_dedup.Repeats(suffix_dedup.Limits(group=2, held=16))
+    keys = [7] * 30 + [1, 2, 2, 3] + [7] * 9 + [5] * 3
+    out = []
+    for at, k in enumerate(keys):
+        p = np.zeros(1, suffix_dedup.PLACE)
+        p["key"], p["lo"] = k, at
+        out += found.add(p)
+    out += found.end()
+    place, share = (np.concatenate(x) for x in zip(*out, strict=True))
+    assert sorted(place["lo"].tolist()) == [k for k, x in enumerate(keys) if x not in (1, 3)]
+    parts = collections.Counter((int(k), int(s)) for k, s in zip(place["key"], share, strict=True))
+    assert all(n <= 2 for (_, s), n in parts.items() if s) and parts[2, 0] == 2
 
 
 def test_suffix_dedup_cases(spark):
