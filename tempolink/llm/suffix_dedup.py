@@ -307,7 +307,8 @@ LOCATION = np.dtype([("doc", np.int64), ("txt", np.int64), ("lo", np.int32)])
 
 def context_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
     """key, share, context (binary), locations (binary): the bytes of repeated contexts; contexts
-    that are equal within a batch are sent once."""
+    that are equal within a batch are sent once. docs: doc, txt, text, and base, where in its
+    document a text begins; windows of a document belong to one text of it at most."""
     lists = found.groupBy("doc", "txt").agg(F.collect_list(F.struct("lo", "hi", "key", "share")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,11 +320,14 @@ def context_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
             parts = lists.flatten()
             lo, hi, key, share = (parts.field(k).to_numpy(zero_copy_only=False).tolist() for k in range(4))
             ends = np.cumsum(np.asarray(lists.value_lengths())).tolist()
+            base = b.column("base").to_pylist()
             seen: dict[tuple, list] = defaultdict(list)
             at = 0
             for row, end in enumerate(ends):
-                begin = int(offsets[row])
+                begin, last = int(offsets[row]) - base[row], base[row] + int(offsets[row + 1] - offsets[row]) - LENGTH
                 for k in range(at, end):
+                    if not base[row] <= lo[k] <= last:
+                        continue
                     seen[key[k], share[k], raw[begin + lo[k] : begin + hi[k] + LENGTH]].append((doc[row], txt[row], lo[k]))
                 at = end
             names = list(seen)
@@ -333,7 +337,7 @@ def context_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
             )
 
     joined = docs.join(lists.hint("shuffle_hash"), ["doc", "txt"])
-    return joined.select("doc", "txt", "text", "found").mapInArrow(run, "key long, share int, context binary, locations binary")
+    return joined.select("doc", "txt", "base", "text", "found").mapInArrow(run, "key long, share int, context binary, locations binary")
 
 
 def _intervals(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -352,6 +356,7 @@ class Groups:
         self.size = 0
         self.gone: list[tuple] = []  # ranges (doc, txt, from, to)
         self.open: list[np.ndarray] = []  # places of windows that stand for their part of a group
+        self.texts: list[tuple] = []  # (doc, txt, base, bytes) of runs of such windows
 
     def add(self, share: int, contexts_: dict[bytes, list[bytes]]) -> None:
         """The distinct contexts of one group, or part of one, with their locations."""
@@ -389,30 +394,35 @@ class Groups:
                 p["doc"], p["txt"] = where["doc"], where["txt"]
                 p["lo"] = p["hi"] = where["lo"] + s[a:z]
                 self.open.append(p)
+                for x, y in _intervals(s[a:z], 1):  # neighbouring windows
+                    self.texts.append((int(where["doc"]), int(where["txt"]), int(where["lo"]) + x, self.pool[k][0][x : y - 1 + LENGTH]))
         self.pool.clear()
         self.size = 0
 
-    def taken(self) -> tuple[list[tuple], np.ndarray]:
+    def taken(self) -> tuple[list[tuple], np.ndarray, list[tuple]]:
         """What has been found since the last call."""
-        out = self.gone, np.concatenate([*self.open, np.zeros(0, PLACE)])
-        self.gone, self.open = [], []
+        out = self.gone, np.concatenate([*self.open, np.zeros(0, PLACE)]), self.texts
+        self.gone, self.open, self.texts = [], [], []
         return out
 
 
 def group_results(texts: DataFrame, n_parts: int, limits: Limits) -> DataFrame:
-    """doc, txt, begin, end of ranges that go; or part, places of windows that stand for a part of
-    a hot group. Groups stream in one after the other."""
-    schema = "doc long, txt long, begin long, end long, part int, places binary"
+    """doc, txt, begin, end of ranges that go; or, of windows that stand for a part of a hot group,
+    part and places, and doc, txt, begin and text of runs of them. Groups stream in one after the
+    other."""
+    schema = "doc long, txt long, begin long, end long, part int, places binary, text binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def found(groups: Groups) -> Iterator[pa.RecordBatch]:
-        gone, open_ = groups.taken()
+        gone, open_, texts_ = groups.taken()
         if gone:
             cols = zip(*gone, strict=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.nulls(len(gone), pa.int32()), pa.nulls(len(gone), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.nulls(len(gone), pa.int32()), *[pa.nulls(len(gone), pa.binary())] * 2], names)
         if len(open_):
-            b = packed(open_, n_parts)
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(b.num_rows, pa.int64())] * 4, *b.columns], names)
+            b, n = packed(open_, n_parts), len(texts_)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(b.num_rows, pa.int64())] * 4, *b.columns, pa.nulls(b.num_rows, pa.binary())], names)
+            doc, txt, base, raw = zip(*texts_, strict=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (doc, txt, base)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(raw, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = Groups(limits)
@@ -446,11 +456,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     read = _keyed(id_and_text(docs, id_col, text_col))
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = parts_for(docs.sparkSession, size, PART_BYTES)
-    places, settled = context_places(read, n_parts), []
+    places, settled, source = context_places(read, n_parts), [], read.withColumn("base", F.lit(0).cast("long"))
     while True:
-        results = materialise(group_results(context_texts(read, repeated(places, n_parts, limits)), n_parts, limits), "ranges")
-        settled.append(results.where("places is null").select("doc", "txt", "begin", "end"))
+        results = materialise(group_results(context_texts(source, repeated(places, n_parts, limits)), n_parts, limits), "ranges")
+        settled.append(results.where("end is not null").select("doc", "txt", "begin", "end"))
         places = results.where("places is not null").select("part", "places")
+        source = results.where("text is not null").select("doc", "txt", F.col("begin").alias("base"), "text")
         if places.isEmpty():
             break
     ranges = reduce(DataFrame.unionByName, settled)
