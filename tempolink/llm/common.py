@@ -78,10 +78,12 @@ def key_bounds(col: pa.Array) -> list[int]:
 
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and the rows' offsets into them; nulls are empty."""
+    """UTF-8 bytes of a string column, or those of a binary one, and the rows' offsets into them;
+    nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = pc.fill_null(col.cast(pa.large_string()), "")
+    raw = pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type)
+    col = pc.fill_null(col.cast(pa.large_binary() if raw else pa.large_string()), b"" if raw else "")
     _, offs, data = col.buffers()
     offsets = np.frombuffer(offs, dtype=np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -22,9 +22,10 @@ Two entries of a region need no comparison if both are replicas there, or both s
 the pivot, as links to it connect them. Bits say so, two for each level; a region where one bit
 is set for all has no pair left and goes, and one where it is set for all but a few is dealt out
 in parts, each with these few. Pivots don't divide a region whose sets all lie in one another's
-windows, a family of near copies. Links to some dozens of pivots connect most of it, and what is so
-connected needs no comparison; the sets left over are compared, in blocks, with each other and
-with all that is connected. So the work on a family is its size times what pivots leave over.
+windows. Links to some dozens of pivots connect most of a family of near copies, and what is so
+connected needs no comparison. For the rest, sets that share one of their rarest shingles (by the
+pivots' counts) form cells and new regions, as at first, and go on down the recursion. What even
+that doesn't divide is compared in blocks: the unconnected sets with each other and with all.
 
 Only true links leave a region. Equal sets are one point from the start. Sets are held as 64-bit
 hashes of their shingles, points by 128-bit digests of the sets.
@@ -59,8 +60,8 @@ HOT_CELL = 1 << 16
 HELD = 1 << 22
 #: Levels of the recursion at most; each has two bits of an entry's 64.
 ROUNDS = 24
-#: Bits of what is dealt out last: sets that links connect, and the sides of two blocks.
-COVERED, DEALT, OTHER = 1 << 58, 1 << 60, 1 << 61
+#: Bits of what is dealt out last: the sides of two blocks.
+DEALT, OTHER = 1 << 60, 1 << 61
 #: Pivots, as bits, of a region that pivots don't divide.
 PIVOT_BITS = 48
 
@@ -128,14 +129,10 @@ def set_id(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def id_array(ids: list[bytes]) -> np.ndarray:
-    """(n, 2) integers."""
-    return np.frombuffer(b"".join(ids), np.uint64).reshape(-1, 2)
-
-
-def id_column(ids: np.ndarray) -> pa.Array:
-    buffer = pa.py_buffer(np.ascontiguousarray(ids))
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(ids), [None, buffer]).cast(pa.binary())
+def short_id(digest: bytes) -> int:
+    """By this cells and regions know a set. Sets that share it go everywhere together, and are told
+    apart where their hashes are fetched."""
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
 def edges_of_bands(limit: int) -> np.ndarray:
@@ -207,7 +204,7 @@ def cell_keys(h: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray
 
 
 def sets_of(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, txt, n_shingles, set_id (null for an empty set)."""
+    """doc_id, txt, n_shingles, set_id and set_key, its first half (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -217,9 +214,10 @@ def sets_of(docs: DataFrame, rule: Rule) -> DataFrame:
                 h, bounds = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule.words)
                 n += np.diff(bounds).tolist()
                 ids += [set_id(h[a:z]) if z > a else None for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("txt"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "txt", "n_shingles", "set_id"])
+            keys = [x if x is None else short_id(x) for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("txt"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.int64())], ["doc_id", "txt", "n_shingles", "set_id", "set_key"])
 
-    return docs.mapInArrow(run, "doc_id long, txt long, n_shingles long, set_id binary")
+    return docs.mapInArrow(run, "doc_id long, txt long, n_shingles long, set_id binary, set_key long")
 
 
 def packed_cells(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
@@ -227,22 +225,22 @@ def packed_cells(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
     an equal set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for b in batches:
             data, offsets = text_buffer(b.column("text"))
-            every_key, every_set = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.uint64)]
+            every_key, every_set = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i, j in row_chunks(offsets):
                 h, bounds = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule.words)
-                ids = [set_id(h[a:z]) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                ids = np.array([short_id(set_id(h[a:z])) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], np.int64)
                 fresh = np.zeros(len(ids), bool)
-                for k, x in enumerate(ids):
+                for k, x in enumerate(ids.tolist()):
                     if x not in seen:
                         seen.add(x)
                         fresh[k] = True
                 keys, who = cell_keys(h, bounds, rule)
                 keep = fresh[who]
                 every_key.append(keys[keep])
-                every_set.append(id_array(ids)[who[keep]])
+                every_set.append(ids[who[keep]])
             if len(seen) > 1 << 20:
                 seen.clear()
             keys, ids = np.concatenate(every_key), np.concatenate(every_set)
@@ -262,11 +260,11 @@ class Cells:
         self.keys: list[np.ndarray] = []
         self.sets: list[np.ndarray] = []
         self.held, self.least, self.limit, self.hot = 0, limit, limit, hot
-        self.hot_keys, self.hot_leads = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
+        self.hot_keys, self.hot_leads = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def add(self, keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Members (set, leader) of settled cells."""
-        out_s, out_p = np.zeros((0, 2), np.uint64), np.zeros((0, 2), np.uint64)
+        out_s, out_p = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(self.hot_keys):
             at = np.minimum(np.searchsorted(self.hot_keys, keys), len(self.hot_keys) - 1)
             hot = self.hot_keys[at] == keys
@@ -284,18 +282,18 @@ class Cells:
     def settle(self, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Members of cells with at least so many sets; the rest are held on."""
         if not self.keys:
-            return np.zeros((0, 2), np.uint64), np.zeros((0, 2), np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         keys, sets = np.concatenate(self.keys), np.concatenate(self.sets)
-        order = np.lexsort((sets[:, 1], sets[:, 0], keys))
+        order = np.lexsort((sets, keys))
         keys, sets = keys[order], sets[order]
         new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1]).any(axis=1)
+        new[1:] = (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])
         keys, sets = keys[new], sets[new]
         start = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
         count = np.diff(np.append(start, len(keys)))
         big = count >= least
         taken = np.repeat(big, count)
-        lead = np.repeat(sets[start], count, axis=0)
+        lead = np.repeat(sets[start], count)
         if least > 2:
             k, p = np.append(self.hot_keys, keys[start][big]), np.concatenate((self.hot_leads, sets[start][big]))
             order = np.argsort(k)
@@ -306,26 +304,25 @@ class Cells:
 
 
 def region_members(cells: DataFrame, n_parts: int) -> DataFrame:
-    """set_id, region: every set of every cell with two sets or more, leaders included."""
+    """set_key, region: every set of every cell with two sets or more, leaders included."""
 
     def batch(sets: np.ndarray, leads: np.ndarray) -> pa.RecordBatch:
-        both = np.concatenate((leads, sets), axis=1)
-        both = both[np.lexsort(both.T)]
-        new = np.ones(len(both), bool)
-        new[1:] = (both[1:] != both[:-1]).any(axis=1)
-        both = both[new]
-        return pa.RecordBatch.from_arrays([id_column(both[:, 2:]), id_column(both[:, :2])], ["set_id", "region"])
+        order = np.lexsort((sets, leads))
+        sets, leads = sets[order], leads[order]
+        new = np.ones(len(sets), bool)
+        new[1:] = (sets[1:] != sets[:-1]) | (leads[1:] != leads[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(sets[new], pa.int64()), pa.array(leads[new], pa.int64())], ["set_key", "region"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Cells()
         for b in batches:
             for keys, sets in zip(b.column("keys"), b.column("sets"), strict=True):
-                s, p = held.add(np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(sets.as_buffer(), np.uint64).reshape(-1, 2))
+                s, p = held.add(np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(sets.as_buffer(), np.int64))
                 if len(s):
                     yield batch(s, p)
         yield batch(*held.settle(2))
 
-    return cells.repartition(n_parts, "part").mapInArrow(run, "set_id binary, region binary")
+    return cells.repartition(n_parts, "part").mapInArrow(run, "set_key long, region long")
 
 
 def known_id() -> Column:
@@ -334,7 +331,7 @@ def known_id() -> Column:
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """set_id, hashes (binary) for wanted (set_id, doc, txt)."""
+    """set_key, set_id, hashes (binary) for wanted (set_key, set_id, doc, txt)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -348,9 +345,10 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                     if len(own) and set_id(own) == asked[i + k]:
                         ids.append(asked[i + k])
                         found.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(found, pa.binary())], ["set_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(short_id, ids), pa.int64()), pa.array(ids, pa.binary()), pa.array(found, pa.binary())], ["set_key", "set_id", "hashes"])
 
-    return docs.withColumn("doc", known_id()).join(wanted.hint("shuffle_hash"), ["doc", "txt"]).select("set_id", "text").mapInArrow(run, "set_id binary, hashes binary").dropDuplicates(["set_id"])
+    asked = docs.withColumn("doc", known_id()).join(wanted.hint("shuffle_hash"), ["doc", "txt"]).select("set_id", "text")
+    return asked.mapInArrow(run, "set_key long, set_id binary, hashes binary").dropDuplicates(["set_id"])
 
 
 # --- regions ------------------------------------------------------------------------------------
@@ -383,8 +381,8 @@ def distance_of(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def link_leaf(sets: list[np.ndarray], rule: Rule, mask: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links by which the leaf's connected sets are connected. mask: two entries with a bit in
-    common need no comparison; the even ones of the levels' bits, and `COVERED`, say that links made
-    before connect them."""
+    common need no comparison; the even ones of the levels' bits say that links made before connect
+    them."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     start = np.concatenate(([0], np.cumsum(size)))
@@ -393,7 +391,7 @@ def link_leaf(sets: list[np.ndarray], rule: Rule, mask: np.ndarray | None = None
     links = Links(n)
     if mask is None:
         mask = np.zeros(n, np.int64)
-    for bit in (*range(0, 2 * ROUNDS, 2), COVERED.bit_length() - 1):
+    for bit in range(0, 2 * ROUNDS, 2):
         ball = np.flatnonzero(mask >> bit & 1).tolist()
         for k in ball[1:]:
             links.join(ball[0], k, known=True)
@@ -452,13 +450,13 @@ def merged(members: DataFrame) -> DataFrame:
     """members with each region merged into the first one that holds its leader; the first set of a
     region then leads it. Any renaming of regions keeps pairs together, so a few steps do."""
     for _ in range(MERGES):
-        first = members.groupBy("set_id").agg(F.min("region").alias("to")).select(F.col("set_id").alias("region"), "to")
-        members = members.join(first, "region").select("set_id", F.col("to").alias("region")).distinct()
+        first = members.groupBy("set_key").agg(F.min("region").alias("to")).select(F.col("set_key").alias("region"), "to")
+        members = members.join(first, "region").select("set_key", F.col("to").alias("region")).distinct()
     return members
 
 
 ENTRY = ("region", "set_id", "mask", "hashes")
-STEP = "parent binary, parent_n long, region binary, set_id binary, mask long, hashes binary, u binary, v binary"
+STEP = "parent binary, parent_n long, region binary, set_id binary, mask long, size long, u binary, v binary"
 STEP_TYPES = [pa.int64() if x.endswith("long") else pa.binary() for x in STEP.split(", ")]
 
 
@@ -479,8 +477,8 @@ def divide(rule: Rule, level: int):  # noqa: ANN201
         parent, n = (entries["region"][0].as_py(), entries["n"][0].as_py()) if ids else (b"", 0)
         pivots = sorted(zip(drawn["pivot"].to_pylist(), drawn["pivot_hashes"].to_pylist(), strict=True)) if ids else []
         if not pivots:
-            for row in zip(ids, masks, raw, strict=True):
-                put(parent, n, parent, *row, None, None)
+            for k, mask, h in zip(ids, masks, raw, strict=True):
+                put(parent, n, parent, k, mask, len(h) // 8, None, None)
         else:
             size = np.array([len(h) // 8 for h in raw])
             flat = np.frombuffer(b"".join(raw), np.uint64)
@@ -494,7 +492,7 @@ def divide(rule: Rule, level: int):  # noqa: ANN201
             for j, (pivot, _) in enumerate(pivots):
                 child, own = hashlib.blake2b(parent + pivot, digest_size=16).digest(), nearest == j
                 for k in np.flatnonzero(own | ((j < nearest) & (distance[j] - least <= reach))).tolist():
-                    put(parent, n, child, ids[k], masks[k] | in_ball * bool(linked[j, k]) | replica * (not own[k]), raw[k], None, None)
+                    put(parent, n, child, ids[k], masks[k] | in_ball * bool(linked[j, k]) | replica * (not own[k]), len(raw[k]) // 8, None, None)
                 for k in np.flatnonzero(linked[j]).tolist():
                     if ids[k] != pivot:
                         put(None, None, None, None, None, None, ids[k], pivot)
@@ -526,8 +524,8 @@ def in_parts(entries: DataFrame, limits: Limits) -> DataFrame:
     return wide.withColumn("part", F.explode(at)).select(named(F.col("part")), "set_id", mask.alias("mask"), "hashes")
 
 
-COVER = "region binary, n long, shingles long, set_id binary, mask long, hashes binary, balls long, u binary, v binary, together long"
-COVER_TYPES = [pa.int64() if x.endswith("long") else pa.binary() for x in COVER.split(", ")]
+COVER = "region binary, set_id binary, balls long, keys array<long>, u binary, v binary, together long"
+COVER_TYPES = [pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
 
 
 def joined_bits(found: list[int]) -> list[int]:
@@ -544,9 +542,25 @@ def joined_bits(found: list[int]) -> list[int]:
     return out
 
 
+def rarest(flat: np.ndarray, size: np.ndarray, often: np.ndarray, times: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Of several sets, of which `flat` is the concatenation, the first |x| - least + 1 shingles by
+    how many times the pivots have them, then by hash, and their sets: linked sets share one, as they
+    do under any order. often, times: the pivots' shingles, sorted, and how many have each."""
+    count = np.zeros(len(flat), np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, flat), len(often) - 1)
+        count = np.where(often[at] == flat, times[at], 0)
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((flat, np.where(count > 1, count, 0), owner))
+    start = np.concatenate(([0], np.cumsum(size)))[:-1]
+    keep = np.arange(len(flat)) - np.repeat(start, size) < np.repeat(size - rule.least_partner(size) + 1, size)
+    return flat[order][keep], owner[keep]
+
+
 def cover(rule: Rule):  # noqa: ANN201
     """The work on a part of a region that pivots don't divide: links to all pivots within r, the
-    entries with the pivots they are linked to as bits, and which pivots these connect."""
+    entries with the pivots they are linked to as bits and with their rarest shingles, and which
+    pivots are connected."""
 
     def run(_: tuple, entries: pa.Table, drawn: pa.Table) -> pa.Table:
         out: dict[str, list] = {c.split()[0]: [] for c in COVER.split(", ")}
@@ -555,23 +569,27 @@ def cover(rule: Rule):  # noqa: ANN201
             for c, x in zip(out.values(), row, strict=True):
                 c.append(x)
 
-        rows = list(zip(*(entries[c].to_pylist() for c in ("region", "n", "shingles", "set_id", "mask", "hashes")), strict=True))
+        rows = list(zip(*(entries[c].to_pylist() for c in ("region", "set_id", "hashes")), strict=True))
         pivots = sorted(zip(drawn["pivot"].to_pylist(), drawn["pivot_hashes"].to_pylist(), strict=True))[:PIVOT_BITS] if rows else []
         balls = np.zeros(len(rows), np.int64)
+        size = np.array([len(h) // 8 for _, _, h in rows], np.int64)
+        flat = np.frombuffer(b"".join(h for _, _, h in rows), np.uint64)
+        often, times = np.unique(np.frombuffer(b"".join(h for _, h in pivots), np.uint64), return_counts=True)
+        keys, owner = rarest(flat, size, often, times, rule)
+        ends = np.searchsorted(owner, np.arange(len(rows) + 1)).tolist()
+        keys = keys.view(np.int64)
         if pivots:
-            size = np.array([len(r[5]) // 8 for r in rows])
-            flat = np.frombuffer(b"".join(r[5] for r in rows), np.uint64)
             start = np.concatenate(([0], np.cumsum(size)))[:-1]
             for j, (pivot, h) in enumerate(pivots):
                 linked = rule.linked(shared_with(np.frombuffer(h, np.uint64), flat, start), size, np.int64(len(h) // 8))
                 balls |= linked.astype(np.int64) << j
                 for k in np.flatnonzero(linked).tolist():
-                    if rows[k][3] != pivot:
-                        put(*[None] * 7, rows[k][3], pivot, None)
-        for row, x in zip(rows, balls.tolist(), strict=True):
-            put(*row, x, None, None, None)
+                    if rows[k][1] != pivot:
+                        put(None, None, None, None, rows[k][1], pivot, None)
+        for k, ((region, own, _), x) in enumerate(zip(rows, balls.tolist(), strict=True)):
+            put(region, own, x, keys[ends[k] : ends[k + 1]], None, None, None)
         for x in joined_bits(np.unique(balls[balls > 0]).tolist()):
-            put(rows[0][0], *[None] * 8, x)
+            put(rows[0][0], None, None, None, None, None, x)
         return pa.table({c: pa.array(x, t) for (c, x), t in zip(out.items(), COVER_TYPES, strict=True)})
 
     return run
@@ -583,31 +601,53 @@ def main_bits(_: tuple, found: pa.Table) -> pa.Table:
     return pa.table({"region": found["region"].slice(0, 1), "main": pa.array([best], pa.int64())})
 
 
-def undivided(entries: DataFrame, rule: Rule, limits: Limits, level: int) -> tuple[DataFrame, DataFrame]:
-    """Leaves and links of regions that pivots don't divide. Most of such a region is one family:
-    links to a few dozen pivots connect it. Sets so connected need no comparison with each other;
-    the rest, in blocks, meets itself and all of them. entries: also n and shingles."""
+def undivided(entries: DataFrame, rule: Rule, limits: Limits, level: int) -> tuple[DataFrame, DataFrame, set[str]]:
+    """Regions that pivots don't divide: smaller ones in their place by fate, links, and the fates
+    there are. Links to some dozens of pivots connect most of a family; sets so connected get a bit.
+    Then sets that share one of their rarest shingles form cells, and cells regions, as documents did
+    at first; cells of connected sets alone go. entries: also n and shingles."""
     made = materialise(with_pivots(entries, cover(rule), limits, PIVOT_BITS * 2 // 3, ROUNDS + level, COVER), "cover")
     main = made.where("together is not null").select("region", "together").distinct().groupBy("region").applyInArrow(main_bits, "region binary, main long")
     covered = (F.col("balls").bitwiseAND(F.coalesce("main", F.lit(0).cast("long"))) != 0).alias("covered")
-    known = made.where("set_id is not null").join(bounded(materialise(main, "main")), "region", "left").select("region", "n", "shingles", "set_id", "mask", "hashes", covered)
+    key = F.xxhash64("region", "set_id").alias("set_key")
+    known = made.where("set_id is not null").join(bounded(materialise(main, "main")), "region", "left").select("region", "set_id", key, covered, "keys")
+    cells = known.select("region", "set_key", "covered", F.explode("keys").alias("cell"))
+    led = cells.groupBy("region", "cell").agg(F.min("set_key").alias("lead"), F.count("*").alias("n"), F.bool_and("covered").alias("all")).where("n > 1 and not all")
+    members = materialise(cells.join(led.select("region", "cell", "lead"), ["region", "cell"]).select("set_key", F.col("lead").alias("region")).distinct(), "members")
+    members = members if members.isEmpty() else merged(members)
+    mask = F.when(F.col("covered"), F.col("mask").bitwiseOR(F.lit(1 << 2 * level))).otherwise(F.col("mask")).alias("mask")
+    wide = entries.select(*ENTRY, F.col("n").alias("parent_n")).join(known.select("region", "set_id", "set_key", "covered"), ["region", "set_id"])
+    wide = wide.drop("region").join(members.select("set_key", F.encode(F.col("region").cast("string"), "utf-8").alias("region")), "set_key")
+    counts = members.withColumn("region", F.encode(F.col("region").cast("string"), "utf-8")).join(entries.select(key, F.col("n").alias("parent_n"), (F.length("hashes") / 8).cast("long").alias("size")), "set_key")
+    counts = counts.groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.max("parent_n").alias("parent_n"))
+    fate = F.when(fits(limits), "leaf").when((F.col("n") > limits.shrink * F.col("parent_n")) | (F.lit(level) >= ROUNDS - 1), "last").otherwise("open")
+    counts = materialise(counts.select("region", "n", "shingles", fate.alias("fate")), "counts")
+    there = {r["fate"] for r in counts.select("fate").distinct().collect()}
+    after = materialise(wide.select("region", "set_id", mask, "hashes").join(bounded(counts), "region"), "entries", by="fate")
+    return after, made.where("u is not null").select("u", "v"), there
+
+
+def in_blocks(entries: DataFrame, limits: Limits, level: int) -> DataFrame:
+    """Leaves of a region that nothing divides: sets that links connect (by the level's bit) in
+    blocks, each with every block of the others, and these in pairs of blocks."""
+    covered = F.expr(f"shiftright(mask, {2 * level}) & 1") == 1
+    known = entries.select("region", "set_id", "mask", "n", "shingles", covered.alias("covered"))
     # as many sets in a block as make half a leaf
     each = F.greatest(F.lit(1), F.least(F.lit(limits.sets // 2), F.floor(F.lit(limits.shingles / 2) * F.max("n") / F.max("shingles"))))
     blocks = lambda of: F.ceil(F.sum(F.when(of, 1).otherwise(0)) / each).cast("int")
     counts = known.groupBy("region").agg(blocks(F.col("covered")).alias("n_c"), blocks(~F.col("covered")).alias("n_u"))
     wide = known.join(bounded(materialise(counts, "blocks")), "region").where("n_u > 0")
-    own = F.when(F.col("covered"), block_of(F.col("n_c"))).otherwise(block_of(F.col("n_u")))
-    wide = wide.withColumn("own", own)
+    wide = wide.withColumn("own", F.when(F.col("covered"), block_of(F.col("n_c"))).otherwise(block_of(F.col("n_u"))))
     numbers = lambda n: F.sequence(F.lit(0), n - 1)
     first = wide.where("not covered").withColumn("other", F.explode(numbers(F.col("n_u"))))
     side = F.when(F.col("own") < F.col("other"), F.lit(DEALT)).when(F.col("own") > F.col("other"), F.lit(OTHER)).otherwise(F.lit(0).cast("long"))
     pair = F.concat_ws("-", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
-    rest = first.select(named(pair), "set_id", F.col("mask").bitwiseOR(side).alias("mask"), "hashes")
+    rest = first.select("region", named(pair).alias("to"), "set_id", F.col("mask").bitwiseOR(side).alias("mask"))
     across = wide.where("n_c > 0").withColumn("other", F.explode(numbers(F.when(F.col("covered"), F.col("n_u")).otherwise(F.col("n_c")))))
     pair = F.concat_ws("+", *(F.when(F.col("covered"), x).otherwise(y).cast("string") for x, y in ((F.col("other"), F.col("own")), (F.col("own"), F.col("other")))))
-    side = F.when(F.col("covered"), F.lit(COVERED)).otherwise(F.lit(DEALT))
-    rest = rest.unionByName(across.select(named(pair), "set_id", F.col("mask").bitwiseOR(side).alias("mask"), "hashes"))
-    return rest, made.where("u is not null").select("u", "v")
+    side = F.when(F.col("covered"), F.lit(0).cast("long")).otherwise(F.lit(DEALT))
+    rest = rest.unionByName(across.select("region", named(pair).alias("to"), "set_id", F.col("mask").bitwiseOR(side).alias("mask")))
+    return rest.join(entries.select("region", "set_id", "hashes"), ["region", "set_id"]).select(F.col("to").alias("region"), "set_id", "mask", "hashes")
 
 
 def with_pivots(entries: DataFrame, work, limits: Limits, pivots: int, seed: int, schema: str) -> DataFrame:  # noqa: ANN001
@@ -636,7 +676,7 @@ def fates(children: DataFrame, level: int, limits: Limits) -> DataFrame:
     counted = children.groupBy("parent", "region").agg(
         F.max("parent_n").alias("parent_n"),
         F.count("*").alias("n"),
-        F.sum(F.length("hashes") / 8).cast("long").alias("shingles"),
+        F.sum("size").alias("shingles"),
         F.bit_and("mask").alias("all"),
         *(F.sum(F.expr(f"shiftright(mask, {b}) & 1")).alias(f"b{b}") for b in bits),
     )
@@ -647,10 +687,9 @@ def fates(children: DataFrame, level: int, limits: Limits) -> DataFrame:
     siblings = Window.partitionBy("parent")
     copies = F.sum(F.when(F.col("kind") != "over", F.col("n"))).over(siblings)
     largest = F.max(F.when(F.col("kind") == "open", F.col("n"))).over(siblings)
-    redrawn = (F.col("region") == F.col("parent")) & (F.lit(level) < ROUNDS - 1)
-    stuck = ~redrawn & (F.coalesce(copies > limits.copies * F.col("parent_n"), F.lit(False)) | F.coalesce(largest > limits.shrink * F.col("parent_n"), F.lit(False)))
-    last = F.when((F.col("kind") == "open") & (F.lit(level) == ROUNDS - 1), "last").otherwise(F.col("kind"))
-    return counted.withColumn("kind", kind).withColumn("fate", F.when(stuck, "stuck").otherwise(last)).select("parent", "region", "n", "shingles", "bit", "together", "fate")
+    redrawn = (F.col("region") == F.col("parent")) & (F.lit(level) < ROUNDS - 1)  # it had no pivot
+    stuck = ~redrawn & (F.coalesce(copies > limits.copies * F.col("parent_n"), F.lit(False)) | F.coalesce(largest > (limits.shrink if level < ROUNDS - 1 else 0) * F.col("parent_n"), F.lit(False)))
+    return counted.withColumn("kind", kind).withColumn("fate", F.when(stuck, "stuck").otherwise(F.col("kind"))).select("parent", "region", "n", "shingles", "bit", "together", "fate")
 
 
 def fits(limits: Limits) -> Column:
@@ -665,36 +704,40 @@ def divided(entries: DataFrame, rule: Rule, limits: Limits) -> tuple[list[DataFr
         links.append(made.where("u is not null").select("u", "v"))
         children = made.where("u is null")
         known = materialise(fates(children, level, limits), "fates")
-        count = {r["fate"]: r["count"] for r in known.groupBy("fate").count().collect()}
-        if "stuck" in count:
-            parents = known.where("fate = 'stuck'").select(F.col("parent").alias("region")).distinct()
-            found, made_links = undivided(entries.join(bounded(parents), "region", "left_semi"), rule, limits, level)
-            leaves.append(found)
+        there, open_ = {r["fate"] for r in known.select("fate").distinct().collect()}, []
+        if "stuck" in there:
+            again = known.where("fate = 'stuck'").select(F.col("parent").alias("region")).distinct()
+            after, made_links, fates_ = undivided(entries.join(bounded(again), "region", "left_semi"), rule, limits, level)
             links.append(made_links)
-        alive = known.where("fate not in ('over', 'stuck')").drop("parent")
-        if not set(count) - {"over", "stuck"}:
-            break
+            leaves.append(after.where("fate = 'leaf'").select(*ENTRY))
+            if "last" in fates_:
+                leaves.append(in_blocks(after.where("fate = 'last'"), limits, level))
+            if "open" in fates_:
+                open_.append(after.where("fate = 'open'").select(*ENTRY, "n", "shingles"))
         # by fate on disk, so that a later step reads its own alone
-        after = materialise(children.select(*ENTRY).join(bounded(alive), "region"), "entries", by="fate")
-        leaves.append(after.where("fate = 'leaf'").select(*ENTRY))
-        if "parts" in count:
-            leaves.append(in_parts(after.where("fate = 'parts'"), limits))
-        if "last" in count:
-            found, made_links = undivided(after.where("fate = 'last'"), rule, limits, ROUNDS)
-            leaves.append(found)
-            links.append(made_links)
-        if "open" not in count:
+        alive = known.where("fate in ('leaf', 'parts', 'open')").drop("parent")
+        if there & {"leaf", "parts", "open"}:
+            stay = children.select("parent", "region", "set_id", "mask").join(bounded(alive), "region")
+            held = entries.select(F.col("region").alias("parent"), "set_id", "hashes")
+            after = materialise(stay.join(held, ["parent", "set_id"]).select(*ENTRY, "n", "shingles", "bit", "together", "fate"), "entries", by="fate")
+            leaves.append(after.where("fate = 'leaf'").select(*ENTRY))
+            if "parts" in there:
+                leaves.append(in_parts(after.where("fate = 'parts'"), limits))
+            if "open" in there:
+                open_.append(after.where("fate = 'open'").select(*ENTRY, "n", "shingles"))
+        if not open_:
             break
-        entries = after.where("fate = 'open'")
+        entries = reduce(DataFrame.unionByName, open_)
     return leaves, links
 
 
 def region_links(members: DataFrame, sets: DataFrame, rule: Rule, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
-    """u, v: links between sets that connect all connected sets. members: set_id, region; sets:
-    set_id, hashes."""
-    size = sets.select("set_id", (F.length("hashes") / 8).cast("long").alias("size"))
-    sized = materialise(members.join(size, "set_id").groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")), "regions")
-    with_sets = members.withColumn("mask", F.lit(0).cast("long")).join(sets, "set_id")
+    """u, v: links between sets that connect all connected sets. members: set_key, region; sets:
+    set_key, set_id, hashes."""
+    size = sets.select("set_key", (F.length("hashes") / 8).cast("long").alias("size"))
+    members = members.withColumn("region", F.encode(F.col("region").cast("string"), "utf-8"))
+    sized = materialise(members.join(size, "set_key").groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")), "regions")
+    with_sets = members.withColumn("mask", F.lit(0).cast("long")).join(sets, "set_key")
     large, leaves, links = sized.where(~fits(limits)), [], []
     if large.isEmpty():
         leaves = [with_sets.select(*ENTRY)]
@@ -730,9 +773,9 @@ def rows_and_firsts(docs: DataFrame, rule: Rule, id_col: str, text_col: str, lim
     shingles = known.agg(F.sum("n_shingles")).first()[0] or 0
     n_parts = parts_for(docs.sparkSession, 8 * shingles)
     members = materialise(merged(materialise(region_members(packed_cells(read, rule, n_parts), n_parts), "cells").distinct()), "members")
-    points = known.where("set_id is not null").groupBy("set_id").agg(F.min(row_key()).alias("first"))
-    one = points.select("set_id", "first.doc_id", "first.txt")
-    wanted = one.select("set_id", known_id().alias("doc"), "txt").join(members.select("set_id").distinct(), "set_id")
+    points = known.where("set_id is not null").groupBy("set_id", "set_key").agg(F.min(row_key()).alias("first"))
+    one = points.select("set_id", "set_key", "first.doc_id", "first.txt")
+    wanted = one.select("set_key", "set_id", known_id().alias("doc"), "txt").join(members.select("set_key").distinct(), "set_key", "left_semi")
     sets = materialise(fetch_sets(read, wanted, rule), "shingles")
     links = region_links(members, sets, rule, limits)
     roots = components(links).withColumnsRenamed({"node": "set_id"})
