@@ -31,7 +31,7 @@ WIDE_WORDS = 64
 STRATEGIES = ("auto", "bitmap", "sparse", "matmul")
 
 
-def _block(loc: Column, n_blocks: int) -> Column:
+def block_key(loc: Column, n_blocks: int) -> Column:
     return F.pmod(F.xxhash64(loc), F.lit(n_blocks)).cast("int")
 
 
@@ -39,7 +39,7 @@ def _n_blocks(nodes: DataFrame) -> int:
     return max(1, -(-nodes.count() // BLOCK))
 
 
-def _blocks(nodes_a: DataFrame, nodes_b: DataFrame) -> tuple[int, int]:
+def blocks_of(nodes_a: DataFrame, nodes_b: DataFrame) -> tuple[int, int]:
     n = _n_blocks(nodes_a)
     return n, n if nodes_b is nodes_a else _n_blocks(nodes_b)
 
@@ -70,14 +70,14 @@ def _common(steps: int) -> Column:
 
 def _grid(left: DataFrame, right: DataFrame, blocks_a: int, blocks_b: int) -> DataFrame:
     """Every row of left with every row of right, dealt out by pairs of blocks."""
-    one = left.withColumnRenamed("loc", "a").withColumn("i", _block(F.col("a"), blocks_a)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))))
-    two = right.withColumnRenamed("loc", "b").withColumn("j", _block(F.col("b"), blocks_b)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))))
+    one = left.withColumnRenamed("loc", "a").withColumn("i", block_key(F.col("a"), blocks_a)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))))
+    two = right.withColumnRenamed("loc", "b").withColumn("j", block_key(F.col("b"), blocks_b)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))))
     return one.join(two.hint("shuffle_hash") if blocks_b > 1 else two, ["i", "j"])
 
 
 def all_pairs(nodes_a: DataFrame, nodes_b: DataFrame) -> DataFrame:
     """a, b for every pair of places, a place with itself included."""
-    return _grid(nodes_a.select("loc"), nodes_b.select("loc"), *_blocks(nodes_a, nodes_b)).select("a", "b")
+    return _grid(nodes_a.select("loc"), nodes_b.select("loc"), *blocks_of(nodes_a, nodes_b)).select("a", "b")
 
 
 def pair_counts(window_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int, strategy: str = "auto") -> DataFrame:
@@ -85,7 +85,7 @@ def pair_counts(window_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, no
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {STRATEGIES}")
     window_a, events_b = window_a.select("loc", "t_idx"), events_b.select("loc", "t_idx")
-    blocks = _blocks(nodes_a, nodes_b)
+    blocks = blocks_of(nodes_a, nodes_b)
     if strategy == "auto":
         strategy = "bitmap" if max(blocks) == 1 and steps <= BITS * WIDE_WORDS else "matmul"
     if strategy == "sparse":
@@ -103,12 +103,12 @@ def _by_matrices(window_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, n
         found = cells.groupBy("loc").agg(F.collect_list("t_idx").alias("at"))
         return nodes.select("loc").join(found, "loc", "left")
 
-    one = series(window_a, nodes_a).select(F.col("loc").alias("a"), "at", _block(F.col("loc"), blocks_a).alias("ai"), F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))).alias("aj"))
-    two = series(events_b, nodes_b).select(F.col("loc").alias("b"), "at", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))).alias("bi"), _block(F.col("loc"), blocks_b).alias("bj"))
+    one = series(window_a, nodes_a).select(F.col("loc").alias("a"), "at", block_key(F.col("loc"), blocks_a).alias("ai"), F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))).alias("aj"))
+    two = series(events_b, nodes_b).select(F.col("loc").alias("b"), "at", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))).alias("bi"), block_key(F.col("loc"), blocks_b).alias("bj"))
 
     def matrix(rows: pa.Table) -> np.ndarray:
         at = rows.column("at").combine_chunks()
-        out = np.zeros((len(rows), steps), np.float32)
+        out = np.zeros((len(rows), steps), np.float32 if steps < 1 << 24 else np.float64)  # counts stay whole
         length = np.asarray(at.value_lengths().fill_null(0))
         out[np.repeat(np.arange(len(rows)), length), np.asarray(at.flatten())] = 1
         return out

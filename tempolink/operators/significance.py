@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.stats import binomial_cdf
 from .windows import Coincidence
 
+#: Rows up to which a table is broadcast.
+SMALL = 1 << 20
+
 
 def _rate(n: Column, rule: Coincidence, steps: int) -> Column:
     """Chance that at least one of n events falls into the tolerance around a step."""
@@ -17,15 +20,41 @@ def _rate(n: Column, rule: Coincidence, steps: int) -> Column:
     return F.lit(1.0) - F.pow(F.lit(1.0 - share), n)
 
 
+def _tally(counts: DataFrame) -> dict[int, int]:
+    """Places by their event count: no more entries than a series has steps."""
+    return {int(r["event_count"]): r["count"] for r in counts.groupBy("event_count").count().collect()}
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SMALL else df
+
+
 def _confidence(counts: DataFrame, n_a: DataFrame, n_b: DataFrame, rule: Coincidence, steps: int, least_events: int, kind: str) -> DataFrame:
-    """The distribution function is evaluated once for each distinct (k, na, nb)."""
-    with_n = counts.join(n_a.select(F.col("loc").alias("a"), F.col("event_count").alias("na")), "a").join(n_b.select(F.col("loc").alias("b"), F.col("event_count").alias("nb")), "b")
+    """The distribution function is evaluated for each pair of event counts that places have, up to
+    as many coincidences as there are trials, and that table meets the pairs by broadcast: they are
+    made once and don't move. Beyond SMALL rows it is evaluated for each distinct (k, na, nb)."""
+    tally_a = _tally(n_a)
+    tally_b = tally_a if n_b is n_a else _tally(n_b)
+    one = _sized(n_a.select(F.col("loc").alias("a"), F.col("event_count").cast("long").alias("na")), sum(tally_a.values()))
+    two = _sized(n_b.select(F.col("loc").alias("b"), F.col("event_count").cast("long").alias("nb")), sum(tally_b.values()))
+    with_n = counts.join(one, "a").join(two, "b")
     trials, other = ("nb", "na") if kind == "precursor" else ("na", "nb")
-    value = binomial_cdf(F.col("k"), F.col(trials), _rate(F.col(other), rule, steps))
-    if least_events > 0:
-        value = F.when((F.col("na") >= least_events) & (F.col("nb") >= least_events), value).otherwise(0.0)
-    known = with_n.select("k", "na", "nb").distinct().withColumn("confidence", value.cast("float"))
-    return with_n.join(known, ["k", "na", "nb"]).select("a", "b", "k", "confidence")
+
+    def value(k: str) -> Column:
+        sure = binomial_cdf(F.col(k), F.col(trials), _rate(F.col(other), rule, steps))
+        if least_events > 0:
+            sure = F.when((F.col("na") >= least_events) & (F.col("nb") >= least_events), sure).otherwise(0.0)
+        return sure.cast("float")
+
+    tried, others = (tally_b, tally_a) if kind == "precursor" else (tally_a, tally_b)
+    if len(others) * sum(n + 2 for n in tried) > SMALL:
+        known = with_n.select("k", "na", "nb").distinct().withColumn("confidence", value("k"))
+        return with_n.join(known, ["k", "na", "nb"]).select("a", "b", "k", "confidence")
+    table = counts.sparkSession.createDataFrame([(n,) for n in sorted(tally_a)], "na long").withColumn("nb", F.explode(F.array(*map(F.lit, sorted(tally_b))).cast("array<long>")))
+    # -1 stands for all below 0, and the trials for all from there on
+    table = table.withColumn("at", F.explode(F.sequence(F.lit(-1).cast("long"), F.col(trials)))).withColumn("confidence", value("at"))
+    clipped = with_n.withColumn("at", F.greatest(F.lit(-1).cast("long"), F.least(F.col("k").cast("long"), F.col(trials))))
+    return clipped.join(F.broadcast(table), ["na", "nb", "at"]).select("a", "b", "k", "confidence")
 
 
 def precursor_confidence(counts: DataFrame, n_a: DataFrame, n_b: DataFrame, rule: Coincidence, steps: int, least_events: int = 2) -> DataFrame:
