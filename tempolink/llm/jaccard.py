@@ -62,6 +62,8 @@ HELD = 1 << 22
 ROUNDS = 24
 #: Bits of what is dealt out last: the sides of two blocks.
 DEALT, OTHER = 1 << 60, 1 << 61
+#: Tasks over which the entries of a cell of rarest shingles are dealt.
+SALTS = 16
 #: Pivots, as bits, of a region that pivots don't divide.
 PIVOT_BITS = 48
 
@@ -613,7 +615,9 @@ def undivided(entries: DataFrame, rule: Rule, limits: Limits, level: int) -> tup
     known = made.where("set_id is not null").join(bounded(materialise(main, "main")), "region", "left").select("region", "set_id", key, covered, "keys")
     cells = known.select("region", "set_key", "covered", F.explode("keys").alias("cell"))
     led = cells.groupBy("region", "cell").agg(F.min("set_key").alias("lead"), F.count("*").alias("n"), F.bool_and("covered").alias("all")).where("n > 1 and not all")
-    members = materialise(cells.join(led.select("region", "cell", "lead"), ["region", "cell"]).select("set_key", F.col("lead").alias("region")).distinct(), "members")
+    salt = F.pmod(F.col("set_key"), F.lit(SALTS)).cast("int").alias("salt")
+    leads = led.select("region", "cell", "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    members = materialise(cells.select("region", "cell", "set_key", salt).join(leads, ["region", "cell", "salt"]).select("set_key", F.col("lead").alias("region")).distinct(), "members")
     members = members if members.isEmpty() else merged(members)
     mask = F.when(F.col("covered"), F.col("mask").bitwiseOR(F.lit(1 << 2 * level))).otherwise(F.col("mask")).alias("mask")
     wide = entries.select(*ENTRY, F.col("n").alias("parent_n")).join(known.select("region", "set_id", "set_key", "covered"), ["region", "set_id"])
