@@ -90,3 +90,9 @@ def event_counts(events: DataFrame, nodes: DataFrame) -> DataFrame:
     """loc, event_count for every place, zeros included."""
     counted = events.groupBy("loc").agg(F.count("*").alias("event_count"))
     return nodes.select("loc").join(counted, "loc", "left").select("loc", F.coalesce("event_count", F.lit(0)).cast("long").alias("event_count"))
+
+
+def most_events(counts: DataFrame) -> DataFrame:
+    """One row, event_count: the largest of any place; null without places. counts: as event_counts
+    gives them."""
+    return counts.agg(F.max("event_count").alias("event_count"))

@@ -157,6 +157,11 @@ def event_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.event_counts(extremes(spark, sf_dir), users(spark, sf_dir))
 
 
+@query(f"WITH {BASE} SELECT max(n) AS event_count FROM (SELECT nodes.loc, count(ev.loc) AS n FROM nodes LEFT JOIN ev USING (loc) GROUP BY nodes.loc)")
+def event_count_most(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.most_events(events.event_counts(extremes(spark, sf_dir), users(spark, sf_dir)))
+
+
 # --- windows ------------------------------------------------------------------------------------
 
 WINDOW_CASES = {"sym": windows.Coincidence(2, True, 0), "asym": windows.Coincidence(3, False, 0), "lag": windows.Coincidence(2, True, 3), "asym_lag": windows.Coincidence(2, False, 4)}
@@ -335,7 +340,7 @@ def burst_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def most_bursts(spark: SparkSession, sf_dir: str) -> int:
     """Of any user: as far as a table of critical values has to reach."""
-    return burst_counts(spark, sf_dir).agg(F.max("event_count")).first()[0] or 0
+    return events.most_events(burst_counts(spark, sf_dir)).first()[0] or 0
 
 
 def closed_form_crit(spark: SparkSession, sf_dir: str) -> DataFrame:
