@@ -32,3 +32,22 @@ def is_uniform(axis, time: str = "time"):  # noqa: ANN001, ANN201
 
     gap = (F.lead(time).over(Window.orderBy(time)) - F.col(time)).alias("gap")
     return axis.select(gap).where("gap is not null").agg((F.countDistinct("gap") <= 1).alias("uniform"))
+
+
+def frequency(axis, time: str = "time"):  # noqa: ANN001, ANN201
+    """One row, freq: the step of FREQUENCIES by which the distinct times of an axis follow one
+    another, months by their first or by their last days; null where none fits and for fewer than
+    three times. Only aggregates, so that no task sorts the axis."""
+    us, day = F.timestamp_diff("MICROSECOND", F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz"), F.col("t")), 86_400_000_000
+    month = F.year("t") * 12 + F.month("t")
+    times = axis.select(F.col(time).cast("timestamp_ntz").alias("t")).where("t is not null").distinct()
+
+    def every(unit: int) -> Column:
+        return (F.min(us % unit) == F.max(us % unit)) & (F.max(us) - F.min(us) == (F.count("*") - 1) * unit)
+
+    ends = (F.max(F.dayofmonth("t")) == 1) | F.bool_and(F.to_date("t") == F.last_day("t"))
+    months = ends & (F.min(us % day) == F.max(us % day)) & (F.max(month) - F.min(month) == F.count("*") - 1)
+    fits = F.when(F.count("*") < 3, F.lit(None).cast("string"))
+    for freq, fit in zip(FREQUENCIES, (every(day // 24), every(day), every(7 * day), months), strict=True):
+        fits = fits.when(fit, freq)
+    return times.agg(fits.alias("freq"))

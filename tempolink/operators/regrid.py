@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, great_circle, to_cartesian
+from .grids import fibonacci_sphere
 
 #: The distance of a point that has no other, in km.
 NO_NEIGHBOUR = 9999.0
@@ -64,6 +66,34 @@ def neighbour_distance(grid: DataFrame) -> DataFrame:
     return nearest(grid, grid, same=True)
 
 
+def histogram_peaks(values: DataFrame, by: str, value: str, bins: int = 100) -> DataFrame:
+    """by, peak: for each group the lower edge of the fullest of equal bins from its least to its
+    largest value; of equally full ones the first. Equal values lie in the middle of a width of 1."""
+    given = values.select(F.col(by).alias("group"), F.col(value).cast("double").alias("v")).where("v is not null")
+    least, most = F.min("v"), F.max("v")
+    ends = given.groupBy("group").agg(F.when(least < most, least).otherwise(least - 0.5).alias("lo"), F.when(least < most, most).otherwise(most + 0.5).alias("hi")).withColumnRenamed("group", "of")
+    at = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+    full = given.join(ends, F.col("group").eqNullSafe(F.col("of"))).drop("of").groupBy("group", "lo", "hi", at.alias("bin")).agg(F.count("*").alias("n"))
+    edge = F.col("lo") + F.col("bin") * ((F.col("hi") - F.col("lo")) / bins)
+    return full.groupBy("group").agg(F.max_by(edge, F.struct(F.col("n"), -F.col("bin"))).alias("peak")).withColumnRenamed("group", by)
+
+
+def log_log_fit(points: DataFrame, x: str, y: str) -> DataFrame:
+    """One row, slope and intercept of the least-squares line of ln(y) over ln(x)."""
+    return points.agg(F.regr_slope(F.ln(y), F.ln(x)).alias("slope"), F.regr_intercept(F.ln(y), F.ln(x)).alias("intercept"))
+
+
+#: 20 numbers of points, evenly from 200 to 10,000.
+FIT_SIZES = tuple(200 + 9800 * k // 19 for k in range(20))
+
+
+def spacing_fit(spark: SparkSession, sizes: tuple[int, ...] = FIT_SIZES, bins: int = 100) -> DataFrame:
+    """One row, slope and intercept: ln(number of points) of old spirals over ln(the commonest distance
+    to the nearest neighbour)."""
+    each = [neighbour_distance(fibonacci_sphere(spark, n)).select(F.lit(n).alias("n"), "dist") for n in sizes]
+    return log_log_fit(histogram_peaks(reduce(DataFrame.unionByName, each), "n", "dist", bins), "peak", "n")
+
+
 def min_dists(grid: DataFrame, other: DataFrame | None = None) -> DataFrame:
     """point_id, dist to the nearest point of the other grid, or of its own; never more than 9999."""
     found = nearest(grid, grid if other is None else other, same=other is None)

@@ -68,6 +68,24 @@ def trigger_confidence(counts: DataFrame, n_a: DataFrame, n_b: DataFrame, rule:
     return _confidence(counts, n_a, n_b, rule, steps, least_events, "trigger")
 
 
+def _of_layers(layer_a: DataFrame, layer_b: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    n_a, n_b = (x.groupBy("loc").agg(F.count_if("event").alias("event_count")) for x in (layer_a, layer_b))
+    return n_a, n_b, layer_a.select("t_idx").distinct().count()
+
+
+def precursor_confidence_of_layers(counts: DataFrame, layer_a: DataFrame, layer_b: DataFrame, rule: Coincidence, least_events: int = 2) -> DataFrame:
+    """precursor_confidence with event counts and the number of steps taken from dense layers
+    (loc, t_idx, event)."""
+    n_a, n_b, steps = _of_layers(layer_a, layer_b)
+    return precursor_confidence(counts, n_a, n_b, rule, steps, least_events)
+
+
+def trigger_confidence_of_layers(counts: DataFrame, layer_a: DataFrame, layer_b: DataFrame, rule: Coincidence, least_events: int = 2) -> DataFrame:
+    """The same with a's events as trials."""
+    n_a, n_b, steps = _of_layers(layer_a, layer_b)
+    return trigger_confidence(counts, n_a, n_b, rule, steps, least_events)
+
+
 # --- Monte-Carlo critical values of event synchronisation ---------------------------------------
 
 

@@ -56,6 +56,11 @@ def trigger_window(events: DataFrame, steps: int, rule: Coincidence = Coincidenc
     return _union(events, rule.tau + rule.delta, -rule.tau, 0, steps - 1 - rule.tau, rule, "trigger")
 
 
+def both_windows(events: DataFrame, steps: int, rule: Coincidence = Coincidence()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """The precursor and the trigger window of the same events."""
+    return precursor_window(events, steps, rule), trigger_window(events, steps, rule)
+
+
 def window_kind(window: DataFrame) -> tuple[str, Coincidence]:
     """What a window was made by; ValueError for any other table."""
     about = window.schema["t_idx"].metadata

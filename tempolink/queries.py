@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo
-from .functions.calendar import time_index
+from .functions.calendar import frequency, time_index
 from .operators import axis, events, grids, links, pairs, regrid, significance, sync, voronoi, windows
 from .plans.networks import eca_joint_network, eca_network, es_network
 from .sources import blocks, synthetic
@@ -236,6 +236,28 @@ def eca_precursor_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confidences(spark, sf_dir, "precursor", RULE).withColumn("confidence", F.round(F.col("confidence").cast("double"), 5))
 
 
+@query(f"WITH {PRE} SELECT a, b, k, {ROUNDED} AS confidence FROM conf")
+def eca_precursor_confidence_of_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, nodes = confidences(spark, sf_dir, "precursor", RULE), users(spark, sf_dir)
+    layer = windows.dense_window(extremes(spark, sf_dir), nodes, STEPS)
+    sure = significance.precursor_confidence_of_layers(made.select("a", "b", "k"), layer, layer, RULE)
+    return sure.withColumn("confidence", F.round(F.col("confidence").cast("double"), 5))
+
+
+@query(f"WITH {TRI} SELECT a, b, k, {ROUNDED} AS confidence FROM conf")
+def eca_trigger_confidence_of_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, nodes = confidences(spark, sf_dir, "trigger", TRIGGER), users(spark, sf_dir)
+    layer = windows.dense_window(extremes(spark, sf_dir), nodes, STEPS)
+    sure = significance.trigger_confidence_of_layers(made.select("a", "b", "k"), layer, layer, TRIGGER)
+    return sure.withColumn("confidence", F.round(F.col("confidence").cast("double"), 5))
+
+
+@query(f"WITH {BASE}, {window_sql('precursor', RULE, name='pre')}, {window_sql('trigger', RULE, name='tri')} SELECT 'precursor' AS kind, loc, t_idx FROM pre UNION ALL SELECT 'trigger', loc, t_idx FROM tri")
+def eca_both_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pre, tri = windows.both_windows(extremes(spark, sf_dir), STEPS, RULE)
+    return pre.select(F.lit("precursor").alias("kind"), "loc", "t_idx").union(tri.select(F.lit("trigger").alias("kind"), "loc", "t_idx"))
+
+
 @query(f"WITH {TRI} SELECT a, b, k, {ROUNDED} AS confidence FROM conf")
 def eca_trigger_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confidences(spark, sf_dir, "trigger", TRIGGER).withColumn("confidence", F.round(F.col("confidence").cast("double"), 5))
@@ -323,6 +345,43 @@ def event_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.event_sync(b, b, nodes, nodes, TM)
 
 
+@query(f"WITH {SYNC} SELECT a, b, es FROM sync")
+def event_sync_of_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = sync.event_positions(bursts(spark, sf_dir), users(spark, sf_dir))
+    return sync.event_sync_of_positions(listed, listed, TM)
+
+
+@query("""WITH x AS (SELECT DISTINCT 'hour' AS axis, date_trunc('hour', ts) AS t FROM events
+    UNION SELECT DISTINCT unit, date_trunc(unit, CAST(o_orderdate AS TIMESTAMP)) FROM orders, (VALUES ('day'), ('week'), ('month'), ('year')) u(unit)),
+    g AS (SELECT axis, t, lag(t) OVER (PARTITION BY axis ORDER BY t) AS before FROM x),
+    d AS (SELECT axis, count(*) AS n, min(date_diff('second', before, t)) AS lo, max(date_diff('second', before, t)) AS hi,
+        bool_and(day(t) = 1) AND min(date_diff('month', before, t)) = 1 AND max(date_diff('month', before, t)) = 1 AS months FROM g GROUP BY axis)
+    SELECT axis, CASE WHEN n < 3 THEN NULL WHEN lo = 3600 AND hi = 3600 THEN 'h' WHEN lo = 86400 AND hi = 86400 THEN 'D'
+        WHEN lo = 604800 AND hi = 604800 THEN 'W' WHEN months THEN 'M' END AS freq FROM d""")
+def time_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "events").select(F.date_trunc("hour", F.col("ts").cast("timestamp_ntz")).alias("time"))
+    found = frequency(made).select(F.lit("hour").alias("axis"), "freq")
+    for unit in ("day", "week", "month", "year"):
+        axis_of = table(spark, sf_dir, "orders").select(F.date_trunc(unit, "o_orderdate").alias("time"))
+        found = found.union(frequency(axis_of).select(F.lit(unit).alias("axis"), "freq"))
+    return found
+
+
+@query("""WITH e AS (SELECT l_returnflag, min(CAST(l_extendedprice AS DOUBLE)) AS lo, max(CAST(l_extendedprice AS DOUBLE)) AS hi FROM lineitem GROUP BY ALL),
+    c AS (SELECT l_returnflag, lo, hi, least(CAST(floor((CAST(l_extendedprice AS DOUBLE) - lo) / (hi - lo) * 100) AS BIGINT), 99) AS bin, count(*) AS n FROM lineitem JOIN e USING (l_returnflag) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, bin) AS k FROM c)
+    SELECT l_returnflag, round(lo + bin * ((hi - lo) / 100), 4) AS peak FROM r WHERE k = 1""")
+def histogram_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regrid.histogram_peaks(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice").withColumn("peak", F.round("peak", 4))
+
+
+@query("""WITH p AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(CAST(o_totalprice AS DOUBLE)) AS total FROM orders GROUP BY o_custkey)
+    SELECT round(regr_slope(ln(total), ln(n)), 5) AS slope, round(regr_intercept(ln(total), ln(n)), 5) AS intercept FROM p""")
+def log_log_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spent = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("double")).alias("total"))
+    return regrid.log_log_fit(spent, "n", "total").select(F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"))
+
+
 @query(f"WITH {ORDERS} SELECT loc, array_to_string(list(t_idx ORDER BY t_idx), ',') AS positions, count(*) AS event_count FROM ev GROUP BY loc")
 def event_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = order_days(spark, sf_dir)

@@ -283,3 +283,33 @@ def test_critical_values_of_many_bursts(spark, tmp_path):
         got = queries.QUERIES[name](spark, sf)
         want = con.execute(queries.SQL[name]).df()
         assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.itertuples(index=False, name=None))
+
+
+def test_frequency_of_an_axis(spark):
+    from tempolink.functions.calendar import frequency
+
+    def found(times):
+        return frequency(spark.createDataFrame([(t,) for t in times], "time timestamp_ntz")).first()["freq"]
+
+    start = dt.datetime(2023, 1, 1, 6)
+    for freq, step in {"h": dt.timedelta(hours=1), "D": dt.timedelta(days=1), "W": dt.timedelta(days=7)}.items():
+        times = [start + k * step for k in range(5)]
+        assert found(times[::-1] + times[:2] + [None]) == freq
+        assert found(times[:2] + times[3:]) is None  # a gap
+        assert found(times[:2]) is None
+    assert found([dt.datetime(2023, m, 1) for m in range(1, 13)]) == "M"
+    assert found([dt.datetime(2024, 1, 31), dt.datetime(2024, 2, 29), dt.datetime(2024, 3, 31)]) == "M"
+    assert found([dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1), dt.datetime(2024, 4, 1)]) is None
+    assert found([dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1, 5), dt.datetime(2024, 3, 1)]) is None
+    assert found([]) is None
+
+
+def test_positions_with_padding(spark, noise):
+    ev, nodes = series(spark, noise)
+    listed = sync.event_positions(ev, nodes)
+    want = sorted(sync.event_sync(ev, ev, nodes, nodes, 9).collect())
+    assert sorted(sync.event_sync_of_positions(listed, listed, 9).collect()) == want
+    padded = listed.withColumn("positions", F.concat("positions", F.array(F.lit(-1), F.lit(-1))))
+    assert sorted(sync.event_sync_of_positions(padded, padded.drop("event_count"), 9).collect()) == want
+    odd = spark.createDataFrame([(0, None, 3), (1, [], None), (2, [4, 9], None), (3, [4, 9], 1), (4, [4], -1)], "loc long, positions array<int>, event_count long")
+    assert sorted(map(tuple, sync.events_of_positions(odd).collect())) == [(2, 4), (2, 9), (3, 4)]

@@ -167,3 +167,23 @@ def test_streams(spark, tmp_path):
     found = run(coincidence.stream_precursors(coincidence.stream_events(field, 5.0), coincidence.stream_events(field, 5.0), 60), "s_pairs")
     assert len(found) == 3
     assert coincidence.stream_counts(field, "1 minute").isStreaming
+
+
+def test_histogram_peaks_and_spacing_fit(spark):
+    rows = [("a", 1.0), ("a", 2.0), ("a", 2.05), ("a", 3.0), ("a", None), ("b", 5.0), ("b", 5.0), ("c", None), ("d", 0.0), ("d", 4.0)]
+    got = {r["g"]: r["peak"] for r in regrid.histogram_peaks(spark.createDataFrame(rows, "g string, v double"), "g", "v", 10).collect()}
+    want = {}
+    for g in "abd":
+        n, edges = np.histogram([v for k, v in rows if k == g and v is not None], bins=10)
+        want[g] = edges[np.argmax(n)]
+    assert got == pytest.approx(want)
+    sizes, peaks = (60, 120, 240), []
+    for size in sizes:
+        p = np.array([(r["lon"], r["lat"]) for r in grids.fibonacci_sphere(spark, size).collect()])
+        lon, lat = np.radians(p).T
+        x = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], 1)
+        far = np.linalg.norm(x[:, None] - x[None], axis=2) + 9 * np.eye(size)
+        n, edges = np.histogram(2 * np.arcsin(far.min(1) / 2), bins=5)
+        peaks.append(edges[np.argmax(n)])
+    slope, _ = np.polyfit(np.log(peaks), np.log(sizes), 1)
+    assert regrid.spacing_fit(spark, sizes, 5).first()["slope"] == pytest.approx(slope, rel=1e-6)
