@@ -18,6 +18,7 @@ from .quality import score_quality
 from .suffix_dedup import repeat_digests
 from .token_count import count_tokens
 from .toxicity import score_toxicity
+from .whitening import whiten
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(documents(spark, sf_dir))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), top=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_jaccard_join,
         op10_media_columns,
+        op11_embedding_whitening,
     )
 }
 
