@@ -15,6 +15,7 @@ from .media import media_digests
 from .packing import pack_documents
 from .pii import span_digests
 from .quality import score_quality
+from .spelling import spelling_variants
 from .suffix_dedup import repeat_digests
 from .token_count import count_tokens
 from .toxicity import score_toxicity
@@ -69,6 +70,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), top=4)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_jaccard_join,
         op10_media_columns,
         op11_embedding_whitening,
+        op12_spelling_variants,
     )
 }
 
