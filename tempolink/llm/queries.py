@@ -12,6 +12,7 @@ from .common import documents
 from .exact_dedup import dedup_exact
 from .jaccard import Rule, jaccard_components
 from .media import media_digests
+from .minhash import near_duplicates
 from .packing import pack_documents
 from .pii import span_digests
 from .quality import score_quality
@@ -74,6 +75,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(documents(spark, sf_dir))
 
 
+def op13_minhash_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), Rule(words=5, num=85, den=100))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_media_columns,
         op11_embedding_whitening,
         op12_spelling_variants,
+        op13_minhash_chosen_path,
     )
 }
 
@@ -174,4 +180,54 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(low.component_id, d.doc_id) AS component_id
         FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
     """,
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, run, count(*) AS c
+            FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+            WHERE length(run) >= 7 GROUP BY doc_id, run),
+        -- the crc32 by the table of its bytes
+        bits AS (SELECT CAST(0 AS BIGINT) AS k, b, b AS v FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)
+            UNION ALL SELECT k + 1, b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+        steps AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
+        coded AS (
+            SELECT doc_id, run, c, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+                lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END)) AS bytes
+            FROM runs),
+        hashed AS (
+            SELECT run, c, xor(list_reduce(bytes, lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM coded, steps),
+        made AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed),
+        words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+        less AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS s FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+        pairs AS (
+            SELECT a.word, b.word AS near, b.n AS m FROM less a JOIN less b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.s = b.word
+            UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.s = b.word),
+        best AS (SELECT word, count(*) AS n_near, arg_min(near, (-m, near)) AS near, max(m) AS m FROM pairs GROUP BY word),
+        forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN near END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+        way AS (SELECT word, word AS root FROM forms UNION ALL SELECT w.word, f.form FROM way w JOIN forms f ON f.word = w.root WHERE f.form IS NOT NULL),
+        last AS (SELECT w.word, w.root FROM way w JOIN forms f ON f.word = w.root WHERE f.form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM forms JOIN last USING (word)
+    """,
+    "op13_minhash_chosen_path": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS words
+            FROM documents),
+        sh AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS s
+            FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        link AS (
+            SELECT a.doc_id AS x, b.doc_id AS y
+            FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id
+            JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+            WHERE 100 * least(na.n, nb.n) >= 85 * greatest(na.n, nb.n)
+            GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+            HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+        both_ways AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+        reach AS (SELECT x AS doc_id, x AS hop FROM both_ways UNION SELECT r.doc_id, e.y FROM reach r JOIN both_ways e ON e.x = r.hop),
+        low AS (SELECT doc_id, min(hop) AS component_id FROM reach GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(low.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(low.component_id, d.doc_id) AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
+    """,
 }
