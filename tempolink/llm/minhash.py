@@ -89,7 +89,7 @@ def sketches(docs: DataFrame, rule: Rule, search: Search) -> DataFrame:
                 at = np.where(full, np.cumsum(full) - 1, 0)
                 ids = [set_id(h[a:z]) if z > a else None for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 pool = np.ascontiguousarray(least[search.trees :].T)
-                low = np.packbits(((pool[:, :, None] >> np.arange(2, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).reshape(len(pool), -1), axis=1)
+                low = np.packbits(((pool[:, :, None] >> np.arange(2, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).reshape(len(pool), 2 * POOL), axis=1)
                 words = np.ascontiguousarray(low).view(np.int64)
                 tokens = (pool >> np.uint64(48)).astype(np.uint16)
                 roots = np.ascontiguousarray(least[: search.trees].T).view(np.int64)
