@@ -49,6 +49,22 @@ def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int = 1 << 16) -> DataFrame:
+    """To be broadcast only if it has few rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns beside those of a table, none of which they take, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def parts_for(spark: SparkSession, size: int, each: int = 1 << 26) -> int:
     """Partitions for so many bytes, so that a task's share doesn't grow with the data; never fewer
     than the session's."""

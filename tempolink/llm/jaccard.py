@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, by_key, id_and_text, materialise, mix64, parts_for, row_chunks, runs_of, text_buffer, word_hashes
+from .common import GOLDEN, bounded, by_key, free_names, id_and_text, materialise, mix64, parts_for, row_chunks, runs_of, text_buffer, word_hashes
 from .components import components
 
 #: Times that regions are merged.
@@ -503,11 +503,6 @@ def divide(rule: Rule, level: int):  # noqa: ANN201
     return run
 
 
-def bounded(df: DataFrame, rows: int = 1 << 16) -> DataFrame:
-    """To be broadcast only if it has few rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def block_of(n_blocks: Column) -> Column:
     return F.pmod(F.xxhash64("set_id"), n_blocks).cast("int")
 
@@ -802,10 +797,13 @@ def keep_one(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str
     lost = ~row_key().eqNullSafe(F.col("first"))
     keys = known.join(firsts, "set_id").groupBy(F.col("doc_id").alias("__doc"), F.col("txt").alias("__hash")).agg(F.bool_or(lost).alias("lost"), F.count("*").alias("n"))
     keys = materialise(keys.where("lost or n > 1"), "drop")
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__txt": F.xxhash64(F.col(text_col).cast("string"))})
-    same = F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__txt") == F.col("__hash"))
+    own_id, own_text = free_names(docs, "__id", "__txt")
+    keyed = docs.withColumns({own_id: F.col(id_col).cast("long"), own_text: F.xxhash64(F.col(text_col).cast("string"))})
+    keys = keys.toDF(*free_names(keyed, *keys.columns))
+    doc, txt, lost, _ = (keys[c] for c in keys.columns)
+    same = keyed[own_id].eqNullSafe(doc) & (keyed[own_text] == txt)
     kept = keyed.join(keys.hint("shuffle_hash"), same, "left_anti")
-    again = keys.where("not lost")
+    again = keys.where(~lost)
     if not again.isEmpty():  # rows alike in id and text, of which one stays
-        kept = kept.unionByName(keyed.join(again.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["__id", "__txt"]))
-    return kept.drop("__id", "__txt")
+        kept = kept.unionByName(keyed.join(again.hint("shuffle_hash"), same, "left_semi").dropDuplicates([own_id, own_text]))
+    return kept.select(*docs.columns)

@@ -18,8 +18,8 @@ A byte goes if some string of `length` bytes that covers it also starts elsewher
 Hashes only name what is compared: what repeats is always decided by bytes in a suffix array (or
 by equality of whole contexts).
 
-Cases: a null text is empty; texts shorter than `length` lose nothing; rows that repeat, with
-equal ids or not, are occurrences of their own; an empty table gives no rows; columns other than
+Cases: a null text is empty; texts shorter than `length` lose nothing; rows that repeat are
+occurrences of their own, and rows equal in id and text lose all without a search; an empty table gives no rows; columns other than
 the id and the text are ignored; a very long text is taken alone by a task, whole.
 """
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, by_key, id_and_text, materialise, parts_for, prefix_hash, row_chunks, runs_of, span_hash, text_buffer
+from .common import CHUNK_BYTES, bounded, by_key, id_and_text, materialise, parts_for, prefix_hash, row_chunks, runs_of, span_hash, text_buffer
 
 LENGTH = 200
 GRAM = 40
@@ -443,11 +443,21 @@ def group_results(texts: DataFrame, n_parts: int, limits: Limits) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows by id and a hash of the text; equal rows share it, which is no harm: each is an
-    occurrence, and both lose what either loses."""
+    """Rows by id and a hash of the text, which equal rows share."""
     return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("txt"), "doc_id", "text")
 
 
+def _equal_rows(read: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Rows that no other row equals in id and text; these and one row of each set of equal ones, as
+    others' strings may occur there; and all equal ones, or None, which need no search themselves."""
+    again = materialise(read.groupBy("doc", "txt").agg(F.count("*").alias("n")).where("n > 1").select("doc", "txt"), "equal-rows")
+    if again.isEmpty():
+        return read, read, None
+    equal, every = (read.join(bounded(again), ["doc", "txt"], how) for how in ("left_semi", "left_anti"))
+    one = equal.groupBy("doc", "txt").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    return every, every.unionByName(one), equal
+
+
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -456,7 +466,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     read = _keyed(id_and_text(docs, id_col, text_col))
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = parts_for(docs.sparkSession, size, PART_BYTES)
-    places, settled, source = context_places(read, n_parts), [], read.withColumn("base", F.lit(0).cast("long"))
+    every, single, equal = _equal_rows(read)
+    places, settled, source = context_places(single, n_parts), [], single.withColumn("base", F.lit(0).cast("long"))
     while True:
         results = materialise(group_results(context_texts(source, repeated(places, n_parts, limits)), n_parts, limits), "ranges")
         settled.append(results.where("end is not null").select("doc", "txt", "begin", "end"))
@@ -494,7 +505,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(own[~out].tobytes())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return read.join(lists.hint("shuffle_hash"), ["doc", "txt"], "left").select("doc_id", "text", "ranges").mapInArrow(run, RESULT_SCHEMA)
+    out = every.join(lists.hint("shuffle_hash"), ["doc", "txt"], "left").select("doc_id", "text", "ranges").mapInArrow(run, RESULT_SCHEMA)
+    if equal is None:
+        return out
+    # each byte of such a row is covered by a string of another row, or it has no string at all
+    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    goes = n >= LENGTH
+    gone = equal.select("doc_id", n.alias("n_bytes"), F.when(goes, n).otherwise(0).alias("n_removed"), F.when(goes, 1).otherwise(0).cast("long").alias("n_spans"), F.when(goes, F.lit(b"")).otherwise(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("kept"))
+    return out.unionByName(gone)
 
 
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:  # noqa: B008
