@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, mix64
+from .common import free_names, id_and_text, materialise, mix64
 
 #: Digests in a shard of the index, about.
 SHARD_KEYS = 1 << 13
@@ -189,10 +189,11 @@ def digest_of(text: str | None) -> bytes:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     every = materialise(dedup_exact(docs, id_col, text_col), "duplicates")
-    stay = every.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    own_id, own_digest, sha = free_names(docs, "__id", "__digest", "__sha")
+    stay = every.where("kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_digest))
     digest = F.sha2(normalised(F.col(text_col)), 256)
-    out = docs.join(stay.hint("shuffle_hash"), docs[id_col].eqNullSafe(stay["__id"]) & (digest == stay["__sha"]), "left_semi")
+    out = docs.join(stay.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (digest == F.col(own_digest)), "left_semi")
     repeats = every.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "text_sha256").count().where("count > 1")
     if repeats.isEmpty():
         return out
-    return out.withColumn("__sha", digest).dropDuplicates([id_col, "__sha"]).drop("__sha")  # whole rows that repeat
+    return out.withColumn(sha, digest).dropDuplicates([id_col, sha]).select(*docs.columns)  # whole rows that repeat

@@ -12,8 +12,11 @@ from .common import materialise
 
 #: Labelled documents to learn from, at most: those whose ids hash lowest.
 SAMPLE_ROWS = 6000
-#: Characters of text to learn from, at most: documents are taken whole, in the order of that hash.
+#: Characters of text to learn from, at most: documents are taken whole, in the order of that hash;
+#: one that doesn't fit any more is passed over for shorter ones.
 SAMPLE_CHARS = 1 << 27
+#: Lines of a text to learn from, at most: a longer text is passed over.
+TEXT_LINES = 2000
 FOLDS = 5
 
 
@@ -28,7 +31,7 @@ def is_held_out(doc_id: int | None) -> bool:
 
 def training_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
     """(text, label) of at most `rows` labelled documents outside the held-out fold, and of at most
-    `SAMPLE_CHARS` characters in all, whichever bound is met first. The bounded list of labels is
+    `SAMPLE_CHARS` characters in all; texts of more than `TEXT_LINES` lines stand aside. The bounded list of labels is
     broadcast, and only texts of the sample move. An id with several labels has the smallest, one
     with several texts the smallest of them, so that repeated rows count once."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out(F.col("doc_id")))
@@ -38,10 +41,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int =
     found = read.join(F.broadcast(some), read["doc_id"] == some["__id"])
     sample = materialise(found.groupBy("__id", "__hash", "__label").agg(F.min("text").alias("text")), "sample")
     # sizes first, at most `rows` short lines, so that the driver never sees more than the bound
-    sizes = sorted(sample.select("__hash", "__id", F.length("text")).collect())
-    whole = np.cumsum([n for _, _, n in sizes]) <= max_chars
-    if not whole.all():
-        sample = sample.where(F.col("__id").isin([i for (_, i, _), ok in zip(sizes, whole.tolist(), strict=True) if ok]))
+    lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
+    taken, total = [], 0
+    for _, i, n in sorted(sample.where(lines <= TEXT_LINES).select("__hash", "__id", F.length("text")).collect()):
+        if total + n <= max_chars:
+            taken.append(i)
+            total += n
+    sample = sample.where(F.col("__id").isin(taken))
     return [(r["text"], r["__label"]) for r in sorted(sample.collect(), key=lambda r: r["__id"])]
 
 

@@ -34,7 +34,7 @@ from .token_count import SPLIT, byte_symbols, plain_bpe
 
 #: Runs of white space beyond which a text is read by the tokenizers library alone: the faster one
 #: goes back over such a run step by step, and gives up on one of about a million.
-LONG_SPACE = re.compile(r"\s{4096}")
+LONG_SPACE = re.compile(r"\s{64}")
 
 
 @dataclass(frozen=True)
