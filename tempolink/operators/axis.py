@@ -6,20 +6,39 @@ t_idx, the position on the axis, and never on the calendar.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows that differ in `order`, with their place in it (from 0) as one more column.
+
+    Ranges of the order are sorted, each in a task of its own, and written; a row's place is its place
+    in its range after the rows of the ranges before, of which only the counts meet the driver."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = materialise(ranged.select("*", F.spark_partition_id().alias("__range"), within.alias("__within")), "ranges")
+    counts = sorted(placed.groupBy("__range").count().collect())
+    starts, total = [], 0
+    for r, n in counts:
+        starts.append((r, total))
+        total += n
+    first = F.broadcast(rows.sparkSession.createDataFrame(starts, "__range int, __first long"))  # a row a range
+    return placed.join(first, "__range").select(*rows.columns, (F.col("__first") + F.col("__within")).alias(name))
+
 
 def time_axis(field: DataFrame, time: str = "time") -> DataFrame:
     """t_idx (from 0) and time, one row for each distinct time."""
     steps = field.select(F.col(time).alias("time")).where("time is not null").distinct()
-    return steps.select((F.row_number().over(Window.orderBy("time")) - 1).alias("t_idx"), "time")
+    return numbered(steps, ["time"], "t_idx").select(F.col("t_idx").cast("int").alias("t_idx"), "time")
 
 
 def places(field: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """loc (from 0, by latitude then longitude), lat, lon, one row for each distinct place."""
     spots = field.select(F.col(lat).alias("lat"), F.col(lon).alias("lon")).distinct()
-    return spots.select((F.row_number().over(Window.orderBy("lat", "lon")) - 1).cast("long").alias("loc"), "lat", "lon")
+    return numbered(spots, ["lat", "lon"], "loc").select("loc", "lat", "lon")
 
 
 def clean(field: DataFrame, value: str = "value") -> DataFrame:

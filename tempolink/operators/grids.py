@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import degrees_to_km, from_angles, spacing_to_points, to_geographic
+from .axis import numbered
 
 #: From so many points on, the offset that keeps the smallest distance largest.
 MAXMIN_OFFSETS = ((24, 1.33), (177, 3.33), (890, 10.0), (11_000, 27.0), (400_000, 75.0), (600_000, 214.0))
@@ -92,99 +90,71 @@ def cut(grid: DataFrame, lat_range: tuple[float, float], lon_range: tuple[float,
 
 
 def stacked(grid: DataFrame) -> DataFrame:
-    """loc: the place's number by latitude, then longitude."""
-    return grid.withColumn("loc", F.dense_rank().over(Window.orderBy("lat", "lon")) - 1)
-
-
-# --- points that repel each other ---------------------------------------------------------------
-
-
-def random_points(n: int, seed: int = 42) -> np.ndarray:
-    """n seeded points, evenly distributed on the unit sphere."""
-    rng = np.random.default_rng(seed)
-    polar = np.arccos(1 - 2 * rng.random(n))
-    azimuth = 2 * np.pi * rng.random(n)
-    return np.stack([np.sin(polar) * np.cos(azimuth), np.sin(polar) * np.sin(azimuth), np.cos(polar)], axis=1)
-
-
-def _push(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of some points the direction downhill, along the sphere and in units of the whole force, and
-    the distance to the nearest other point."""
-    step, near = np.zeros((len(rows), 3)), np.full(len(rows), np.inf)
-    for at in range(0, len(rows), 256):
-        some = rows[at : at + 256]
-        diff = x[some][:, None, :] - x[None, :, :]
-        dist = np.sqrt((diff * diff).sum(axis=2))
-        dist[np.arange(len(some)), some] = np.inf
-        force = (diff / (dist**3)[:, :, None]).sum(axis=1)
-        radial = (force * x[some]).sum(axis=1, keepdims=True) * x[some]
-        step[at : at + 256] = (force - radial) / np.linalg.norm(force, axis=1, keepdims=True)
-        near[at : at + 256] = dist.min(axis=1)
-    return step, near
-
-
-def repel(spark: SparkSession, x: np.ndarray, iterations: int = 1000, speed: float = 1.0, tolerance: float = 1e-3) -> tuple[np.ndarray, list[float]]:
-    """Move points apart until no force along the sphere exceeds the tolerance. Every iteration is a
-    job over ranges of points against the broadcast configuration, which is the grid itself: three
-    numbers a point. Returns the points and the largest force of every iteration."""
-    history: list[float] = []
-    n = len(x)
-    if n < 2:
-        return x, history
-    parts = max(1, min(spark.sparkContext.defaultParallelism, n // 64 or 1))
-    for _ in range(iterations):
-        now = spark.sparkContext.broadcast(x)
-
-        def run(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            for pdf in batches:
-                rows = pdf["id"].to_numpy()
-                step, near = _push(now.value, rows)
-                yield pd.DataFrame({"id": rows, "x": step[:, 0], "y": step[:, 1], "z": step[:, 2], "near": near})
-
-        got = spark.range(0, n, 1, parts).mapInPandas(run, "id long, x double, y double, z double, near double").toPandas().sort_values("id")
-        now.unpersist()
-        step = got[["x", "y", "z"]].to_numpy()
-        worst = float(np.linalg.norm(step, axis=1).max())
-        history.append(worst)
-        moved = x + speed * float(got["near"].min()) * step
-        x = moved / np.linalg.norm(moved, axis=1, keepdims=True)
-        if worst <= tolerance:
-            break
-    return x, history
-
-
-def points_table(spark: SparkSession, x: np.ndarray) -> DataFrame:
-    lon, lat = np.degrees(np.arctan2(x[:, 1], x[:, 0])), np.degrees(np.arcsin(np.clip(x[:, 2], -1, 1)))
-    return spark.createDataFrame(pd.DataFrame({"point_id": np.arange(len(x)), "lon": lon, "lat": lat}))
-
-
-class RepelledGrid:
-    """A grid of points that repel each other, improved step by step."""
-
-    def __init__(self, spark: SparkSession, num_points: int, num_iter: int = 0, lon: list[float] | None = None, lat: list[float] | None = None, seed: int = 42) -> None:
-        if not isinstance(num_points, int) or num_points <= 0:
-            raise ValueError("the number of points must be a positive integer")
-        if (lon is None) != (lat is None) or (lon is not None and len(lon) != len(lat)):
+    """loc: the place's number by latitude, then longitude; points in one place share it."""
+    places = numbered(grid.select("lat", "lon").distinct(), ["lat", "lon"], "loc")
+    return grid.join(places, ["lat", "lon"]).select(*grid.columns, "loc")
+
+
+# --- grids as objects ---------------------------------------------------------------------------
+
+
+class Grid:
+    """Points on the sphere (point_id, lon, lat) with what all grids share. A grid is made from a rule,
+    or from points given as a table or as lists."""
+
+    def __init__(self, points: DataFrame, step_lon: float | None = None, spacing_km: float | None = None) -> None:
+        missing = {"point_id", "lon", "lat"} - set(points.columns)
+        if missing:
+            raise ValueError(f"a grid needs the columns {sorted(missing)}")
+        self.points = points.select(F.col("point_id").cast("long").alias("point_id"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+        self.step_lon, self.spacing_km = step_lon, spacing_km
+
+    @classmethod
+    def of_lists(cls, spark: SparkSession, lon: list[float], lat: list[float]) -> Grid:
+        if len(lon) != len(lat):
             raise ValueError("lon and lat go together")
-        self.spark, self.num_iter, self.history = spark, 0, []
-        if lon is not None:
-            a, b = np.radians(lon), np.radians(lat)
-            self.x = np.stack([np.cos(b) * np.cos(a), np.cos(b) * np.sin(a), np.sin(b)], axis=1)
-        else:
-            self.x = random_points(num_points, seed)
-        if num_iter:
-            self.improve(num_iter)
-
-    @property
+        rows = [(k, float(x), float(y)) for k, (x, y) in enumerate(zip(lon, lat, strict=True))]
+        return cls(spark.createDataFrame(rows, "point_id long, lon double, lat double"))
+
+    @classmethod
+    def regular(cls, spark: SparkSession, step_lon: float, step_lat: float) -> Grid:
+        return cls(regular_grid(spark, step_lon, step_lat), step_lon)
+
+    @classmethod
+    def gaussian(cls, spark: SparkSession, step_lon: float, step_lat: float) -> Grid:
+        return cls(gaussian_grid(spark, step_lon, step_lat), step_lon)
+
+    @classmethod
+    def fibonacci(cls, spark: SparkSession, spacing_km: float, kind: str = "average") -> Grid:
+        return cls(fibonacci_grid(spark, spacing_km, kind), spacing_km=spacing_km)
+
     def num_points(self) -> int:
-        return len(self.x)
+        """Points that a grid of the asked spacing has, or those that there are."""
+        return self.points.count() if self.spacing_km is None else spacing_to_points(self.spacing_km)
+
+    def distance_equator(self) -> float:
+        """Kilometres between neighbours along the equator: of a mesh by its step, else the mean
+        distance of points to their nearest neighbours."""
+        if self.step_lon is not None:
+            return equator_spacing(self.step_lon)
+        from .regrid import neighbour_distance
+
+        return neighbour_distance(self.points).agg(F.avg("dist")).first()[0]
+
+    def cut(self, lat_range: tuple[float, float], lon_range: tuple[float, float]) -> Grid:
+        return Grid(cut(self.points, lat_range, lon_range), self.step_lon)
+
+    def stacked(self) -> DataFrame:
+        return stacked(self.points)
+
+    def min_dists(self, other: Grid | None = None) -> DataFrame:
+        from .regrid import min_dists
+
+        return min_dists(self.points, other.points if other else None)
 
-    def improve(self, num_iter: int = 1000) -> DataFrame:
-        self.x, steps = repel(self.spark, self.x, num_iter)
-        self.history.append(steps)
-        self.num_iter += num_iter
-        return self.grid
+    def keep_original_points(self, original: Grid) -> Grid:
+        """Each point moved to the nearest corner of the original grid's cell around it."""
+        from .regrid import keep_original_points
 
-    @property
-    def grid(self) -> DataFrame:
-        return points_table(self.spark, self.x)
+        moved = keep_original_points(self.points, original.points)
+        return Grid(moved.select("point_id", F.col("c_lon").alias("lon"), F.col("c_lat").alias("lat")))

@@ -3,10 +3,13 @@
 Three ways to the same counts:
 - "sparse" joins window cells and events on their step; best for rare events.
 - "bitmap" packs each series into 64-bit words and counts common bits.
-- "matmul" multiplies 0/1 matrices of blocks of places in workers.
+- "matmul" multiplies 0/1 matrices of blocks of places in workers; series travel as packed bits.
 "auto", the default, takes bitmaps while the places fit into one block and the words into columns,
 which generated code covers, and matrices beyond.
 
+Several windows of a (precursor and trigger, say) are counted against the same events of b at once,
+side by side in a row, so that no table of pairs has to be joined with another.
+
 The full grid of pairs is the result, so its size is the square of the number of places. It is
 made block by block: places are put into blocks, and each pair of blocks is one key of an equi-join,
 so that memory is bound by a block and the pairs of blocks spread over the cluster.
@@ -14,6 +17,8 @@ so that memory is bound by a block and the pairs of blocks spread over the clust
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -58,14 +63,14 @@ def _words(cells: DataFrame, nodes: DataFrame, steps: int, name: str) -> DataFra
     return nodes.select("loc").join(packed, "loc", "left").select("loc", every.alias(name))
 
 
-def _common(steps: int) -> Column:
+def _common(steps: int, left: str) -> Column:
     n = -(-steps // BITS)
     if n <= WIDE_WORDS:
         total = F.lit(0)
         for k in range(n):
-            total = total + F.bit_count(F.col(f"wa{k}").bitwiseAND(F.col(f"wb{k}")))
+            total = total + F.bit_count(F.col(f"{left}{k}").bitwiseAND(F.col(f"wb{k}")))
         return total.cast("long")
-    return F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return F.aggregate(F.zip_with(left, "wb", lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
 
 
 def _grid(left: DataFrame, right: DataFrame, blocks_a: int, blocks_b: int) -> DataFrame:
@@ -82,42 +87,66 @@ def all_pairs(nodes_a: DataFrame, nodes_b: DataFrame) -> DataFrame:
 
 def pair_counts(window_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int, strategy: str = "auto") -> DataFrame:
     """a, b, k: steps at which b has an event inside a's window, for every pair, zeros included."""
+    return fused_counts({"k": window_a}, events_b, nodes_a, nodes_b, steps, strategy)
+
+
+def fused_counts(windows: dict[str, DataFrame], events_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int, strategy: str = "auto") -> DataFrame:
+    """a, b, and for each window of a, under its name, the steps at which b has an event inside it, for
+    every pair, zeros included. The pairs are made once for all windows."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {STRATEGIES}")
-    window_a, events_b = window_a.select("loc", "t_idx"), events_b.select("loc", "t_idx")
+    windows, events_b = {k: w.select("loc", "t_idx") for k, w in windows.items()}, events_b.select("loc", "t_idx")
     blocks = blocks_of(nodes_a, nodes_b)
     if strategy == "auto":
         strategy = "bitmap" if max(blocks) == 1 and steps <= BITS * WIDE_WORDS else "matmul"
     if strategy == "sparse":
-        hits = window_a.withColumnRenamed("loc", "a").join(events_b.withColumnRenamed("loc", "b"), "t_idx").groupBy("a", "b").agg(F.count("*").alias("k"))
+        cells = reduce(DataFrame.unionByName, (w.withColumn("which", F.lit(k)) for k, w in windows.items()))
+        met = cells.withColumnRenamed("loc", "a").join(events_b.withColumnRenamed("loc", "b"), "t_idx")
+        hits = met.groupBy("a", "b").agg(*(F.count_if(F.col("which") == k).alias(k) for k in windows))
         every = _grid(nodes_a.select("loc"), nodes_b.select("loc"), *blocks).select("a", "b")
-        return every.join(hits, ["a", "b"], "left").select("a", "b", F.coalesce("k", F.lit(0)).cast("long").alias("k"))
+        return every.join(hits, ["a", "b"], "left").select("a", "b", *(F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in windows))
     if strategy == "bitmap":
-        left, right = _words(window_a, nodes_a, steps, "wa"), _words(events_b, nodes_b, steps, "wb")
-        return _grid(left, right, *blocks).select("a", "b", _common(steps).alias("k"))
-    return _by_matrices(window_a, events_b, nodes_a, nodes_b, steps, *blocks)
+        names = {k: f"w{n}_" for n, k in enumerate(windows)}
+        left = reduce(lambda x, y: x.join(y, "loc"), (_words(w, nodes_a, steps, names[k]) for k, w in windows.items()))
+        return _grid(left, _words(events_b, nodes_b, steps, "wb"), *blocks).select("a", "b", *(_common(steps, names[k]).alias(k) for k in windows))
+    return _by_matrices(windows, events_b, nodes_a, nodes_b, steps, *blocks)
+
+
+def packed_series(cells: dict[str, DataFrame], nodes: DataFrame, steps: int) -> DataFrame:
+    """loc, and for each set of cells the place's series as packed bits, an eighth of a byte a step."""
+    names = list(cells)
+    tagged = reduce(DataFrame.unionByName, (c.select("loc", "t_idx", F.lit(k).alias("which")) for k, c in cells.items()))
+    lists = tagged.groupBy("loc").agg(*(F.collect_list(F.when(F.col("which") == k, F.col("t_idx"))).alias(k) for k in names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for k in names:
+                at = b.column(k)
+                bits = np.zeros((b.num_rows, steps), np.uint8)
+                bits[np.repeat(np.arange(b.num_rows), np.asarray(at.value_lengths().fill_null(0))), np.asarray(at.flatten())] = 1
+                made.append(pa.array([row.tobytes() for row in np.packbits(bits, axis=1)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column("loc"), *made], ["loc", *names])
 
+    return nodes.select("loc").join(lists, "loc", "left").mapInArrow(run, ", ".join(["loc long", *(f"`{k}` binary" for k in names)]))
 
-def _by_matrices(window_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int, blocks_a: int, blocks_b: int) -> DataFrame:
-    def series(cells: DataFrame, nodes: DataFrame) -> DataFrame:
-        found = cells.groupBy("loc").agg(F.collect_list("t_idx").alias("at"))
-        return nodes.select("loc").join(found, "loc", "left")
 
-    one = series(window_a, nodes_a).select(F.col("loc").alias("a"), "at", block_key(F.col("loc"), blocks_a).alias("ai"), F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))).alias("aj"))
-    two = series(events_b, nodes_b).select(F.col("loc").alias("b"), "at", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))).alias("bi"), block_key(F.col("loc"), blocks_b).alias("bj"))
+def _by_matrices(windows: dict[str, DataFrame], events_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int, blocks_a: int, blocks_b: int) -> DataFrame:
+    names = list(windows)
+    one = packed_series(windows, nodes_a, steps).select(F.col("loc").alias("a"), *names, block_key(F.col("loc"), blocks_a).alias("ai"), F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))).alias("aj"))
+    two = packed_series({"at": events_b}, nodes_b, steps).select(F.col("loc").alias("b"), "at", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))).alias("bi"), block_key(F.col("loc"), blocks_b).alias("bj"))
 
-    def matrix(rows: pa.Table) -> np.ndarray:
-        at = rows.column("at").combine_chunks()
-        out = np.zeros((len(rows), steps), np.float32 if steps < 1 << 24 else np.float64)  # counts stay whole
-        length = np.asarray(at.value_lengths().fill_null(0))
-        out[np.repeat(np.arange(len(rows)), length), np.asarray(at.flatten())] = 1
-        return out
+    def matrix(rows: pa.ChunkedArray) -> np.ndarray:
+        packed = np.frombuffer(b"".join(rows.to_pylist()), np.uint8).reshape(len(rows), -1)
+        return np.unpackbits(packed, axis=1, count=steps).astype(np.float32 if steps < 1 << 24 else np.float64)  # counts stay whole
 
     def multiply(_: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        k = (matrix(a) @ matrix(b).T).ravel().astype(np.int64)
-        return pa.table({"a": np.repeat(np.asarray(a["a"]), len(b)), "b": np.tile(np.asarray(b["b"]), len(a)), "k": k})
+        events = matrix(b["at"]).T
+        counts = {k: (matrix(a[k]) @ events).ravel().astype(np.int32) for k in names}
+        return pa.table({"a": np.repeat(np.asarray(a["a"]), len(b)), "b": np.tile(np.asarray(b["b"]), len(a)), **counts})
 
-    return one.groupBy("ai", "aj").cogroup(two.groupBy("bi", "bj")).applyInArrow(multiply, "a long, b long, k long")
+    made = one.groupBy("ai", "aj").cogroup(two.groupBy("bi", "bj")).applyInArrow(multiply, ", ".join(["a long", "b long", *(f"`{k}` int" for k in names)]))
+    return made.select("a", "b", *(F.col(k).cast("long").alias(k) for k in names))
 
 
 def precursor_counts(events_a: DataFrame, events_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int, rule: Coincidence = Coincidence(), strategy: str = "auto") -> DataFrame:  # noqa: B008

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import binomial_cdf
+from ..storage import sized
 from .windows import Coincidence
 
 #: Rows up to which a table is broadcast.
@@ -29,32 +30,43 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL else df
 
 
-def _confidence(counts: DataFrame, n_a: DataFrame, n_b: DataFrame, rule: Coincidence, steps: int, least_events: int, kind: str) -> DataFrame:
-    """The distribution function is evaluated for each pair of event counts that places have, up to
-    as many coincidences as there are trials, and that table meets the pairs by broadcast: they are
-    made once and don't move. Beyond SMALL rows it is evaluated for each distinct (k, na, nb)."""
+def with_confidences(counts: DataFrame, kinds: dict[str, tuple[str, str, Coincidence]], n_a: DataFrame, n_b: DataFrame, steps: int, least_events: int = 2) -> DataFrame:
+    """The columns of counts (a, b, counts) and for each name in kinds a confidence (float) of a count;
+    kinds has for it the count's column, "precursor" or "trigger", and the rule.
+
+    The distribution function is evaluated for each pair of event counts that places have, up to as
+    many coincidences as there are trials, and that table meets the pairs by broadcast: they are made
+    once and don't move. Beyond SMALL rows it is evaluated for each distinct (k, na, nb)."""
+    spark = counts.sparkSession
     tally_a = _tally(n_a)
     tally_b = tally_a if n_b is n_a else _tally(n_b)
     one = _sized(n_a.select(F.col("loc").alias("a"), F.col("event_count").cast("long").alias("na")), sum(tally_a.values()))
     two = _sized(n_b.select(F.col("loc").alias("b"), F.col("event_count").cast("long").alias("nb")), sum(tally_b.values()))
-    with_n = counts.join(one, "a").join(two, "b")
-    trials, other = ("nb", "na") if kind == "precursor" else ("na", "nb")
-
-    def value(k: str) -> Column:
-        sure = binomial_cdf(F.col(k), F.col(trials), _rate(F.col(other), rule, steps))
-        if least_events > 0:
-            sure = F.when((F.col("na") >= least_events) & (F.col("nb") >= least_events), sure).otherwise(0.0)
-        return sure.cast("float")
-
-    tried, others = (tally_b, tally_a) if kind == "precursor" else (tally_a, tally_b)
-    if len(others) * sum(n + 2 for n in tried) > SMALL:
-        known = with_n.select("k", "na", "nb").distinct().withColumn("confidence", value("k"))
-        return with_n.join(known, ["k", "na", "nb"]).select("a", "b", "k", "confidence")
-    table = counts.sparkSession.createDataFrame([(n,) for n in sorted(tally_a)], "na long").withColumn("nb", F.explode(F.array(*map(F.lit, sorted(tally_b))).cast("array<long>")))
-    # -1 stands for all below 0, and the trials for all from there on
-    table = table.withColumn("at", F.explode(F.sequence(F.lit(-1).cast("long"), F.col(trials)))).withColumn("confidence", value("at"))
-    clipped = with_n.withColumn("at", F.greatest(F.lit(-1).cast("long"), F.least(F.col("k").cast("long"), F.col(trials))))
-    return clipped.join(F.broadcast(table), ["na", "nb", "at"]).select("a", "b", "k", "confidence")
+    made = counts.join(one, "a").join(two, "b")
+    for name, (column, kind, rule) in kinds.items():
+        trials, other = ("nb", "na") if kind == "precursor" else ("na", "nb")
+
+        def value(k: str, trials=trials, other=other, rule=rule) -> Column:  # noqa: ANN001
+            sure = binomial_cdf(F.col(k), F.col(trials), _rate(F.col(other), rule, steps))
+            if least_events > 0:
+                sure = F.when((F.col("na") >= least_events) & (F.col("nb") >= least_events), sure).otherwise(0.0)
+            return sure.cast("float")
+
+        tried, others = (tally_b, tally_a) if kind == "precursor" else (tally_a, tally_b)
+        if len(others) * sum(n + 2 for n in tried) > SMALL:
+            known = made.select(column, "na", "nb").distinct().withColumn(name, value(column))
+            made = made.join(known, [column, "na", "nb"])
+            continue
+        table = spark.createDataFrame([(n,) for n in sorted(tally_a)], "na long").withColumn("nb", F.explode(F.array(*map(F.lit, sorted(tally_b))).cast("array<long>")))
+        # -1 stands for all below 0, and the trials for all from there on
+        table = table.withColumn("at", F.explode(F.sequence(F.lit(-1).cast("long"), F.col(trials)))).withColumn(name, value("at"))
+        clipped = made.withColumn("at", F.greatest(F.lit(-1).cast("long"), F.least(F.col(column).cast("long"), F.col(trials))))
+        made = clipped.join(F.broadcast(table), ["na", "nb", "at"]).drop("at")
+    return made.select(*counts.columns, *kinds)
+
+
+def _confidence(counts: DataFrame, n_a: DataFrame, n_b: DataFrame, rule: Coincidence, steps: int, least_events: int, kind: str) -> DataFrame:
+    return with_confidences(counts.select("a", "b", "k"), {"confidence": ("k", kind, rule)}, n_a, n_b, steps, least_events)
 
 
 def precursor_confidence(counts: DataFrame, n_a: DataFrame, n_b: DataFrame, rule: Coincidence, steps: int, least_events: int = 2) -> DataFrame:
@@ -88,31 +100,45 @@ def trigger_confidence_of_layers(counts: DataFrame, layer_a: DataFrame, layer_b:
 
 # --- Monte-Carlo critical values of event synchronisation ---------------------------------------
 
+#: Draws of a work item: seeded on their own, and scored together.
+DRAWS = 500
+
 
-def synchronised(x: np.ndarray, y: np.ndarray, tau_x: np.ndarray, tau_y: np.ndarray, tm: float) -> int:
-    """Pairs closer than half the smaller of their gaps, and than tm."""
-    apart = np.abs(x[:, None] - y[None, :])
-    return int(((apart < np.minimum(tau_x[:, None], tau_y[None, :]) / 2) & (apart < tm)).sum())
+def synchronised(x: np.ndarray, y: np.ndarray, tau_x: np.ndarray, tau_y: np.ndarray, tm: float) -> np.ndarray:
+    """Of each draw (a row) the pairs closer than half the smaller of their gaps, and than tm."""
+    apart = np.abs(x[:, :, None] - y[:, None, :])
+    return ((apart < np.minimum(tau_x[:, :, None], tau_y[:, None, :]) / 2) & (apart < tm)).sum(axis=(1, 2))
 
 
-def _interior(draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    gap = np.diff(draw)
-    return draw[1:-1], np.minimum(gap[:-1], gap[1:])
+def _interior(draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    gap = np.diff(draws, axis=1)
+    return draws[:, 1:-1], np.minimum(gap[:, :-1], gap[:, 1:])
 
 
-def null_scores(times: np.ndarray, n_a: int, n_b: int, tm: float, samples: int, seed: int, sort_draws: bool) -> np.ndarray:
-    """Scores of random draws without replacement; draws keep their order unless sorted."""
-    out = np.zeros(samples, np.int64)
+def _draws(rng: np.random.Generator, times: np.ndarray, n: int, samples: int) -> np.ndarray:
+    """A row a draw: n different times in random order."""
+    deck = np.tile(times, (samples, 1))
+    if 8 * n > len(times):
+        return rng.permuted(deck, axis=1)[:, :n]
+    rows = np.arange(samples)
+    for k in range(n):  # the first n cards of a shuffle, for all draws at once
+        at = rng.integers(k, len(times), samples)
+        deck[rows, k], deck[rows, at] = deck[rows, at], deck[rows, k].copy()
+    return deck[:, :n]
+
+
+def null_scores(times: np.ndarray, n_a: int, n_b: int, tm: float, samples: int, seed: int, sort_draws: bool, part: int = 0) -> np.ndarray:
+    """Scores of random draws without replacement, of which a range (`part`) has a seed of its own;
+    draws keep their order unless sorted."""
     if min(n_a, n_b) < 3:
-        return out
-    rng = np.random.default_rng([seed, n_a, n_b])
-    for k in range(samples):
-        x, y = (rng.choice(times, n, replace=False) for n in (n_a, n_b))
-        if sort_draws:
-            x, y = np.sort(x), np.sort(y)
-        (px, tx), (py, ty) = _interior(x), _interior(y)
-        out[k] = synchronised(px, py, tx, ty, tm)
-    return out
+        return np.zeros(samples, np.int64)
+    rng = np.random.default_rng([seed, n_a, n_b, part])
+    x, y = (_draws(rng, times, n, samples) for n in (n_a, n_b))
+    if sort_draws:
+        x, y = np.sort(x, axis=1), np.sort(y, axis=1)
+    (px, tx), (py, ty) = _interior(x), _interior(y)
+    some = max(1, (1 << 22) // (n_a * n_b))  # draws at once, by the memory that their pairs take
+    return np.concatenate([synchronised(px[k : k + some], py[k : k + some], tx[k : k + some], ty[k : k + some], tm) for k in range(0, samples, some)])
 
 
 def _limits(max_events) -> tuple[int, int]:  # noqa: ANN001
@@ -127,26 +153,50 @@ def null_model(spark: SparkSession, times: list[int], tm: float, max_events, sig
     a and one for b): the score that chance exceeds with the given probability. Work items (i, j)
     are dealt out over the cluster, and each has its own seed."""
     top_a, top_b = _limits(max_events)
-    axis = np.asarray(times, np.int64)
     levels = [float(s) for s in significances]
+    top = max(top_a, top_b)
+    grid = spark.range(3, top + 1).select(F.col("id").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(3).cast("long"), F.col("i")))) if top >= 3 else spark.createDataFrame([], "i long, j long")
+    crit = _percentiles(null_histogram(grid, times, tm, samples, seed, sort_draws), samples, levels)
+    both = crit.select(F.col("i").alias("noe_a"), F.col("j").alias("noe_b"), "significance", "crit")
+    both = both.unionByName(crit.where("i <> j").select(F.col("j").alias("noe_a"), F.col("i").alias("noe_b"), "significance", "crit"))
+    every = spark.range(top_a + 1).select(F.col("id").alias("noe_a")).withColumn("noe_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(top_b).cast("long"))))
+    every = every.withColumn("significance", F.explode(F.array(*map(F.lit, levels))))
+    found = F.coalesce("crit", F.lit(0).cast("long"))
+    return every.join(both, ["noe_a", "noe_b", "significance"], "left").withColumn("crit", F.greatest(found, F.lit(min_es).cast("long")) if min_es is not None else found)
+
+
+def null_histogram(grid: DataFrame, times: list[int], tm: float, samples: int, seed: int, sort_draws: bool) -> DataFrame:
+    """i, j, score, n: how many of the draws for a pair of event counts have each score. The draws of a
+    pair are cut into ranges, each a work item of its own, so that pairs of many events spread over
+    the tasks; their histograms add up."""
+    axis = np.asarray(times, np.int64)
 
     def run(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
             rows = []
-            for i, j in zip(pdf["i"], pdf["j"], strict=True):
-                scores = null_scores(axis, int(i), int(j), tm, samples, seed, sort_draws)
-                crit = np.percentile(scores, [100 * (1 - s) for s in levels]).astype(np.int64)
-                rows += [(int(a), int(b), s, int(c)) for a, b in {(i, j), (j, i)} for s, c in zip(levels, crit, strict=True)]
-            yield pd.DataFrame(rows, columns=["noe_a", "noe_b", "significance", "crit"])
+            for i, j, part in zip(pdf["i"].tolist(), pdf["j"].tolist(), pdf["part"].tolist(), strict=True):
+                scores = null_scores(axis, i, j, tm, min(DRAWS, samples - part * DRAWS), seed, sort_draws, part)
+                rows += [(i, j, s, n) for s, n in zip(*(x.tolist() for x in np.unique(scores, return_counts=True)), strict=True)]
+            yield pd.DataFrame(rows, columns=["i", "j", "score", "n"])
 
-    top = max(top_a, top_b)
-    grid = spark.range(3, top + 1).select(F.col("id").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(3).cast("long"), F.col("i")))) if top >= 3 else spark.createDataFrame([], "i long, j long")
+    items = grid.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // DRAWS) - 1))))
     # a number of parts, as the few bytes would else be coalesced into one task
-    made = grid.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "i", "j").mapInPandas(run, "noe_a long, noe_b long, significance double, crit long")
-    every = spark.range(top_a + 1).select(F.col("id").alias("noe_a")).withColumn("noe_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(top_b).cast("long"))))
-    every = every.withColumn("significance", F.explode(F.array(*map(F.lit, levels))))
-    crit = F.coalesce("crit", F.lit(0).cast("long"))
-    return every.join(made, ["noe_a", "noe_b", "significance"], "left").withColumn("crit", F.greatest(crit, F.lit(min_es).cast("long")) if min_es is not None else crit)
+    dealt = items.repartition(4 * int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i", "j", "part")
+    return dealt.mapInPandas(run, "i long, j long, score long, n long").groupBy("i", "j", "score").agg(F.sum("n").alias("n"))
+
+
+def _percentiles(histogram: DataFrame, samples: int, levels: list[float]) -> DataFrame:
+    """i, j, significance, crit: the percentile of 1 - significance, linear between ranks, cut to a
+    whole number. Sums run over the scores of one pair of counts alone, no more than it has pairs of
+    events."""
+    upto = F.sum("n").over(Window.partitionBy("i", "j").orderBy("score"))
+    summed = histogram.withColumn("upto", upto)
+    ranks = [(k, s, (samples - 1) * (100 * (1 - s) / 100)) for k, s in enumerate(levels)]
+    ends = [F.min(F.when(F.col("upto") > int(at) + more, F.col("score"))).alias(f"v{k}_{more}") for k, _, at in ranks for more in (0, 1)]
+    one = summed.groupBy("i", "j").agg(*ends)
+    between = lambda k, at: F.floor(F.col(f"v{k}_0") + (F.coalesce(f"v{k}_1", f"v{k}_0") - F.col(f"v{k}_0")) * F.lit(at - int(at)))
+    values = F.array(*(F.struct(F.lit(s).alias("significance"), between(k, at).cast("long").alias("crit")) for k, s, at in ranks))
+    return one.select("i", "j", F.explode(values).alias("v")).select("i", "j", "v.*")
 
 
 def critical_for_pairs(crit: DataFrame, pairs: DataFrame, n_a: DataFrame, n_b: DataFrame, significance: float | None = None) -> DataFrame:
@@ -162,5 +212,5 @@ def critical_for_pairs(crit: DataFrame, pairs: DataFrame, n_a: DataFrame, n_b: D
     for counts, top in ((n_a, largest[0]), (n_b, largest[1])):
         if top is None or not counts.where(F.col("event_count") > top).isEmpty():
             raise KeyError("an event count lies beyond the table of critical values")
-    wide = pairs.join(n_a.select(F.col("loc").alias("a"), F.col("event_count").alias("noe_a")), "a").join(n_b.select(F.col("loc").alias("b"), F.col("event_count").alias("noe_b")), "b")
-    return wide.join(table, ["noe_a", "noe_b"]).select(*pairs.columns, "crit")
+    wide = pairs.join(sized(n_a.select(F.col("loc").alias("a"), F.col("event_count").alias("noe_a"))), "a").join(sized(n_b.select(F.col("loc").alias("b"), F.col("event_count").alias("noe_b"))), "b")
+    return wide.join(sized(table), ["noe_a", "noe_b"]).select(*pairs.columns, "crit")

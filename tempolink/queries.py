@@ -7,6 +7,7 @@ hour's values, events = hours of 50 or more. Grids and points are computed.
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 from .functions import geo
 from .functions.calendar import frequency, time_index
-from .operators import axis, events, grids, links, pairs, regrid, significance, sync, voronoi, windows
+from .operators import axis, events, grids, links, pairs, regrid, repulsion, significance, sync, tables, voronoi, windows
 from .plans.networks import eca_joint_network, eca_network, es_network
-from .sources import blocks, synthetic
+from .sources import blocks, netcdf, synthetic
+from .storage import materialise, scratch_path
+from .streaming import coincidence
 from .streaming.coincidence import stream_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -435,7 +438,7 @@ def null_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def es_network_null_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An hour's extremes to the network of users by what chance exceeds in one of 20 draws."""
-    path = blocks.scratch_path(spark, "null-model")  # the draws are made once, though the lookup reads them several times
+    path = scratch_path(spark, "null-model")  # the draws are made once, though the lookup reads them several times
     null_model(spark, sf_dir).write.parquet(path)
     return es_network(extremes(spark, sf_dir), users(spark, sf_dir), spark.read.parquet(path), TM, 0.05)
 
@@ -496,90 +499,164 @@ def rounded(grid: DataFrame) -> DataFrame:
     return grid.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("lon", "lat")})
 
 
-ROUND_GRID = "SELECT point_id, round(lon, 6) + 0.0 AS lon, round(lat, 6) + 0.0 AS lat FROM"
+def directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid of given points: where the first three components of the embeddings point to."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), *(F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate("xyz")))
+    lon, lat = geo.to_geographic_any(*map(F.col, "xyz"))
+    return v.select("point_id", lon.alias("lon"), lat.alias("lat"))
+
+
+DIRECTIONS = UNIT + ", dirs AS (SELECT vec_id AS point_id, degrees(atan2(y, x)) AS lon, degrees(asin(z)) AS lat FROM u)"
+
+
+def settled(spark: SparkSession, sf_dir: str, grid: DataFrame, n: int) -> DataFrame:
+    """Customers on the points of a grid by their key."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    return rounded(c.join(grid, F.col("c_custkey") % n == F.col("point_id"))).select("c_custkey", "point_id", "lon", "lat")
+
+
+SETTLED = "SELECT c_custkey, point_id, round(lon, 6) + 0.0 AS lon, round(lat, 6) + 0.0 AS lat FROM customer JOIN {grid} ON c_custkey % {n} = point_id"
 REGULAR = "reg AS (SELECT la.i * 48 + lo.i AS point_id, -180 + 3.75 + lo.i * 7.5::DOUBLE AS lon, -90 + 3.75 + la.i * 7.5::DOUBLE AS lat FROM range(48) lo(i) CROSS JOIN range(24) la(i))"
+N500 = geo.spacing_to_points(500.0)
 
 
-@query(f"WITH {REGULAR} {ROUND_GRID} reg")
+@query(f"WITH {REGULAR} " + SETTLED.format(grid="reg", n=1152))
 def regular_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grids.regular_grid(spark, 7.5, 7.5))
+    return settled(spark, sf_dir, grids.regular_grid(spark, 7.5, 7.5), 1152)
 
 
-@query(f"{ROUND_GRID} (SELECT la.i * 90 + lo.i AS point_id, -179.5 + lo.i * 4.0::DOUBLE AS lon, -89.5 + la.i * 3.0::DOUBLE AS lat FROM range(90) lo(i) CROSS JOIN range(60) la(i))")
+@query("WITH gauss AS (SELECT la.i * 90 + lo.i AS point_id, -179.5 + lo.i * 4.0::DOUBLE AS lon, -89.5 + la.i * 3.0::DOUBLE AS lat FROM range(90) lo(i) CROSS JOIN range(60) la(i)) " + SETTLED.format(grid="gauss", n=5400))
 def gaussian_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grids.gaussian_grid(spark, 4.0, 3.0))
+    return settled(spark, sf_dir, grids.gaussian_grid(spark, 4.0, 3.0), 5400)
 
 
-@query(f"WITH {FIB.format(e='0.36::DOUBLE', n=geo.spacing_to_points(500.0))} {ROUND_GRID} fib")
+@query(f"WITH {FIB.format(e='0.36::DOUBLE', n=N500)} " + SETTLED.format(grid="fib", n=N500))
 def fibonacci_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grids.fibonacci_grid(spark, 500.0))
+    grid = grids.Grid.fibonacci(spark, 500.0)
+    return settled(spark, sf_dir, grid.points, grid.num_points())
 
 
-@query(f"WITH {FIB.format(e='10.0::DOUBLE', n=geo.spacing_to_points(500.0))} {ROUND_GRID} fib")
+@query(f"WITH {FIB.format(e='10.0::DOUBLE', n=N500)} " + SETTLED.format(grid="fib", n=N500))
 def fibonacci_grid_maxmin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grids.fibonacci_grid(spark, 500.0, "maxmin"))
+    return settled(spark, sf_dir, grids.fibonacci_grid(spark, 500.0, "maxmin"), N500)
 
 
-@query(f"{ROUND_GRID} (SELECT i AS point_id, degrees(atan2(y, cos(t) * r)) AS lon, degrees(asin(sin(t) * r)) AS lat FROM (SELECT i, y, sqrt(greatest(1 - y * y, 0)) AS r, i * (pi() * (3 - sqrt(5))) AS t FROM (SELECT i, 1 - (i / 1999.0::DOUBLE) * 2 AS y FROM range(2000) q(i))))")
+@query("WITH old AS (SELECT i AS point_id, degrees(atan2(y, cos(t) * r)) AS lon, degrees(asin(sin(t) * r)) AS lat FROM (SELECT i, y, sqrt(greatest(1 - y * y, 0)) AS r, i * (pi() * (3 - sqrt(5))) AS t FROM (SELECT i, 1 - (i / 1999.0::DOUBLE) * 2 AS y FROM range(2000) q(i)))) " + SETTLED.format(grid="old", n=2000))
 def fibonacci_sphere_old(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grids.fibonacci_sphere(spark, 2000))
+    return settled(spark, sf_dir, grids.fibonacci_sphere(spark, 2000), 2000)
+
+
+@query("SELECT s_suppkey, CAST(floor(exp(20.0165958) * power(50.0 + s_suppkey % 400, -2.01155176)) AS BIGINT) AS n, round(2 * 6371.0::DOUBLE * atan2(abs(sin(radians(1 + s_suppkey % 20) / 2)), cos(radians(1 + s_suppkey % 20) / 2)), 6) AS equator FROM supplier")
+def grid_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many points a spiral of a spacing has, and how far a mesh's points lie apart at the equator."""
+    s = table(spark, sf_dir, "supplier")
+    return s.select("s_suppkey", geo.spacing_to_points_column(F.lit(50.0) + F.col("s_suppkey") % 400).alias("n"), F.round(geo.degrees_to_km_column(1 + F.col("s_suppkey") % 20), 6).alias("equator"))
 
 
-@query(f"WITH {REGULAR} {ROUND_GRID} reg WHERE lat BETWEEN -33.75 AND 41.25 AND lon BETWEEN -20 AND 100")
+@query(f"WITH {DIRECTIONS} SELECT point_id, round(lon, 6) + 0.0 AS lon, round(lat, 6) + 0.0 AS lat FROM dirs WHERE lat BETWEEN -33.75 AND 41.25 AND lon BETWEEN -20 AND 100")
 def grid_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grids.cut(grids.regular_grid(spark, 7.5, 7.5), (-33.75, 41.25), (-20.0, 100.0)))
+    return rounded(grids.Grid(directions(spark, sf_dir)).cut((-33.75, 41.25), (-20.0, 100.0)).points)
 
 
-@query(f"WITH {REGULAR} SELECT point_id, CAST(dense_rank() OVER (ORDER BY lat, lon) - 1 AS INTEGER) AS loc FROM reg")
+@query(f"WITH {REGULAR} SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY lat, lon) - 1 AS BIGINT) AS loc FROM customer JOIN reg ON c_custkey % 1152 = point_id")
 def stack_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.stacked(grids.regular_grid(spark, 7.5, 7.5)).select("point_id", "loc")
+    """Places of customers, of which several share one, numbered by latitude, then longitude."""
+    return grids.stacked(settled(spark, sf_dir, grids.regular_grid(spark, 7.5, 7.5), 1152)).select("c_custkey", "loc")
 
 
-FIB600 = FIB.format(e="0.36::DOUBLE", n=600)
+@query(f"WITH {DIRECTIONS}, p AS (SELECT DISTINCT floor(lat * 2) / 2 AS lat, floor(lon * 2) / 2 AS lon FROM dirs) SELECT CAST(row_number() OVER (ORDER BY lat, lon) - 1 AS BIGINT) AS loc, lat, lon FROM p")
+def place_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    halves = directions(spark, sf_dir).select(*((F.floor(F.col(c) * 2) / 2).alias(c) for c in ("lat", "lon")))
+    return axis.places(halves)
 
 
-@query(f"WITH {FIB600} SELECT p.point_id, round(min({km_sql('p.lon', 'p.lat', 'q.lon', 'q.lat')}), 5) AS dist FROM fib p JOIN fib q ON p.point_id <> q.point_id GROUP BY p.point_id")
+@query(f"WITH {DIRECTIONS} SELECT p.point_id, round(min({km_sql('p.lon', 'p.lat', 'q.lon', 'q.lat')}), 5) AS dist FROM dirs p JOIN dirs q ON p.point_id <> q.point_id GROUP BY p.point_id")
 def neighbour_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regrid.neighbour_distance(grids.fibonacci_points(spark, 600)).withColumn("dist", F.round("dist", 5))
+    return regrid.neighbour_distance(directions(spark, sf_dir)).withColumn("dist", F.round("dist", 5))
 
 
-@query(f"WITH {FIB600}, {REGULAR} SELECT p.point_id, round(min({km_sql('p.lon', 'p.lat', 'q.lon', 'q.lat')}), 5) AS dist FROM fib p CROSS JOIN reg q GROUP BY p.point_id")
+@query(f"WITH {DIRECTIONS}, {REGULAR} SELECT p.point_id, round(min({km_sql('p.lon', 'p.lat', 'q.lon', 'q.lat')}), 5) AS dist FROM dirs p CROSS JOIN reg q GROUP BY p.point_id")
 def min_dists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regrid.min_dists(grids.fibonacci_points(spark, 600), grids.regular_grid(spark, 7.5, 7.5)).withColumn("dist", F.round("dist", 5))
+    return regrid.min_dists(directions(spark, sf_dir), grids.regular_grid(spark, 7.5, 7.5)).withColumn("dist", F.round("dist", 5))
 
 
-def bracket_sql(axis_: str) -> str:
+def bracket_sql(axis_: str, points: str) -> str:
     return f"""{axis_}_br AS (SELECT point_id, CASE WHEN ok THEN below ELSE first END AS lo, CASE WHEN ok THEN above ELSE last END AS hi FROM
         (SELECT f.point_id, max(CASE WHEN r.v < f.{axis_} THEN r.v END) AS below, min(CASE WHEN r.v > f.{axis_} THEN r.v END) AS above, min(r.v) AS first, max(r.v) AS last,
          max(CASE WHEN r.v < f.{axis_} THEN r.v END) IS NOT NULL AND min(CASE WHEN r.v > f.{axis_} THEN r.v END) IS NOT NULL AND NOT bool_or(r.v = f.{axis_}) AS ok
-         FROM fib f CROSS JOIN (SELECT DISTINCT {axis_} AS v FROM reg) r GROUP BY f.point_id))"""
+         FROM {points} f CROSS JOIN (SELECT DISTINCT {axis_} AS v FROM reg) r GROUP BY f.point_id))"""
 
 
-CORNERS = f"""{FIB600}, {REGULAR}, {bracket_sql('lon')}, {bracket_sql('lat')},
+def corners_sql(points: str) -> str:
+    return f"""{REGULAR}, {bracket_sql('lon', points)}, {bracket_sql('lat', points)},
     corner AS (SELECT f.point_id, f.lon, f.lat, k AS corner, CASE WHEN k < 2 THEN x.lo ELSE x.hi END AS c_lon, CASE WHEN k % 2 = 0 THEN y.lo ELSE y.hi END AS c_lat
-        FROM fib f JOIN lon_br x USING (point_id) JOIN lat_br y USING (point_id) CROSS JOIN range(4) r(k)),
+        FROM {points} f JOIN lon_br x USING (point_id) JOIN lat_br y USING (point_id) CROSS JOIN range(4) r(k)),
     dist AS (SELECT *, {km_sql('c_lon', 'c_lat', 'lon', 'lat')} AS d FROM corner)"""
 
 
-@query(f"WITH {CORNERS} SELECT point_id, c_lon, c_lat, round(d, 5) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, corner) AS n FROM dist) WHERE n = 1")
+@query(f"WITH {DIRECTIONS}, {corners_sql('dirs')} SELECT point_id, c_lon, c_lat, round(d, 5) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, corner) AS n FROM dist) WHERE n = 1")
 def keep_original_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regrid.keep_original_points(grids.fibonacci_points(spark, 600), grids.regular_grid(spark, 7.5, 7.5)).withColumn("dist", F.round("dist", 5))
+    return regrid.keep_original_points(directions(spark, sf_dir), grids.regular_grid(spark, 7.5, 7.5)).withColumn("dist", F.round("dist", 5))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SPOTS}, sp AS (SELECT s_suppkey AS point_id, lon, lat FROM spots), {corners_sql('sp')},
+    wants AS (SELECT point_id, min(d) AS nearest, list(struct_pack(x := c_lon, y := c_lat, d := d) ORDER BY d, corner) AS prefs FROM dist GROUP BY point_id),
+    turns AS (SELECT *, row_number() OVER (ORDER BY nearest, point_id) AS turn FROM wants),
+    free AS (SELECT 0::BIGINT AS turn, NULL::BIGINT AS point_id, NULL::STRUCT(x DOUBLE, y DOUBLE, d DOUBLE) AS got, []::DOUBLE[][] AS taken
+        UNION ALL SELECT t.turn, t.point_id, g.got, CASE WHEN g.got IS NULL THEN f.taken ELSE list_append(f.taken, [g.got.x, g.got.y]) END
+        FROM free f JOIN turns t ON t.turn = f.turn + 1, LATERAL (SELECT list_filter(t.prefs, lambda p: NOT list_contains(f.taken, [p.x, p.y]))[1] AS got) g)
+    SELECT point_id, got.x AS c_lon, got.y AS c_lat, round(got.d, 5) AS dist FROM free WHERE turn > 0""")
 def map_to_regular_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regrid.map_to_regular_grid(grids.fibonacci_points(spark, 600), grids.regular_grid(spark, 7.5, 7.5))
+    """Suppliers' places, close together, each to a corner of its own, in the order of their distance."""
+    grid = spots(spark, sf_dir).withColumnRenamed("s_suppkey", "point_id")
+    return regrid.map_to_regular_grid(grid, grids.regular_grid(spark, 7.5, 7.5)).withColumn("dist", F.round("dist", 5))
+
+
+@query(f"""WITH {UNIT},
+    f AS (SELECT p.vec_id, sum((p.x - q.x) / power(d, 3)) AS fx, sum((p.y - q.y) / power(d, 3)) AS fy, sum((p.z - q.z) / power(d, 3)) AS fz, min(d) AS near
+        FROM u p JOIN u q ON p.vec_id <> q.vec_id, LATERAL (SELECT sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2) + power(p.z - q.z, 2)) AS d) GROUP BY p.vec_id),
+    s AS (SELECT vec_id, x, y, z, fx, fy, fz, fx * x + fy * y + fz * z AS r, sqrt(fx * fx + fy * fy + fz * fz) AS w, (SELECT min(near) FROM f) AS step FROM f JOIN u USING (vec_id)),
+    m AS (SELECT vec_id, x + step * (fx - r * x) / w AS x, y + step * (fy - r * y) / w AS y, z + step * (fz - r * z) / w AS z FROM s)
+    SELECT vec_id AS point_id, round(degrees(atan2(y, x)), 6) + 0.0 AS lon, round(degrees(asin(z / sqrt(x * x + y * y + z * z))), 6) + 0.0 AS lat FROM m""")
+def repulsion_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step of points that push each other apart, from given ones."""
+    return rounded(repulsion.to_degrees(repulsion.repel(repulsion.from_degrees(directions(spark, sf_dir)), 1)[0]))
 
 
 @query()
 def fekete_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.RepelledGrid(spark, 200, 20).grid
+    """Ten steps from given points."""
+    return repulsion.RepelledGrid.of(directions(spark, sf_dir)).improve(10)
 
 
 @query()
 def align_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = grids.fibonacci_points(spark, 200)
-    return regrid.align_to(grid.withColumn("lon", F.col("lon") + 12.0), grid)
+    """Given points, turned back onto themselves by great circles after a turn of 12 degrees in which
+    every tenth point went astray."""
+    grid = directions(spark, sf_dir)
+    turned = grid.select("point_id", (F.col("lon") + 12.0).alias("lon"), F.when(F.col("point_id") % 10 == 0, -F.col("lat")).otherwise(F.col("lat")).alias("lat"))
+    return regrid.align_to(turned, grid)
+
+
+@query("SELECT count(*) AS cells, 1.0::DOUBLE AS sphere FROM embeddings")
+def voronoi_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of given points, which together are the sphere once."""
+    cells = voronoi.voronoi_cells(directions(spark, sf_dir))
+    return cells.agg(F.count("*").alias("cells"), F.round(F.sum("area") / F.lit(4 * math.pi * geo.EARTH_KM**2), 6).alias("sphere"))
+
+
+@query(f"WITH {SPOTS} SELECT s_suppkey, i AS point_id, round(degrees(atan2(sin(az) * sin(po), cos(az) * sin(po))), 6) + 0.0 AS lon, round(degrees(asin(cos(po))), 6) + 0.0 AS lat FROM (SELECT s_suppkey, i, i * (2 * pi() / ((1 + sqrt(5)) / 2)) AS az, acos(1 - 2 * (i + 0.36::DOUBLE) / (n - 1 + 2 * 0.36::DOUBLE)) AS po FROM (SELECT s_suppkey, n, unnest(range(n)) AS i FROM (SELECT s_suppkey, 3 + s_suppkey % 5 AS n FROM supplier)))")
+def points_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier asks for a spiral of its own, in SQL."""
+    tables.register(spark)
+    made = spark.sql("SELECT s_suppkey, p.point_id, p.lon, p.lat FROM {s} s, LATERAL spiral_points(CAST(3 + s_suppkey % 5 AS INT)) p", s=table(spark, sf_dir, "supplier"))
+    return rounded(made)
+
+
+@query("SELECT s_suppkey, CAST(j * (s_suppkey % 3 + 1) + i AS BIGINT) AS point_id, s_nationkey + i * 2.5::DOUBLE AS lon, -10.0 + j * 2.5::DOUBLE AS lat FROM supplier, range(3) a(i), range(3) b(j) WHERE i <= s_suppkey % 3")
+def mesh_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables.register(spark)
+    return spark.sql("SELECT s_suppkey, p.point_id, p.lon, p.lat FROM {s} s, LATERAL mesh_points(2.5D, CAST(s_nationkey AS DOUBLE), s_nationkey + 2.5D * (s_suppkey % 3), -10D, -5D) p", s=table(spark, sf_dir, "supplier"))
 
 
 # --- measures of networks in space --------------------------------------------------------------
@@ -613,10 +690,19 @@ def time_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", *(time_index(F.col("o_orderdate"), ref, f).alias(f.lower()) for f in "DWM"))
 
 
-@query("SELECT n_nationkey AS loc, CAST(100 AS BIGINT) AS steps FROM nation")
+DRAWN = """cells AS (SELECT s_suppkey AS loc, CAST(unnest(range(30)) AS INTEGER) AS t_idx FROM supplier), digest AS (SELECT loc, t_idx, md5('7:' || loc || ':' || t_idx) AS h FROM cells),
+    drawn AS (SELECT loc, t_idx, (CAST('0x' || substr(h, 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656 AS u, (CAST('0x' || substr(h, 13, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656 AS v FROM digest)"""
+
+
+@query(f"WITH {DRAWN} SELECT loc, t_idx, round(sqrt(-2 * ln(u)) * cos(2 * pi() * v), 6) + 0.0 AS value FROM drawn")
 def synthetic_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A seeded field has the asked shape; its values depend on the engine."""
-    return synthetic.seeded_field(spark, table(spark, sf_dir, "nation").count(), 100).groupBy(F.col("loc").cast("int").alias("loc")).agg(F.count("value").alias("steps"))
+    """Seeded noise at the suppliers, value by value."""
+    return synthetic.field_of(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("loc")), 30, 7).withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+@query(f"WITH {DRAWN} SELECT loc, t_idx FROM drawn WHERE u < 0.2")
+def synthetic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.events_of(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("loc")), 30, 0.2, 7)
 
 
 # --- sources and sinks --------------------------------------------------------------------------
@@ -624,7 +710,7 @@ def synthetic_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{CNT} SELECT a, b, k FROM cnt WHERE a BETWEEN 10 AND 69 AND b BETWEEN 20 AND 99")
 def blocks_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = blocks.scratch_path(spark, "blocks")
+    path = scratch_path(spark, "blocks")
     blocks.write_blocks(base_counts(spark, sf_dir), path, size=50)
     return blocks.read_blocks(spark, path, 50, (10, 69), (20, 99))
 
@@ -632,18 +718,66 @@ def blocks_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{CNT} SELECT a, b, k FROM cnt")
 def blocks_roundtrip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every block that was written."""
-    path = blocks.scratch_path(spark, "blocks")
+    path = scratch_path(spark, "blocks")
     blocks.write_blocks(base_counts(spark, sf_dir), path, size=50)
     return blocks.read_blocks(spark, path, 50)
 
 
-@query("SELECT value FROM (SELECT unnest(['gridtype\t= unstructured', 'gridsize\t= 6', 'xsize\t= 6', 'ysize\t= 6', 'xvals\t= -120.0   0.0   120.0   -120.0   0.0   120.0', 'yvals\t= -45.0   -45.0   -45.0   45.0   45.0   45.0', 'xunits\t= degrees', 'yunits\t= degrees']) AS value)")
+def gridfile_sql() -> str:
+    part = "SELECT CASE WHEN k // 8 = 0 THEN '{name}' || chr(9) || '= ' ELSE chr(9) || '  ' END || string_agg(CAST(CAST({column} AS DECIMAL(18, 6)) AS VARCHAR), '   ' ORDER BY k) AS value FROM pt GROUP BY k // 8"
+    heads = "SELECT unnest(['gridtype' || chr(9) || '= unstructured', 'gridsize' || chr(9) || '= ' || n, 'xsize' || chr(9) || '= ' || n, 'ysize' || chr(9) || '= ' || n, 'xunits' || chr(9) || '= degrees', 'yunits' || chr(9) || '= degrees']) AS value FROM (SELECT count(*) AS n FROM pt)"
+    return f"WITH {SPOTS}, pt AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS k, lon, lat FROM spots) {heads} UNION ALL {part.format(name='xvals', column='lon')} UNION ALL {part.format(name='yvals', column='lat')}"
+
+
+@query(gridfile_sql())
 def gridfile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = blocks.scratch_path(spark, "gridfile")
-    blocks.write_gridfile(grids.regular_grid(spark, 120.0, 90.0), path)
+    """The suppliers' places as a grid description, written and read."""
+    path = scratch_path(spark, "gridfile")
+    blocks.write_gridfile(spots(spark, sf_dir).withColumnRenamed("s_suppkey", "point_id"), path)
     return spark.read.text(path)
 
 
+@query(f"WITH {DIRECTIONS} SELECT point_id, round(lon, 6) + 0.0 AS lon, round(lat, 6) + 0.0 AS lat FROM dirs")
+def grid_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "grid")
+    blocks.save_grid(directions(spark, sf_dir), path)
+    return rounded(blocks.load_grid(spark, path))
+
+
+@query(f"WITH {FIELD}, place AS (SELECT loc AS user_id, row_number() OVER (ORDER BY loc) - 1 AS loc FROM (SELECT DISTINCT loc FROM field)), {FIB.format(e='0.36::DOUBLE', n=2000)} SELECT p.loc, round(lat, 6) + 0.0 AS lat, round(lon, 6) + 0.0 AS lon, t_idx, round(value, 6) AS value FROM field f JOIN place p ON p.user_id = f.loc JOIN fib ON user_id % 2000 = point_id")
+def netcdf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly field of all users in files of the classic format, 100 hours each, read again."""
+    place = materialise(axis.numbered(user_spots(spark, sf_dir).withColumnRenamed("loc", "user_id"), ["user_id"], "loc"), "places")
+    field = hourly(spark, sf_dir).withColumnRenamed("loc", "user_id").join(place, "user_id").select("loc", "t_idx", "value")
+    path = scratch_path(spark, "netcdf")
+    netcdf.write_field(field, place, path, 100)
+    return rounded(netcdf.read_field(spark, path)).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {FIELD} SELECT loc AS \"locA\", t_idx, value AS \"valueA\" FROM field")
+def dim_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return axis.with_suffix(hourly(spark, sf_dir), "A")
+
+
+@query(f"WITH {BASE}, {window_sql('trigger', TRIGGER)}, {count_sql()} SELECT a, b, k FROM cnt")
+def window_precondition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts from a window made before, whose kind and rule it carries and is checked by."""
+    ev, nodes = extremes(spark, sf_dir), users(spark, sf_dir)
+    window = windows.trigger_window(ev, STEPS, TRIGGER)
+    kind, rule = windows.window_kind(window)
+    if rule != TRIGGER:
+        raise ValueError("the window was made by another rule")
+    return pairs.from_window(kind, window, ev, nodes, nodes, STEPS)
+
+
+@query(f"WITH {FIELD}, {EV}, {window_sql('precursor', WINDOW_CASES['lag'])} SELECT 'precursor' AS kind, 2 AS delta, true AS symmetric, 3 AS tau, count(*) AS cells FROM win")
+def window_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a window says of itself after it was written and read."""
+    made = materialise(windows.precursor_window(extremes(spark, sf_dir), STEPS, WINDOW_CASES["lag"]), "window")
+    kind, rule = windows.window_kind(made)
+    return made.agg(F.lit(kind).alias("kind"), F.lit(rule.delta).alias("delta"), F.lit(rule.symmetric).alias("symmetric"), F.lit(rule.tau).alias("tau"), F.count("*").alias("cells"))
+
+
 @query(f"WITH {BASE}, {window_sql('precursor', RULE)}, {count_sql()} SELECT a, b, k, CAST(a // 40 AS INTEGER) AS bi, CAST(b // 40 AS INTEGER) AS bj FROM cnt WHERE k > 0")
 def block_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any function over pairs of blocks: here counts by pandas, where they are not zero."""
@@ -658,23 +792,55 @@ def block_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def voronoi_gridfile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grid description with the cells' corners."""
-    grid = grids.fibonacci_points(spark, 60)
-    at = grid.orderBy("point_id").toPandas()
-    cells = voronoi.voronoi_cells(at["lon"].to_numpy(), at["lat"].to_numpy())
-    lon, lat = ([float(p[k]) for c in cells for p in c] for k in (0, 1))
-    return blocks.gridfile_lines(grid, (lon, lat, len(cells[0])))
+    """A grid description of given points with the corners of their cells."""
+    grid = directions(spark, sf_dir)
+    return blocks.gridfile_lines(grid, voronoi.even_corners(voronoi.voronoi_cells(grid)))
+
+
+def streamed(spark: SparkSession, sf_dir: str, layer: str | None = None) -> DataFrame:
+    """The events as a stream of loc, time, value."""
+    schema = table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    rows = rows.where(F.col("event_type") == layer) if layer else rows
+    return rows.select(F.col("user_id").alias("loc"), F.col("ts").cast("timestamp").alias("time"), "value")
+
+
+def ended(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream has appended once all that is there has been read."""
+    spark = stream.sparkSession
+    out, mark = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'error' AND value >= 50), p AS (SELECT user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'purchase' AND value >= 50)
+    SELECT e.user_id AS a, e.t AS time_a, p.user_id AS b, p.t AS time_b FROM e JOIN p ON p.t BETWEEN e.t + 60000000 AND e.t + 660000000""")
+def stream_precursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors and the purchases that follow after one to eleven minutes, joined as streams."""
+    one, two = (stream_events(streamed(spark, sf_dir, layer), 50.0) for layer in ("error", "purchase"))
+    found = ended(coincidence.stream_precursors(one, two, 600, 60), "precursors")
+    return found.select("a", F.unix_micros("time_a").alias("time_a"), "b", F.unix_micros("time_b").alias("time_b"))
+
+
+@query("""WITH w AS (SELECT user_id AS loc, epoch_us(date_trunc('hour', ts)) AS start, count(*) AS n FROM events GROUP BY ALL)
+    SELECT loc, start, n FROM w WHERE start + 3600000000 <= (SELECT epoch_ms(max(ts)) * 1000 - 600000000 FROM events)""")
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events an hour and user, as far as the watermark has passed the hour."""
+    counted = ended(coincidence.stream_counts(streamed(spark, sf_dir), "1 hour"), "counts")
+    return counted.select("loc", F.unix_micros("window.start").alias("start"), "n")
 
 
 @query("SELECT user_id AS loc, ts AS time, value FROM events WHERE value >= 100")
 def stream_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = table(spark, sf_dir, "events")
-    out, mark = blocks.scratch_path(spark, "stream"), blocks.scratch_path(spark, "stream-state")
-    rows = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]").select(F.col("user_id").alias("loc"), F.col("ts").alias("time"), "value")
-    stream_events(rows, 100.0).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    return ended(stream_events(streamed(spark, sf_dir).withColumn("time", F.col("time").cast("timestamp_ntz")), 100.0), "extremes")
 
 
 @query(f"WITH {BASE}, days AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events) SELECT CAST(d AS VARCHAR) AS time, CAST(row_number() OVER (ORDER BY d) - 1 AS INTEGER) AS t_idx FROM days")
 def axis_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return axis.time_axis(table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("time"))).select(F.col("time").cast("string").alias("time"), "t_idx")
+
+
+@query(f"WITH {PRE} SELECT a, b, confidence >= (SELECT quantile_cont(CAST(confidence AS DOUBLE), 0.9) FROM conf) AS link FROM conf")
+def link_quantile_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Above the quantile of numbers that are mostly different."""
+    return links.by_quantile(confidences(spark, sf_dir, "precursor", RULE), "confidence", 0.9).select("a", "b", "link")

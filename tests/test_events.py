@@ -262,8 +262,8 @@ def test_null_model_queries_reach_the_largest_count(spark, tmp_path):
     sf = burst_tables(spark, tmp_path, hours)
     crit = {(r["noe_a"], r["noe_b"], r["significance"]): r["crit"] for r in queries.null_model(spark, sf).collect()}
     assert set(crit) == {(a, b, s) for a in range(19) for b in range(19) for s in (0.05, 0.01)}
-    # the draws of the reference, by their number
-    scores = significance.null_scores(np.arange(720), 18, 7, 30, 2000, 1, False)
+    # the draws of the rule, range by range
+    scores = np.concatenate([significance.null_scores(np.arange(720), 18, 7, 30, significance.DRAWS, 1, False, k) for k in range(2000 // significance.DRAWS)])
     assert crit[18, 7, 0.05] == crit[7, 18, 0.05] == max(2, int(np.percentile(scores, 95)))
     n = {1: 18, 2: 18, 3: 7, 4: 2, 99: 0}
     got = {(r["a"], r["b"]): r for r in queries.es_network_null_model(spark, sf).collect()}
