@@ -9,12 +9,16 @@ tree, however deep, with a probability of about 0.82 (a branching process with `
 each lost with 0.15), so twelve independent trees miss it with one of about 10^-9, and any pair more
 alike with less.
 
-Comparison: sizes first, then two bits of each token of the pool, of which linked sets differ in
-more than `apart` with a probability below 10^-9; what passes is confirmed on the full sets. In a
-node documents are first held against leaders (a document that no leader resembles leads). Links so
-confirmed connect most copies, and a node whose documents are all connected is over. In the others
-documents that are not connected yet are compared, and large ones branch again. A node that is
-still large after the deepest level is compared by pairs of blocks, so no pair of a node is left out.
+Small nodes: sizes and two bits of each token of the pool are held against each other for all pairs
+of the node (linked sets differ in more than `apart` bits with a probability below 10^-9). What so
+resembles each other, however indirectly, is a group; trees mostly find the same groups, and each is
+kept once. A group's full sets are then intersected, all pairs at once, and only links that connect
+something leave the task.
+
+Large nodes: links of all documents to one of the node connect most copies, and a node whose documents
+are all connected is over. One with few documents apart is cut into parts, each with these few; in
+others documents go down to the children. What is still large after the deepest level is cut into
+blocks, and all pairs of blocks are nodes. So no pair of a node is left out.
 
 Equal sets are one point from the start; rows are joined to their set at the end.
 
@@ -26,28 +30,30 @@ no rows, columns other than the id and the text are ignored; a very long text is
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, id_and_text, materialise, mix64, parts_for, row_chunks, text_buffer
+from .common import GOLDEN, by_key, id_and_text, materialise, mix64, parts_for, row_chunks, text_buffer
 from .components import components
 from .jaccard import Rule, fetch_sets, known_id, row_key, set_id, shingle_sets, short_id
 
 
 @dataclass(frozen=True)
 class Search:
-    """Trees; tokens that a large node selects; documents of a small node; levels of a tree; bits of
-    256 in which linked sets may differ."""
+    """Trees; tokens that a large node selects; documents and shingles of a small node; levels of a
+    tree; bits of 256 in which linked sets may differ."""
 
     trees: int = 12
     branch: int = 2
-    small: int = 2048
+    small: int = 4096
+    shingles: int = 1 << 22
     depth: int = 8
     apart: int = 52
 
@@ -123,7 +129,7 @@ def numbers_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return t["n"].to_numpy(), np.stack([t[c].to_numpy() for c in SKETCH], axis=1).view(np.uint64)
 
 
-def nodes_of(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[tuple[pa.Table, bool]]:
+def nodes_of(batches: Iterator[pa.RecordBatch], search: Search) -> Iterator[tuple[pa.Table, bool]]:
     """Rows sorted by node: some whole small nodes together, or a part of a large one, which is True."""
     held: pa.Table | None = None
     large: int | None = None
@@ -143,26 +149,31 @@ def nodes_of(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[tuple[pa
                 continue
             large = None
         cut = int(np.searchsorted(node, node[-1], side="left"))
-        yield from _split(t.slice(0, cut), small)
+        yield from _split(t.slice(0, cut), search)
         held = t.slice(cut)
-        if held.num_rows > small:
+        if _is_large(np.array([held.num_rows]), np.array([held["n"].to_numpy().sum()]), search)[0]:
             yield held, True
             held, large = None, int(node[-1])
     if held is not None:
-        yield from _split(held, small)
+        yield from _split(held, search)
+
+
+def _is_large(rows: np.ndarray, shingles: np.ndarray, search: Search) -> np.ndarray:
+    return (rows > 2) & ((rows > search.small) | (shingles > search.shingles))
 
 
-def _split(t: pa.Table, small: int) -> Iterator[tuple[pa.Table, bool]]:
+def _split(t: pa.Table, search: Search) -> Iterator[tuple[pa.Table, bool]]:
     """Whole nodes: those of one row go, large ones alone, the others together."""
     node = t["node"].to_numpy()
     if not len(node):
         return
     start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
     count = np.diff(np.append(start, len(node)))
-    several = np.repeat((count > 1) & (count <= small), count)
+    large = _is_large(count, np.add.reduceat(t["n"].to_numpy().astype(np.int64), start), search)
+    several = np.repeat((count > 1) & ~large, count)
     if several.any():
         yield t.filter(pa.array(several)), False
-    for a, n in zip(start[count > small].tolist(), count[count > small].tolist(), strict=True):
+    for a, n in zip(start[large].tolist(), count[large].tolist(), strict=True):
         yield t.slice(a, n), True
 
 
@@ -171,71 +182,112 @@ def bounds_of(node: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start.tolist(), np.append(start[1:], len(node)).tolist(), strict=True))
 
 
-def led(entries: DataFrame, rule: Rule, search: Search, n_parts: int) -> DataFrame:
-    """Rows of nodes: those of small ones that resemble some other, and all of large ones; hub is the
-    leader that a row resembles."""
+def reached(a: int, z: int, near) -> list[list[int]]:  # noqa: ANN001
+    """Groups of two or more of the rows a to z that `near` (which of a to z a row is near) connects."""
+    free, groups = np.ones(z - a, bool), []
+    while free.any():
+        queue = [int(free.argmax())]
+        free[queue[0]] = False
+        for k in queue:
+            if not free.any():
+                break
+            new = np.flatnonzero(near(a + k) & free)
+            free[new] = False
+            queue += new.tolist()
+        if len(queue) > 1:
+            groups.append(sorted(a + k for k in queue))
+    return groups
+
+
+def compared(entries: DataFrame, rule: Rule, search: Search, n_parts: int) -> DataFrame:
+    """Rows of small nodes in groups that resemble each other, node being the group's name, and all
+    rows of large nodes; hub is the document of a large node that a row resembles."""
+
+    def ended(t: pa.Table, node: pa.Array, hub: list[bytes | None], large: bool) -> list[pa.RecordBatch]:
+        kept = ["set_id", "n", *SKETCH]
+        return pa.table([node, *(t[c] for c in kept), pa.array(hub, pa.binary()), pa.array(np.full(len(hub), large))], ["node", *kept, "hub", "large"]).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: tuple | None = None
-        for t, large in nodes_of(batches, search.small):
+        for t, large in nodes_of(batches, search):
             size, bits = numbers_of(t)
             ids = t["set_id"].to_pylist()
-            hub: list[bytes | None] = [None] * len(ids)
-            keep = np.ones(len(ids), bool)
             if large:
                 # the first row of the node leads all of it, also parts that come later
                 node = t["node"][0].as_py()
                 if first is None or first[0] != node:
                     first = (node, ids[0], size[0], bits[0])
                 near = alike(np.append(size, first[2]), np.append(bits, first[3][None], axis=0), len(ids), slice(0, len(ids)), rule, search)
-                for k in np.flatnonzero(near).tolist():
-                    hub[k] = first[1] if ids[k] != first[1] else None
-            else:
-                keep[:] = False
-                for a, z in bounds_of(t["node"].to_numpy()):
-                    free = np.ones(z - a, bool)
-                    while free.any():
-                        k = a + int(free.argmax())
-                        near = alike(size, bits, k, slice(a, z), rule, search)
-                        near[k - a] = False
-                        keep[k] |= near.any()
-                        keep[a:z] |= near
-                        free[k - a] = False
-                        for x in np.flatnonzero(near & free).tolist():
-                            hub[a + x] = ids[k]
-                        free &= ~near
-            if keep.any():
-                out = t.append_column("hub", pa.array(hub, pa.binary())).append_column("large", pa.array(np.full(len(ids), large)))
-                yield from out.filter(pa.array(keep)).to_batches()
+                hub = [first[1] if x and i != first[1] else None for i, x in zip(ids, near.tolist(), strict=True)]
+                yield from ended(t, t["node"], hub, True)
+                continue
+            rows, names = [], []
+            for a, z in bounds_of(t["node"].to_numpy()):
+                for group in reached(a, z, lambda k, a=a, z=z: alike(size, bits, k, slice(a, z), rule, search)):
+                    rows += group
+                    names += [short_id(hashlib.blake2b(b"".join(ids[k] for k in group), digest_size=8).digest())] * len(group)
+            if rows:
+                yield from ended(t.take(pa.array(rows)), pa.array(names, pa.int64()), [None] * len(rows), False)
 
     rows = entries.repartition(n_parts, "node").sortWithinPartitions("node", "set_id")
     return rows.mapInArrow(run, NODE + ", hub binary, large boolean")
 
 
-def rest(entries: DataFrame, rule: Rule, search: Search, n_parts: int) -> DataFrame:
-    """u, v: documents of a small node with different labels that resemble each other."""
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share. Shingles of many sets are multiplied as columns of a
+    matrix, those of few sets are met pair by pair."""
+    m = len(sets)
+    own = np.repeat(np.arange(m), [len(x) for x in sets])
+    names, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((m, m), np.float32)
+    dense = often > max(m // 16, 8)
+    place = np.cumsum(dense) - 1
+    many = dense[column]
+    if many.any():
+        for lo in range(0, int(dense.sum()), 4096):
+            at = many & (place[column] >= lo) & (place[column] < lo + 4096)
+            x = np.zeros((m, min(4096, int(dense.sum()) - lo)), np.float32)
+            x[own[at], place[column[at]] - lo] = 1
+            out += x @ x.T
+    few = ~many & (often[column] > 1)
+    order = np.lexsort((own[few], column[few]))
+    who, what = own[few][order], column[few][order]
+    flat = out.ravel()
+    for step in range(1, len(who)):
+        same = np.flatnonzero(what[step:] == what[:-step])
+        if not len(same):
+            break
+        x, y = who[same], who[same + step]
+        np.add.at(flat, x * m + y, 1)
+        np.add.at(flat, y * m + x, 1)
+    out[np.arange(m), np.arange(m)] = [len(x) for x in sets]
+    return out.astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _ in nodes_of(batches, 1 << 62):
-            size, bits = numbers_of(t)
-            label, ids = t["label"].to_numpy(), t["set_id"].to_pylist()
-            u, v = [], []
-            for a, z in bounds_of(t["node"].to_numpy()):
-                values, times = np.unique(label[a:z], return_counts=True)
-                if len(values) < 2:
-                    continue
-                # of two that differ one at least stands outside the commonest label
-                main = label[a:z] == values[times.argmax()]
-                for k in (a + np.flatnonzero(~main)).tolist():
-                    near = alike(size, bits, k, slice(a, z), rule, search) & (label[a:z] != label[k])
-                    near[: k - a] &= main[: k - a]
-                    for x in np.flatnonzero(near).tolist():
-                        u.append(min(ids[k], ids[a + x]))
-                        v.append(max(ids[k], ids[a + x]))
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
-    rows = entries.repartition(n_parts, "node").sortWithinPartitions("node", "set_id")
+def group_links(groups: DataFrame, sets: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
+    """u, v: links inside groups (node, set_id), by the full sets, enough to connect what they connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_key(batches, "node"):
+            ids = t["set_id"].to_pylist()
+            found = [np.frombuffer(h, np.uint64) for h in t["hashes"].to_pylist()]
+            if len(ids) < 2:
+                continue
+            size = np.array([len(x) for x in found])
+            linked = rule.linked(common_shingles(found), size[:, None], size[None, :])
+            made, free = [], np.ones(len(ids), bool)
+            while free.any():
+                queue = [int(free.argmax())]
+                free[queue[0]] = False
+                for k in queue:
+                    new = np.flatnonzero(linked[k] & free).tolist()
+                    free[new] = False
+                    queue += new
+                    made += [(ids[k], ids[x]) for x in new]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*made, strict=True)], ["u", "v"])
+
+    rows = groups.join(sets, "set_id").select("node", "set_id", "hashes").repartition(n_parts, "node").sortWithinPartitions("node")
     return rows.mapInArrow(run, "u binary, v binary").distinct()
 
 
@@ -274,20 +326,40 @@ def children(entries: DataFrame, points: DataFrame, search: Search) -> DataFrame
     return entries.join(points.select("set_id", "tokens"), "set_id").select("node", "set_id", "n", *SKETCH, "tokens").mapInArrow(run, NODE)
 
 
+def _cut(of: Column, share: int, search: Search) -> Column:
+    """Parts of the rows that `of` says, so that each is such a share of a small node."""
+    rows, shingles = F.sum(of.cast("int")), F.sum(F.when(of, F.col("n")).otherwise(0).cast("long"))
+    return F.greatest(F.ceil(rows * share / search.small), F.ceil(shingles * share / search.shingles), F.lit(1)).cast("int")
+
+
 def by_blocks(entries: DataFrame, search: Search) -> DataFrame:
     """Large nodes as nodes of two blocks each, all pairs of them."""
-    blocks = entries.groupBy("node").agg(F.ceil(F.count("*") / (search.small // 2)).cast("int").alias("blocks"))
+    blocks = entries.groupBy("node").agg(_cut(F.lit(True), 3, search).alias("blocks"))
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     dealt = entries.join(blocks, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).drop("blocks", "own", "other")
+    return dealt.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).select("node", "set_id", "n", *SKETCH)
+
+
+def in_parts(entries: DataFrame, search: Search) -> DataFrame:
+    """Large nodes in which few documents stand apart from the connected ones: parts of these, each
+    with all of the few. entries: also main, whether a document is one of the connected."""
+    parts = entries.groupBy("node").agg(_cut(F.col("main"), 3, search).alias("parts"))
+    own = F.array(F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
+    dealt = entries.join(parts, "node").withColumn("part", F.explode(F.when(F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    return dealt.withColumn("node", F.xxhash64("node", "part")).select("node", "set_id", "n", *SKETCH)
 
 
-def labelled(alive: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """Rows of nodes that links have not connected yet, with a label for what is connected."""
+def unconnected(alive: DataFrame, links: list[DataFrame], search: Search) -> DataFrame:
+    """Rows of nodes that links have not connected: also main, whether the row is of the node's largest
+    connected part, and few, whether no more than a third of a small node is not."""
     roots = components(reduce(DataFrame.unionByName, links)).withColumnsRenamed({"node": "set_id"}).select("set_id", F.xxhash64("root").alias("root"))
-    named = alive.join(roots, "set_id", "left").select("node", "set_id", "n", *SKETCH, "large", F.coalesce("root", F.xxhash64("set_id")).alias("label"))
-    open_ = named.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("node")
-    return materialise(named.join(open_, "node", "left_semi"), "open")
+    named = materialise(alive.join(roots, "set_id", "left").select("node", "set_id", "n", *SKETCH, F.coalesce("root", F.xxhash64("set_id")).alias("label")), "labels")
+    counts = named.groupBy("node", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    largest = F.max(F.struct("rows", "shingles", "label"))
+    nodes = counts.groupBy("node").agg(largest.alias("top"), (F.sum("rows") - F.max("rows")).alias("apart"), (F.sum("shingles") - largest["shingles"]).alias("apart_shingles")).where("apart > 0")
+    few = (F.col("apart") <= search.small // 3) & (F.col("apart_shingles") <= search.shingles // 3)
+    nodes = nodes.select("node", F.col("top.label").alias("main_label"), few.alias("few"))
+    return materialise(named.join(nodes, "node").select("node", "set_id", "n", *SKETCH, (F.col("label") == F.col("main_label")).alias("main"), "few"), "open")
 
 
 def near_links(read: DataFrame, points: DataFrame, rule: Rule, search: Search) -> list[DataFrame]:
@@ -295,34 +367,29 @@ def near_links(read: DataFrame, points: DataFrame, rule: Rule, search: Search) -
     spark = read.sparkSession
     one = points.select("set_id", "set_key", "first.doc_id", "first.txt").select("set_id", "set_key", known_id().alias("doc"), "txt")
     entries = points.select("set_id", "n", *SKETCH, F.posexplode("roots").alias("tree", "root")).select(F.xxhash64("tree", "root").alias("node"), "set_id", "n", *SKETCH)
-    n_parts = parts_for(spark, points.count() * search.trees * 64)
+    rows, shingles = points.agg(F.count("*"), F.sum("n")).first()
+    n_parts, n_leaves = parts_for(spark, rows * search.trees * 64), parts_for(spark, 8 * (shingles or 0))
     sets: list[DataFrame] = []
     links: list[DataFrame] = []
-    for level in range(search.depth + 1):
-        alive = materialise(led(entries, rule, search, n_parts), "alive")
-        # both ends of what is to be compared: leaders are rows of their node
-        tried = materialise(alive.where("hub is not null").select(F.least("set_id", "hub").alias("u"), F.greatest("set_id", "hub").alias("v")).distinct(), "tried")
-        wanted = alive.where("not large").select("set_id").union(tried.select("u")).union(tried.select("v")).distinct()
+    for level in range(search.depth + 2):
+        whole = replace(search, small=1 << 62, shingles=1 << 62) if level > search.depth else search
+        alive = materialise(compared(entries, rule, whole, n_parts), "alive")
+        groups = alive.where("not large").select("node", "set_id").distinct()
+        large = alive.where("large")
+        hubs = large.where("hub is not null").select(F.least("set_id", "hub").alias("u"), F.greatest("set_id", "hub").alias("v")).distinct()
+        wanted = groups.select("set_id").union(hubs.select("u")).union(hubs.select("v")).distinct()
         if sets:
             wanted = wanted.join(reduce(DataFrame.unionByName, sets).select("set_id"), "set_id", "left_anti")
-        if level == 0 or not wanted.isEmpty():
-            sets.append(materialise(fetch_sets(read, one.join(wanted, "set_id", "left_semi"), rule).select("set_id", "hashes"), "shingles"))
+        sets.append(materialise(fetch_sets(read, one.join(wanted, "set_id", "left_semi"), rule).select("set_id", "hashes"), "shingles"))
         every = reduce(DataFrame.unionByName, sets)
-        links.append(materialise(confirmed(tried, every, rule), "links"))
-        open_ = labelled(alive, links)
-        large = open_.where("large")
-        last = level == search.depth
-        pairs = rest(open_.where("not large"), rule, search, n_parts).join(tried, ["u", "v"], "left_anti")
-        links.append(materialise(confirmed(pairs, every, rule), "links"))
+        links.append(materialise(group_links(groups, every, rule, n_leaves), "links"))
         if large.isEmpty():
             break
-        if last:
-            ends = large.select("set_id").distinct().join(every.select("set_id"), "set_id", "left_anti")
-            sets.append(materialise(fetch_sets(read, one.join(ends, "set_id", "left_semi"), rule).select("set_id", "hashes"), "shingles"))
-            pairs = rest(by_blocks(large, search), rule, search, n_parts)
-            links.append(materialise(confirmed(pairs, reduce(DataFrame.unionByName, sets), rule), "links"))
-        else:
-            entries = children(large, points, search)
+        links.append(materialise(confirmed(hubs, every, rule), "links"))
+        open_ = unconnected(large, links, search)
+        deeper = open_.where("not few")
+        deeper = children(deeper, points, search) if level < search.depth else by_blocks(deeper, search)
+        entries = in_parts(open_.where("few"), search).unionByName(deeper)
     return links
 
 

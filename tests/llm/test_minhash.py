@@ -57,7 +57,7 @@ def families(seed, copies=(1, 2, 3, 30), families=9):
     return texts
 
 
-@pytest.mark.parametrize("search", [Search(), Search(small=3, depth=2), Search(small=8, depth=0)])
+@pytest.mark.parametrize("search", [Search(), Search(small=6, depth=2), Search(small=9, depth=0), Search(shingles=900, depth=1)])
 def test_components(spark, search):
     texts = families(5)
     rows = [(k if k % 17 else None, t) for k, t in enumerate(texts)]
@@ -92,10 +92,17 @@ def test_a_tree_keeps_linked_pairs():
     assert np.mean(differ) < 20
 
 
-def test_large_nodes_are_read_in_parts(spark):
-    """A node that spans batches is one node, with one leader."""
-    t = minhash.pa.table({"node": [1, 2, 2, 3, 3, 3, 3, 3, 4, 5, 5], "k": list(range(11))})
+def test_large_nodes_are_read_in_parts():
+    """A node that spans batches is one node."""
+    t = minhash.pa.table({"node": [1, 2, 2, 3, 3, 3, 3, 3, 4, 5, 5], "k": list(range(11)), "n": [1] * 11})
     for size in (1, 2, 3, 11):
-        seen = [(p["k"].to_pylist(), large) for p, large in minhash.nodes_of(iter(t.to_batches(size)), 3)]
+        seen = [(p["k"].to_pylist(), large) for p, large in minhash.nodes_of(iter(t.to_batches(size)), Search(small=3))]
         assert [k for p, large in seen if large for k in p] == [3, 4, 5, 6, 7]
         assert [k for p, large in seen if not large for k in p] == [1, 2, 9, 10]
+
+
+def test_common_shingles():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate((rng.integers(0, 40, 12), rng.integers(0, 10_000, k % 90)))).astype(np.uint64) for k in range(300)]
+    got = minhash.common_shingles(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(0, 300, 7) for j in range(300))
