@@ -226,11 +226,11 @@ class StepRange(InputPartition):
 
 
 class FieldReader(DataSourceReader):
-    def __init__(self, path: str, variable: str) -> None:
+    def __init__(self, path: str, variable: str, range_bytes: int = RANGE_BYTES) -> None:
         found = sorted(glob(os.path.join(local(path), "*.nc"))) if os.path.isdir(local(path)) else [local(path)]
         if not all(map(os.path.exists, found)):
             raise FileNotFoundError(path)
-        self.paths, self.variable, self.low, self.high = found, variable, -math.inf, math.inf
+        self.paths, self.variable, self.range_bytes, self.low, self.high = found, variable, range_bytes, -math.inf, math.inf
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         """Bounds of t_idx leave out ranges; all filters are applied to the rows again."""
@@ -246,7 +246,7 @@ class FieldReader(DataSourceReader):
         out = []
         for path in self.paths:
             header = read_header(path)
-            each = max(1, RANGE_BYTES // max(1, header.record_size))
+            each = max(1, self.range_bytes // max(1, header.record_size))
             for first in range(0, header.records, each):
                 last = min(first + each, header.records)
                 ends = read_records(path, header, "time", first, first + 1)[0, 0], read_records(path, header, "time", last - 1, last)[0, 0]
@@ -268,7 +268,8 @@ class FieldReader(DataSourceReader):
 
 
 class FieldSource(DataSource):
-    """spark.read.format("netcdf_field"): options path (a file, or a folder of .nc files) and variable."""
+    """spark.read.format("netcdf_field"): options path (a file, or a folder of .nc files),
+    variable, and range_bytes, how much a task reads about."""
 
     @classmethod
     def name(cls) -> str:
@@ -278,7 +279,7 @@ class FieldSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return FieldReader(self.options["path"], self.options.get("variable", "value"))
+        return FieldReader(self.options["path"], self.options.get("variable", "value"), int(self.options.get("range_bytes", RANGE_BYTES)))
 
 
 def register(spark: SparkSession) -> None:
@@ -286,10 +287,10 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # Spark asks for it of sources that take filters
 
 
-def read_field(spark: SparkSession, path: str, variable: str = "value") -> DataFrame:
+def read_field(spark: SparkSession, path: str, variable: str = "value", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """loc, lat, lon, t_idx, value of all files of a folder, or of one file."""
     register(spark)
-    return spark.read.format("netcdf_field").option("path", path).option("variable", variable).load()
+    return spark.read.format("netcdf_field").option("path", path).option("variable", variable).option("range_bytes", range_bytes).load()
 
 
 # --- writing ------------------------------------------------------------------------------------
