@@ -7,7 +7,8 @@ merge can reach across, and everything outside is proven unchanged. Decoding is
 concatenation up the same tree.
 
 Cases: a null text is empty; an empty text has no tokens (hash of nothing); repeated rows give
-repeated results; columns other than the id and the text are ignored.
+repeated results, and an empty table no rows; a very long text is one tree, whole; columns other
+than the id and the text are ignored.
 """
 
 from __future__ import annotations

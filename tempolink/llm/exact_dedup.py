@@ -8,8 +8,9 @@ nonmember and forms a group of its own. Aggregation before every shuffle bounds
 sends; groups with a thousandth of all rows or more, a thousand at most, are broadcast at the end.
 
 Cases: a null text counts as empty, and empty texts are equal; of rows with the same smallest id
-one stays; a null id stands after all others; an empty table gives no rows; columns other than
-the id and the text are ignored.
+one stays; a null id stands after all others; a very long text is its
+digest like any other; an empty table gives no rows; columns other than the id and the text are
+ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ mu-law samples, losslessly, and `pcm2` has the target rate and the 16-bit PCM re
 `store_pcm` gives that PCM as a file of its own.
 
 Cases: a null text is empty; an empty payload is one block of 64 zero bytes; equal texts give
-equal values; columns other than the id and the text are ignored.
+equal values, and an empty table no rows; a very long text is one file, of up to 858 MB of text, as
+a WAVE file counts its bytes in 32 bits (struct.error beyond); columns other than the id and the
+text are ignored.
 """
 
 from __future__ import annotations

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, by_key, id_and_text, materialise, mix64, parts_for, row_chunks, text_buffer
+from .common import GOLDEN, bounded, by_key, id_and_text, materialise, mix64, parts_for, row_chunks, text_buffer
 from .components import components
 from .jaccard import Rule, fetch_sets, known_id, row_key, set_id, shingle_sets, short_id
 
@@ -52,8 +52,8 @@ class Search:
 
     trees: int = 12
     branch: int = 2
-    small: int = 4096
-    shingles: int = 1 << 22
+    small: int = 3072
+    shingles: int = 1 << 21
     depth: int = 8
     apart: int = 52
 
@@ -244,9 +244,9 @@ def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
     place = np.cumsum(dense) - 1
     many = dense[column]
     if many.any():
-        for lo in range(0, int(dense.sum()), 4096):
-            at = many & (place[column] >= lo) & (place[column] < lo + 4096)
-            x = np.zeros((m, min(4096, int(dense.sum()) - lo)), np.float32)
+        for lo in range(0, int(dense.sum()), 1024):
+            at = many & (place[column] >= lo) & (place[column] < lo + 1024)
+            x = np.zeros((m, min(1024, int(dense.sum()) - lo)), np.float32)
             x[own[at], place[column[at]] - lo] = 1
             out += x @ x.T
     few = ~many & (often[column] > 1)
@@ -261,7 +261,7 @@ def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
         np.add.at(flat, x * m + y, 1)
         np.add.at(flat, y * m + x, 1)
     out[np.arange(m), np.arange(m)] = [len(x) for x in sets]
-    return out.astype(np.int64)
+    return out  # whole numbers, of which single precision holds as many as a node has shingles
 
 
 def group_links(groups: DataFrame, sets: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
@@ -274,13 +274,13 @@ def group_links(groups: DataFrame, sets: DataFrame, rule: Rule, n_parts: int) ->
             if len(ids) < 2:
                 continue
             size = np.array([len(x) for x in found])
-            linked = rule.linked(common_shingles(found), size[:, None], size[None, :])
+            common = common_shingles(found)
             made, free = [], np.ones(len(ids), bool)
             while free.any():
                 queue = [int(free.argmax())]
                 free[queue[0]] = False
                 for k in queue:
-                    new = np.flatnonzero(linked[k] & free).tolist()
+                    new = np.flatnonzero(rule.linked(common[k].astype(np.int64), size[k], size) & free).tolist()
                     free[new] = False
                     queue += new
                     made += [(ids[k], ids[x]) for x in new]
@@ -380,7 +380,10 @@ def near_links(read: DataFrame, points: DataFrame, rule: Rule, search: Search) -
         wanted = groups.select("set_id").union(hubs.select("u")).union(hubs.select("v")).distinct()
         if sets:
             wanted = wanted.join(reduce(DataFrame.unionByName, sets).select("set_id"), "set_id", "left_anti")
-        sets.append(materialise(fetch_sets(read, one.join(wanted, "set_id", "left_semi"), rule).select("set_id", "hashes"), "shingles"))
+        asked = materialise(one.join(wanted, "set_id", "left_semi"), "asked")
+        # deeper levels ask for few texts, which the others need not move to meet
+        near = read.withColumn("doc", known_id()).join(bounded(asked.select("doc", "txt").distinct()), ["doc", "txt"], "left_semi").drop("doc") if level else read
+        sets.append(materialise(fetch_sets(near, asked, rule).select("set_id", "hashes"), "shingles"))
         every = reduce(DataFrame.unionByName, sets)
         links.append(materialise(group_links(groups, every, rule, n_leaves), "links"))
         if large.isEmpty():

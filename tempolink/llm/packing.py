@@ -12,7 +12,8 @@ Pieces then find their place by their rank among the pieces of their length, whi
 within their input partition plus the count of earlier partitions: no group is ever collected.
 
 Cases: a null or empty text is the end id alone (one piece of length 1); repeated rows are packed
-each; a table without rows gives no pieces; columns other than the id and the text are ignored.
+each; pieces of equal length stand in the order of their rows; a very long text is cut into pieces,
+whole; a table without rows gives no pieces; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ a match that fails its validation is dropped without another try). Added kinds:
   `A-Za-z0-9_+/=-`.
 
 Cases: a null text is empty and has no spans; spans are in code points, ends exclusive; repeated
-rows give repeated results; columns other than the id and the text are ignored.
+rows, and ties, give repeated results; a very long text is scanned whole, an empty table gives no
+rows, and columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ weighted by the lines' lengths, is the document's raw quality, and a two-paramet
 the sample turns that into a probability.
 
 Cases: a null or empty text is one line without content; without labels of both kinds every score
-is the share of good labels (1 without labels); repeated rows score alike; an empty table gives no
+is the share of good labels (1 without labels); repeated rows score alike; a very long text is one chain of
+lines (texts beyond `learn.TEXT_LINES` lines are scored, not learned from); an empty table gives no
 rows; columns other than the id and the text are ignored by a score.
 """
 

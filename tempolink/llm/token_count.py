@@ -4,8 +4,9 @@ Offline, once: every vocabulary string is encoded alone, and those that come bac
 single id are proven whole tokens. A pre-token that is one of them counts 1 without merging;
 only the rest goes through the library's merges. No merge crosses pre-tokens, so the counts add.
 
-Cases: a null text is empty (0 bytes, 0 tokens); repeated rows give repeated results; columns
-other than the id and the text are ignored; the added token's string inside a text is that one
+Cases: a null text is empty (0 bytes, 0 tokens); repeated rows give repeated results, and
+an empty table no rows; a very long text is counted whole; columns other than the id and the text
+are ignored; the added token's string inside a text is that one
 token, as the library has it by default.
 """
 

@@ -6,8 +6,8 @@ and, through L1, leaves most weights at zero: what is sent to the workers is a l
 thousand (bucket, weight) pairs, never more than `BUCKETS`.
 
 Cases: a null or empty text has no features and scores by the intercept; without labels of both
-kinds every score is the share of toxic labels (0 without labels); repeated rows score alike; an
-empty table gives no rows; columns other than the id and the text are ignored.
+kinds every score is the share of toxic labels (0 without labels); repeated rows score alike; a
+very long text is read whole, chunk by chunk; an empty table gives no rows; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ def test_sql(spark, name):
     got = QUERIES[name](spark, SF).toPandas()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
-    rows = lambda df: sorted(map(tuple, df[cols].astype(str).to_numpy().tolist()))
+    cell = lambda v: "" if v is None or v != v else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+    rows = lambda df: sorted(tuple(map(cell, r)) for r in df[cols].astype(object).itertuples(index=False))
     assert rows(got) == rows(want)
 
 
@@ -78,6 +79,13 @@ def test_stages(spark):
     assert jaccard.Rule(5, 80, 100).words == 5
 
 
+@pytest.mark.parametrize("number", range(5))
+def test_stages_of_an_empty_table(spark, number):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    made = corpus_pipeline.STAGES[number][1](spark, docs, SF)
+    assert made.count() == 0 and (number == 4 or made.columns == docs.columns)
+
+
 def test_registered():
     import __spark_entry__
 
