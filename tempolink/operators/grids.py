@@ -16,33 +16,28 @@ AVERAGE_OFFSET = 0.36
 SMALL_OFFSET = 0.33
 
 
-def _even(spark: SparkSession, extent: float, step: float, name: str) -> DataFrame:
-    """Numbered coordinates in the middle of [-extent / 2, extent / 2]."""
+def _middle(extent: float, step: float) -> tuple[int, float, float]:
+    """How many coordinates lie in the middle of [-extent / 2, extent / 2], the first, and the width."""
     n = math.ceil(extent / step)
     first = -extent / 2 + (extent - (n - 1) * step) / 2
-    width = (-2 * first) / (n - 1) if n > 1 else 0.0
-    return spark.range(n).select(F.col("id").alias(f"{name}_id"), (F.lit(first) + F.col("id") * F.lit(width)).alias(name))
+    return n, first, (-2 * first) / (n - 1) if n > 1 else 0.0
 
 
-def _mesh(lons: DataFrame, lats: DataFrame, n_lon: int) -> DataFrame:
-    """Latitude by latitude."""
-    return lats.crossJoin(F.broadcast(lons)).select((F.col("lat_id") * n_lon + F.col("lon_id")).alias("point_id"), "lon", "lat")
+def _mesh(spark: SparkSession, lon: tuple[int, float, float], lat: tuple[int, float, float]) -> DataFrame:
+    """Latitude by latitude, each point from its number."""
+    (n, west, east_by), (rows, south, north_by) = lon, lat
+    i, j = F.col("id") % max(n, 1), F.floor(F.col("id") / max(n, 1))
+    return spark.range(n * rows).select(F.col("id").alias("point_id"), (F.lit(west) + i * F.lit(east_by)).alias("lon"), (F.lit(south) + j * F.lit(north_by)).alias("lat"))
 
 
 def regular_grid(spark: SparkSession, step_lon: float, step_lat: float) -> DataFrame:
-    return _mesh(_even(spark, 360, step_lon, "lon"), _even(spark, 180, step_lat, "lat"), math.ceil(360 / step_lon))
+    return _mesh(spark, _middle(360, step_lon), _middle(180, step_lat))
 
 
 def gaussian_grid(spark: SparkSession, step_lon: float, step_lat: float) -> DataFrame:
     """Steps from half a degree inside the map's corner."""
-
-    def line(first: float, stop: float, step: float, name: str) -> tuple[DataFrame, int]:
-        n = max(0, math.ceil((stop - first) / step))
-        return spark.range(n).select(F.col("id").alias(f"{name}_id"), (F.lit(first) + F.col("id") * F.lit(float(step))).alias(name)), n
-
-    lats, _ = line(-89.5, 90.5, step_lat, "lat")
-    lons, n_lon = line(-179.5, 180.5, step_lon, "lon")
-    return _mesh(lons, lats, n_lon)
+    line = lambda first, stop, step: (max(0, math.ceil((stop - first) / step)), first, float(step))
+    return _mesh(spark, line(-179.5, 180.5, step_lon), line(-89.5, 90.5, step_lat))
 
 
 def maxmin_offset(n: int) -> float:

@@ -407,8 +407,9 @@ def most_bursts(spark: SparkSession, sf_dir: str) -> int:
 
 def closed_form_crit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of critical values with a known form, for the lookup."""
-    noe = spark.range(most_bursts(spark, sf_dir) + 1)
-    return noe.select(F.col("id").alias("noe_a")).crossJoin(noe.select(F.col("id").alias("noe_b"))).select("noe_a", "noe_b", F.lit(0.05).alias("significance"), F.floor(F.least("noe_a", "noe_b") / 6).cast("long").alias("crit"))
+    most = most_bursts(spark, sf_dir)
+    every = spark.range(most + 1).select(F.col("id").alias("noe_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most).cast("long"))).alias("noe_b"))
+    return every.select("noe_a", "noe_b", F.lit(0.05).alias("significance"), F.floor(F.least("noe_a", "noe_b") / 6).cast("long").alias("crit"))
 
 
 CRIT = f"WITH {SYNC}, n AS (SELECT nodes.loc, count(ev.loc) AS n FROM nodes LEFT JOIN ev USING (loc) GROUP BY nodes.loc), c AS (SELECT s.a, s.b, s.es, CAST(floor(least(p.n, q.n) / 6.0) AS BIGINT) AS crit FROM sync s JOIN n p ON p.loc = s.a JOIN n q ON q.loc = s.b)"
@@ -629,13 +630,13 @@ def fekete_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repulsion.RepelledGrid.of(directions(spark, sf_dir)).improve(10)
 
 
-@query()
+@query(f"WITH {DIRECTIONS} SELECT point_id, round(lon, 3) + 0.0 AS lon, round(CASE WHEN point_id % 10 = 0 THEN -lat ELSE lat END, 3) + 0.0 AS lat FROM dirs")
 def align_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Given points, turned back onto themselves by great circles after a turn of 12 degrees in which
-    every tenth point went astray."""
+    every tenth point went astray: the least sum of distances is had where the others meet exactly."""
     grid = directions(spark, sf_dir)
     turned = grid.select("point_id", (F.col("lon") + 12.0).alias("lon"), F.when(F.col("point_id") % 10 == 0, -F.col("lat")).otherwise(F.col("lat")).alias("lat"))
-    return regrid.align_to(turned, grid)
+    return regrid.align_to(turned, grid).withColumns({c: F.round(c, 3) + F.lit(0.0) for c in ("lon", "lat")})
 
 
 @query("SELECT count(*) AS cells, 1.0::DOUBLE AS sphere FROM embeddings")
