@@ -15,9 +15,9 @@ resembles each other, however indirectly, is a group; trees mostly find the same
 kept once. A group's full sets are then intersected, all pairs at once, and only links that connect
 something leave the task.
 
-Large nodes: links of all documents to one of the node connect most copies, and a node whose documents
-are all connected is over. One with few documents apart is cut into parts, each with these few; in
-others documents go down to the children. What is still large after the deepest level is cut into
+Large nodes: documents go down to the children. Before that, where many resemble one document of the
+node, links to it connect most copies; a node whose documents are all connected is over, and one with
+few documents apart is cut into parts, each with these few. What is still large after the deepest level is cut into
 blocks, and all pairs of blocks are nodes. So no pair of a node is left out.
 
 Equal sets are one point from the start; rows are joined to their set at the end.
@@ -52,8 +52,8 @@ class Search:
 
     trees: int = 12
     branch: int = 2
-    small: int = 3072
-    shingles: int = 1 << 21
+    small: int = 4096
+    shingles: int = 1 << 22
     depth: int = 8
     apart: int = 52
 
@@ -376,7 +376,12 @@ def near_links(read: DataFrame, points: DataFrame, rule: Rule, search: Search) -
         alive = materialise(compared(entries, rule, whole, n_parts), "alive")
         groups = alive.where("not large").select("node", "set_id").distinct()
         large = alive.where("large")
-        hubs = large.where("hub is not null").select(F.least("set_id", "hub").alias("u"), F.greatest("set_id", "hub").alias("v")).distinct()
+        # a node is tight where a quarter of it resembles one document; only there links are looked for
+        # before it is divided, as elsewhere few are connected
+        tight = large.groupBy("node").agg((4 * F.count("hub") >= F.count("*")).alias("tight"))
+        large = materialise(large.join(tight, "node"), "large")
+        kinds = {r["tight"] for r in large.select("tight").distinct().collect()}
+        hubs = large.where("tight and hub is not null").select(F.least("set_id", "hub").alias("u"), F.greatest("set_id", "hub").alias("v")).distinct()
         wanted = groups.select("set_id").union(hubs.select("u")).union(hubs.select("v")).distinct()
         if sets:
             wanted = wanted.join(reduce(DataFrame.unionByName, sets).select("set_id"), "set_id", "left_anti")
@@ -386,13 +391,15 @@ def near_links(read: DataFrame, points: DataFrame, rule: Rule, search: Search) -
         sets.append(materialise(fetch_sets(near, asked, rule).select("set_id", "hashes"), "shingles"))
         every = reduce(DataFrame.unionByName, sets)
         links.append(materialise(group_links(groups, every, rule, n_leaves), "links"))
-        if large.isEmpty():
+        if not kinds:
             break
-        links.append(materialise(confirmed(hubs, every, rule), "links"))
-        open_ = unconnected(large, links, search)
-        deeper = open_.where("not few")
-        deeper = children(deeper, points, search) if level < search.depth else by_blocks(deeper, search)
-        entries = in_parts(open_.where("few"), search).unionByName(deeper)
+        deeper, parts = large.where("not tight"), None
+        if True in kinds:
+            links.append(materialise(confirmed(hubs, every, rule), "links"))
+            open_ = unconnected(large.where("tight"), links, search)
+            deeper, parts = deeper.select("node", "set_id", "n", *SKETCH).unionByName(open_.where("not few").select("node", "set_id", "n", *SKETCH)), in_parts(open_.where("few"), search)
+        entries = children(deeper, points, search) if level < search.depth else by_blocks(deeper, search)
+        entries = entries if parts is None else entries.unionByName(parts)
     return links
 
 
