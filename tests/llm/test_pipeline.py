@@ -6,6 +6,7 @@ import collections
 import re
 
 import duckdb
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -23,7 +24,7 @@ def test_sql(spark, name):
     got = QUERIES[name](spark, SF).toPandas()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
-    cell = lambda v: "" if v is None or v != v else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+    cell = lambda v: "" if pd.isna(v) else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
     rows = lambda df: sorted(tuple(map(cell, r)) for r in df[cols].astype(object).itertuples(index=False))
     assert rows(got) == rows(want)
 
