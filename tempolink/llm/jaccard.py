@@ -8,7 +8,10 @@ Two sets are linked when their Jaccard distance is at most r. The join has three
    of the smaller set, so sets are treated in bands of size, and a set joins every band in which a
    smaller partner may stand (the window of sizes). What a leader's cells hold is a region, and a
    region whose leader stands in another one is merged into it: a linked pair shares a cell, hence
-   a region.
+   a region. In a region that fits into a leaf, sets are first compared by how many of their
+   shingles fall into each of some buckets. These counts differ by no more than the sets do, so a
+   set whose counts differ too much from all others has no link there and leaves, before the
+   shingles of the rest are fetched.
 2. Voronoi regions. A region with more sets than a leaf may hold draws some of them as pivots. Each
    set goes to the region of its nearest pivot. By the triangle inequality a set x can have links
    into the region of another pivot q only if d(x, q) - d(x, p) <= 2r: there it is replicated, to
@@ -64,6 +67,8 @@ ROUNDS = 24
 DEALT, OTHER = 1 << 60, 1 << 61
 #: Tasks over which the entries of a cell of rarest shingles are dealt.
 SALTS = 16
+#: Buckets in which the shingles of a set are counted, at least and at most.
+BUCKETS = (32, 1 << 16)
 #: Pivots, as bits, of a region that pivots don't divide.
 PIVOT_BITS = 48
 
@@ -205,21 +210,53 @@ def cell_keys(h: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray
     return np.concatenate(keys), np.concatenate(sets)
 
 
+def bucket_counts(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For every set, how many of its shingles fall into each of about an eighth as many buckets, a
+    byte each, the highest standing for more."""
+    size = np.diff(bounds)
+    buckets = np.clip(1 << np.ceil(np.log2(np.maximum(size, 1) / 8)).clip(0).astype(np.int64), *BUCKETS)
+    base = np.concatenate(([0], np.cumsum(buckets)))
+    at = np.repeat(base[:-1], size) + (h & np.repeat(buckets - 1, size).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=base[-1]), 255).astype(np.uint8)
+    return [counts[a:z].tobytes() for a, z in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+def may_link(size: np.ndarray, counts: list[bytes], rule: Rule) -> np.ndarray:
+    """Which of some sets may have a link among them: linked sets of a and b shingles differ in at most
+    (a + b) * (den - num) / (den + num), and counts of buckets don't differ more. Of two numbers of
+    buckets, both powers of two, the larger is folded to the smaller."""
+    out = np.zeros(len(size), bool)
+    width = np.array([len(c) for c in counts])
+    for w in np.unique(width).tolist():
+        among = np.flatnonzero(width >= w)
+        folded = np.stack([np.minimum(np.frombuffer(counts[k], np.uint8).reshape(-1, w).sum(axis=0, dtype=np.int64), 255) for k in among.tolist()]).astype(np.int16)
+        for k in np.flatnonzero(width[among] == w).tolist():
+            apart = np.abs(folded - folded[k]).sum(axis=1, dtype=np.int64)
+            near = apart * (rule.den + rule.num) <= (size[among] + size[among[k]]) * (rule.den - rule.num)
+            near[k] = False
+            if near.any():
+                out[among[k]] = True
+                out[among[near]] = True
+    return out
+
+
 def sets_of(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, txt, n_shingles, set_id and set_key, its first half (null for an empty set)."""
+    """doc_id, txt, n_shingles, set_id and set_key, its first half (null for an empty set), and the
+    counts of its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = text_buffer(b.column("text"))
-            n, ids = [], []
+            n, ids, counts = [], [], []
             for i, j in row_chunks(offsets):
                 h, bounds = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule.words)
                 n += np.diff(bounds).tolist()
+                counts += bucket_counts(h, bounds)
                 ids += [set_id(h[a:z]) if z > a else None for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             keys = [x if x is None else short_id(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("txt"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.int64())], ["doc_id", "txt", "n_shingles", "set_id", "set_key"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("txt"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.int64()), pa.array(counts, pa.binary())], ["doc_id", "txt", "n_shingles", "set_id", "set_key", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, txt long, n_shingles long, set_id binary, set_key long")
+    return docs.mapInArrow(run, "doc_id long, txt long, n_shingles long, set_id binary, set_key long, counts binary")
 
 
 def packed_cells(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
@@ -457,6 +494,24 @@ def merged(members: DataFrame) -> DataFrame:
     return members
 
 
+def with_partners(members: DataFrame, points: DataFrame, rule: Rule, limits: Limits) -> DataFrame:
+    """members (set_key, region) without the sets that can have no link in their region, by the counts
+    of buckets; regions beyond a leaf stay as they are. points: set_key, n_shingles, counts."""
+    sizes = members.join(points.select("set_key", "n_shingles"), "set_key").groupBy("region").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    large = bounded(materialise(sizes.where(~fits(limits)).select("region"), "large"))
+    counted = members.join(large, "region", "left_anti").join(points.select("set_key", F.col("n_shingles").alias("size"), "counts"), "set_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in by_key(batches, "region"):
+            keep = may_link(held["size"].to_numpy(), held["counts"].to_pylist(), rule)
+            if keep.any():
+                yield from held.select(["set_key", "region"]).filter(pa.array(keep)).to_batches()
+
+    parts = parts_for(members.sparkSession, 0)
+    small = counted.repartition(parts, "region").sortWithinPartitions("region").select("set_key", "region", "size", "counts").mapInArrow(run, "set_key long, region long")
+    return small.distinct().unionByName(members.join(large, "region", "left_semi").select("set_key", "region"))
+
+
 ENTRY = ("region", "set_id", "mask", "hashes")
 STEP = "parent binary, parent_n long, region binary, set_id binary, mask long, size long, u binary, v binary"
 STEP_TYPES = [pa.int64() if x.endswith("long") else pa.binary() for x in STEP.split(", ")]
@@ -773,6 +828,8 @@ def rows_and_firsts(docs: DataFrame, rule: Rule, id_col: str, text_col: str, lim
     n_parts = parts_for(docs.sparkSession, 8 * shingles)
     members = materialise(merged(materialise(region_members(packed_cells(read, rule, n_parts), n_parts), "cells").distinct()), "members")
     points = known.where("set_id is not null").groupBy("set_id", "set_key").agg(F.min(row_key()).alias("first"))
+    counted = known.where("set_id is not null").join(members.select("set_key").distinct(), "set_key", "left_semi").dropDuplicates(["set_id"])
+    members = materialise(with_partners(members, counted, rule, limits), "partners")
     one = points.select("set_id", "set_key", "first.doc_id", "first.txt")
     wanted = one.select("set_key", "set_id", known_id().alias("doc"), "txt").join(members.select("set_key").distinct(), "set_key", "left_semi")
     sets = materialise(fetch_sets(read, wanted, rule), "shingles")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 
 import numpy as np
@@ -51,5 +52,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int =
     return [(r["text"], r["__label"]) for r in sorted(sample.collect(), key=lambda r: r["__id"])]
 
 
+def release() -> None:
+    """Give the memory that learning took back to the system, as the driver lives on; only where its C
+    library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))

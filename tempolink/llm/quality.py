@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, row_chunks, text_buffer, word_hashes
-from .learn import is_held_out, sigmoid, training_sample
+from .learn import is_held_out, release, sigmoid, training_sample
 
 #: Labelled documents to learn from, at most.
 SAMPLE_ROWS = 6000
@@ -273,7 +273,9 @@ SCORE_SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Field:
-    return train(training_sample(id_and_text(docs), labels, target, SAMPLE_ROWS))
+    field = train(training_sample(id_and_text(docs), labels, target, SAMPLE_ROWS))
+    release()
+    return field
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tempolink.llm import components, exact_dedup, jaccard, suffix_dedup
 
@@ -343,3 +344,40 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 200, 205: 200, 203: 200}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("rule", [jaccard.Rule(3, 90, 100), jaccard.Rule(5, 80, 100), jaccard.Rule(1, 50, 100)])
+def test_bucket_counts_lose_no_link(rule):
+    """Sets with a linked partner stay, also of other bucket numbers and with full bytes; unrelated ones go."""
+    rng = np.random.default_rng(7)
+    draw = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    sets = [np.unique(draw(n)) for n in (1, 3, 9, 40, 250, 257, 400, 515, 3000)]
+    crowded = np.unique(draw(5000) << np.uint64(12))  # all in one bucket
+    sets += [crowded, crowded[:4600]]
+    for x in [s for s in sets if len(s) > 30]:
+        for drop in (0.02, 0.09, 0.18, 0.4):
+            sets.append(x[rng.random(len(x)) > drop])
+            sets.append(np.unique(np.concatenate((x[rng.random(len(x)) > drop / 2], draw(int(len(x) * drop / 2))))))
+    size = np.array([len(x) for x in sets])
+    bounds = np.concatenate(([0], np.cumsum(size)))
+    got = jaccard.may_link(size, jaccard.bucket_counts(np.concatenate(sets), bounds), rule)
+    linked = [any(i != j and rule.linked(np.int64(len(np.intersect1d(x, y))), len(x), len(y)) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+    assert sum(linked) > 20
+    assert all(got[k] for k in range(len(sets)) if linked[k])
+    alone = [np.unique(draw(n)) for n in (30, 200, 210, 220, 900, 1000)]
+    if rule.num >= 80:
+        assert not jaccard.may_link(np.array([len(x) for x in alone]), jaccard.bucket_counts(np.concatenate(alone), np.concatenate(([0], np.cumsum([len(x) for x in alone])))), rule).any()
+
+
+def test_sets_without_partner_leave_before_they_are_fetched(spark):
+    """Texts that share a passage share a region; only those that may be linked go on."""
+    rng, rule = np.random.default_rng(3), jaccard.Rule(5, 80, 100)
+    words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**6, n))
+    texts = [words(200) for _ in range(20)]
+    texts.append(texts[4] + " more")
+    known = jaccard.sets_of(table(spark, list(enumerate(texts))).withColumn("txt", F.xxhash64("text")), rule)
+    members = known.select("set_key", F.lit(1).cast("long").alias("region"))
+    kept = jaccard.with_partners(members, known, rule, jaccard.Limits()).join(known, "set_key")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [4, 20]
+    whole = jaccard.with_partners(members, known, rule, jaccard.Limits(sets=5))
+    assert whole.count() == 21  # beyond a leaf: left to the recursion
