@@ -90,3 +90,37 @@ def test_quantile_by_weights(spark):
     for q in (0.0, 0.4, 0.47, 0.5, 1.0):
         assert exact_quantile(rows, "v", q, "n") == exact_quantile(every, "v", q)
     assert links.by_quantile(rows, "v", 0.5).where("link").count() == 2
+
+
+@pytest.mark.parametrize("name", ["blocks_roundtrip", "blocks_roundtrip_whole"])
+def test_blocks_hold_leaders_alone(spark, copied, tmp_path, monkeypatch, name):
+    """Written are the 30 leaders' pairs and whom they stand for; read are the pairs of all 120."""
+    path, db = copied
+    monkeypatch.setattr(queries, "scratch_path", lambda _, what: str(tmp_path / what))
+    got = normal(queries.QUERIES[name](spark, path).toPandas())
+    assert got == normal(db.execute(queries.SQL[name]).df())
+    assert spark.read.parquet(str(tmp_path / "blocks/pairs")).count() == 30**2
+    assert spark.read.parquet(str(tmp_path / "blocks/members")).count() == 120
+
+
+def test_blocks_of_classes_that_are_missing(spark, tmp_path):
+    from tempolink.sources import blocks
+
+    with pytest.raises(FileNotFoundError):
+        blocks.read_blocks_of_classes(spark, str(tmp_path / "none"))
+
+
+def test_large_classes_are_dealt_out_in_lists(spark, monkeypatch):
+    """No row that moves stands for more pairs than two lists have."""
+    monkeypatch.setattr(classes, "TOGETHER", 10)
+    members = spark.createDataFrame([(k, 0 if k < 300 else k) for k in range(305)], "loc long, rep long")
+    made = classes.lists(members)
+    assert max(len(r["places"]) for r in made.collect()) < 40
+    led = spark.createDataFrame([(a, b, a * 1000 + b) for a in (0, *range(300, 305)) for b in (0, *range(300, 305))], "a long, b long, k long")
+    got = classes.dealt_out(led, members)
+    assert got.columns == ["a", "b", "k"]
+    rows = {(r["a"], r["b"]): r["k"] for r in got.collect()}
+    of = {r["loc"]: r["rep"] for r in members.collect()}
+    assert got.count() == 305**2 and rows == {(a, b): of[a] * 1000 + of[b] for a in of for b in of}
+    some = classes.dealt_out(led, members.where("loc < 7"), members.where("loc >= 299"))
+    assert {(r["a"], r["b"]) for r in some.collect()} == {(a, b) for a in range(7) for b in range(299, 305)}
