@@ -22,8 +22,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every upper node has one edge and no lower node is an upper one: then all is done."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("low")).union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("low").alias("low"))
+    return nodes.agg(F.count_if(F.expr("up > 1 or (up = 1 and low = 1)"))).first()[0] == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,11 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
     node); roots are rows too. Grouping is always summed before it is shuffled."""
     now = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = materialise(now, "edges")
-    state = _state(now)
-    while True:
+    while not _stars(now):
         now = materialise(_small_star(_large_star(now)), "edges")
-        after = _state(now)
-        if after == state:
-            break
-        state = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -497,19 +497,20 @@ def merged(members: DataFrame) -> DataFrame:
 def with_partners(members: DataFrame, points: DataFrame, rule: Rule, limits: Limits) -> DataFrame:
     """members (set_key, region) without the sets that can have no link in their region, by the counts
     of buckets; regions beyond a leaf stay as they are. points: set_key, n_shingles, counts."""
-    sizes = members.join(points.select("set_key", "n_shingles"), "set_key").groupBy("region").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    wide = materialise(members.join(points.select("set_key", F.col("n_shingles").alias("size"), "counts"), "set_key").select("set_key", "region", "size", "counts"), "counted")
+    sizes = wide.groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
     large = bounded(materialise(sizes.where(~fits(limits)).select("region"), "large"))
-    counted = members.join(large, "region", "left_anti").join(points.select("set_key", F.col("n_shingles").alias("size"), "counts"), "set_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in by_key(batches, "region"):
             keep = may_link(held["size"].to_numpy(), held["counts"].to_pylist(), rule)
             if keep.any():
-                yield from held.select(["set_key", "region"]).filter(pa.array(keep)).to_batches()
+                sets = np.unique(held["set_key"].to_numpy()[keep])  # sets that share a key are one row
+                yield pa.RecordBatch.from_arrays([pa.array(sets), held["region"].combine_chunks().slice(0, 1).take(pa.array(np.zeros(len(sets), np.int64)))], ["set_key", "region"])
 
     parts = parts_for(members.sparkSession, 0)
-    small = counted.repartition(parts, "region").sortWithinPartitions("region").select("set_key", "region", "size", "counts").mapInArrow(run, "set_key long, region long")
-    return small.distinct().unionByName(members.join(large, "region", "left_semi").select("set_key", "region"))
+    small = wide.join(large, "region", "left_anti").repartition(parts, "region").sortWithinPartitions("region").select("set_key", "region", "size", "counts").mapInArrow(run, "set_key long, region long")
+    return small.unionByName(members.join(large, "region", "left_semi").select("set_key", "region"))
 
 
 ENTRY = ("region", "set_id", "mask", "hashes")
@@ -668,7 +669,7 @@ def undivided(entries: DataFrame, rule: Rule, limits: Limits, level: int) -> tup
     salt = F.pmod(F.col("set_key"), F.lit(SALTS)).cast("int").alias("salt")
     leads = led.select("region", "cell", "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     members = materialise(cells.select("region", "cell", "set_key", salt).join(leads, ["region", "cell", "salt"]).select("set_key", F.col("lead").alias("region")).distinct(), "members")
-    members = members if members.isEmpty() else merged(members)
+    members = members if members.isEmpty() else materialise(merged(members), "merged")
     mask = F.when(F.col("covered"), F.col("mask").bitwiseOR(F.lit(1 << 2 * level))).otherwise(F.col("mask")).alias("mask")
     wide = entries.select(*ENTRY, F.col("n").alias("parent_n")).join(known.select("region", "set_id", "set_key", "covered"), ["region", "set_id"])
     wide = wide.drop("region").join(members.select("set_key", F.encode(F.col("region").cast("string"), "utf-8").alias("region")), "set_key")
@@ -676,7 +677,7 @@ def undivided(entries: DataFrame, rule: Rule, limits: Limits, level: int) -> tup
     counts = counts.groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.max("parent_n").alias("parent_n"))
     fate = F.when(fits(limits), "leaf").when((F.col("n") > limits.shrink * F.col("parent_n")) | (F.lit(level) >= ROUNDS - 1), "last").otherwise("open")
     counts = materialise(counts.select("region", "n", "shingles", fate.alias("fate")), "counts")
-    there = {r["fate"] for r in counts.select("fate").distinct().collect()}
+    there = fates_in(counts)
     after = materialise(wide.select("region", "set_id", mask, "hashes").join(bounded(counts), "region"), "entries", by="fate")
     return after, made.where("u is not null").select("u", "v"), there
 
@@ -746,6 +747,10 @@ def fates(children: DataFrame, level: int, limits: Limits) -> DataFrame:
     return counted.withColumn("kind", kind).withColumn("fate", F.when(stuck, "stuck").otherwise(F.col("kind"))).select("parent", "region", "n", "shingles", "bit", "together", "fate")
 
 
+def fates_in(known: DataFrame) -> set[str]:
+    return set(known.agg(F.collect_set("fate")).first()[0])  # of half a dozen words
+
+
 def fits(limits: Limits) -> Column:
     return (F.col("n") <= 2) | ((F.col("n") <= limits.sets) & (F.col("shingles") <= limits.shingles))
 
@@ -758,7 +763,7 @@ def divided(entries: DataFrame, rule: Rule, limits: Limits) -> tuple[list[DataFr
         links.append(made.where("u is not null").select("u", "v"))
         children = made.where("u is null")
         known = materialise(fates(children, level, limits), "fates")
-        there, open_ = {r["fate"] for r in known.select("fate").distinct().collect()}, []
+        there, open_ = fates_in(known), []
         if "stuck" in there:
             again = known.where("fate = 'stuck'").select(F.col("parent").alias("region")).distinct()
             after, made_links, fates_ = undivided(entries.join(bounded(again), "region", "left_semi"), rule, limits, level)

@@ -381,3 +381,16 @@ def test_sets_without_partner_leave_before_they_are_fetched(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [4, 20]
     whole = jaccard.with_partners(members, known, rule, jaccard.Limits(sets=5))
     assert whole.count() == 21  # beyond a leaf: left to the recursion
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    """Edges that are stars are done; a chain takes rounds until it is one, and none to see that."""
+    made = []
+    turn = components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: made.append(1) or turn(edges))
+    stars = spark.createDataFrame([(1, 5), (7, 1), (9, 8), (8, 9)], "u long, v long")
+    assert {r["node"]: r["root"] for r in components.components(stars).collect()} == {1: 1, 5: 1, 7: 1, 8: 8, 9: 8}
+    assert not made
+    chain = spark.createDataFrame([(1, 2), (2, 3)], "u long, v long")
+    assert {r["node"]: r["root"] for r in components.components(chain).collect()} == {1: 1, 2: 1, 3: 1}
+    assert len(made) == 1
