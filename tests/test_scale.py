@@ -302,3 +302,22 @@ def test_precursors_of_a_stream_age_out(spark, tmp_path):
     # the late event at second 10 finds no other: what the watermark has passed is gone from the state
     assert got == [(0, 30), (3000, 3050), (9000, 9010)]
     assert 0 < progress[-1]["stateOperators"][0]["numRowsTotal"] <= 2 * (3 + 1)
+
+
+def test_sparse_counts_move_no_pairs(spark, monkeypatch):
+    """Over several blocks and turns, with a place without events, repeated cells and steps that are
+    unknown: against plain loops, and nothing is shuffled after the blocks have met."""
+    monkeypatch.setattr(pairs, "BLOCK", 4)
+    monkeypatch.setattr(pairs, "MET", 7)
+    rng = np.random.default_rng(5)
+    cells = [(int(p), int(t)) for p, t in zip(rng.integers(0, 10, 90), rng.integers(0, 12, 90), strict=True)]
+    events = [(int(p), int(t)) for p, t in zip(rng.integers(0, 9, 60), rng.integers(0, 12, 60), strict=True)]
+    make = lambda rows: spark.createDataFrame([*rows, (0, None)], "loc long, t_idx int")
+    nodes = spark.createDataFrame([(k,) for k in range(11)], "loc long")
+    made = pairs.fused_counts({"k": make(cells), "m": make(cells[:5])}, make(events), nodes, nodes, 12, "sparse")
+    met = lambda some, a, b: sum(t == s for p, t in some if p == a for q, s in events if q == b)
+    assert {(r["a"], r["b"]): (r["k"], r["m"]) for r in made.collect()} == {(a, b): (met(cells, a, b), met(cells[:5], a, b)) for a in range(11) for b in range(11)}
+    plan = made._jdf.queryExecution().sparkPlan().toString()  # noqa: SLF001
+    assert "FlatMapCoGroupsInArrow" in plan
+    shuffled = made._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]  # noqa: SLF001
+    assert "Exchange" not in shuffled and "Join" not in shuffled
