@@ -133,3 +133,19 @@ def test_leaders_events_are_read_from_where_they_were_written(spark, copied):
     (led,) = classes.of_leaders(members, ev)
     assert led.inputFiles() and not any("events.parquet" in f for f in led.inputFiles())
     assert led.select("loc").distinct().count() == 30
+
+
+def test_pairs_are_made_from_pieces_of_lists(spark, monkeypatch):
+    """No row from which pairs are made has more places than a piece, and no place is lost or doubled."""
+    sizes = (1, 3, 4, 5, 8, 11)
+    rows = spark.createDataFrame([(n, list(range(n))) for n in sizes], "n long, places array<long>")
+    monkeypatch.setattr(classes, "PIECE", 4)
+    cut = {r["n"]: r["cut"] for r in rows.select("n", classes.pieces("places").alias("cut")).collect()}
+    for n in sizes:
+        assert all(1 <= len(piece) <= 4 for piece in cut[n])
+        assert sum(cut[n], []) == list(range(n))
+    members = spark.createDataFrame([(k, 0 if k < 11 else k) for k in range(14)], "loc long, rep long")
+    led = spark.createDataFrame([(a, b, 100 * a + b) for a in (0, 11, 12, 13) for b in (0, 11, 12, 13)], "a long, b long, k long")
+    of = {r["loc"]: r["rep"] for r in members.collect()}
+    dealt = classes.dealt_out(led, members)
+    assert sorted(map(tuple, dealt.collect())) == [(a, b, 100 * of[a] + of[b]) for a in range(14) for b in range(14)]
