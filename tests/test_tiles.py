@@ -39,6 +39,29 @@ def test_in_tiles(spark, differing, monkeypatch, name):
     assert normal(made.toPandas()) == normal(db.execute(queries.SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", ["blocks_roundtrip", "blocks_roundtrip_whole"])
+def test_blocks_are_written_where_they_are_made(spark, differing, monkeypatch, tmp_path, name):
+    """A file for each pair of tiles at most, of neighbouring places, and no shuffle of pairs."""
+    path, db = differing
+    monkeypatch.setattr(pairs, "BLOCK", 20)
+    monkeypatch.setattr(queries, "scratch_path", lambda _, what: str(tmp_path / what))
+    written = []
+    monkeypatch.setattr(queries.blocks, "write_tiles", lambda made, to, write=queries.blocks.write_tiles: (written.append(made), write(made, to)))
+    got = queries.QUERIES[name](spark, path)
+    assert normal(got.toPandas()) == normal(db.execute(queries.SQL[name]).df())
+    plan = written[0]._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]  # noqa: SLF001
+    assert "Exchange" not in plan and "Sort" not in plan
+    assert 1 < len(list((tmp_path / "blocks").rglob("*.parquet"))) <= 9
+    if name == "blocks_roundtrip":
+        assert "PushedFilters: [IsNotNull(a), IsNotNull(b)" in got._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+
+
+def test_tiles_cut_no_block(spark):
+    nodes = spark.createDataFrame([(k * 3,) for k in range(5000)], "loc long")
+    bounds = pairs.bounds_of(nodes, 50)
+    assert len(bounds) == 9 and all(b % 50 == 0 for b in bounds)
+
+
 def test_a_place_travels_to_few_tiles():
     """What is shuffled grows with the places, not with their square."""
     assert [tiles.tiles_of(n, 512) for n in (0, 1, 1500, 90_000, 540_000)] == [1, 1, 3, 32, 33]
