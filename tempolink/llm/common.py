@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shuffles_removed
+
 #: Bytes of text that the numpy kernels take at a time; a longer text is taken alone.
 CHUNK_BYTES = 1 << 20
 
@@ -45,7 +47,8 @@ def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    with shuffles_removed(spark):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

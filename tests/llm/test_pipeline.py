@@ -92,3 +92,23 @@ def test_registered():
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_shuffles_of_written_tables_go(spark):
+    """What was shuffled for a written table is gone with it, not when the driver collects its garbage."""
+    import time
+
+    from tempolink import storage
+    from tempolink.llm import common
+
+    known = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()  # noqa: SLF001
+    for write in (storage.materialise, common.materialise):
+        before = known.size()
+        made = [write(spark.range(1000).repartition(7, "id"), "some") for _ in range(5)]
+        for _ in range(50):
+            if known.size() <= before:
+                break
+            time.sleep(0.1)
+        assert known.size() <= before
+        assert all(m.count() == 1000 for m in made)
+    assert spark.conf.get(storage.REMOVED) == "false"
