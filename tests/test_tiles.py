@@ -97,3 +97,22 @@ def test_turns_of_a_tile(monkeypatch, strategy):
             assert (got[part, some] == -1).all()
             got[part, some] = count(part)["k"]
     assert (got == y.astype(int) @ x.T.astype(int)).all()
+
+
+def test_two_blocks_of_points_meet_once(spark, monkeypatch):
+    """Forces over several blocks are those of one, and one look at two blocks gives those of both."""
+    from tempolink.operators import repulsion
+
+    x = np.random.default_rng(3).normal(size=(40, 3))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] = x[31]
+    points = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(x)], "point_id long, x double, y double, z double")
+    force, near = repulsion.pushed(x, x, np.eye(40, dtype=bool))
+    got = {r["point_id"]: r for r in repulsion.forces(points, 9).collect()}
+    assert len(got) == 40
+    for k, r in got.items():
+        assert np.allclose([r["fx"], r["fy"], r["fz"]], force[k], rtol=1e-9) and np.isclose(r["near"], near[k])
+    one, near_one, two, near_two = repulsion.pushed_apart(x[:30], x[30:])
+    for (own, others), made, nearest in (((x[:30], x[30:]), one, near_one), ((x[30:], x[:30]), two, near_two)):
+        want, near = repulsion.pushed(own, others, np.zeros((len(own), len(others)), bool))
+        assert np.allclose(made, want, rtol=1e-9) and np.allclose(nearest, near)
